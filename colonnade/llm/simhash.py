@@ -140,7 +140,7 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4)
     crowd = written(crowd, "met")
     pairs = crowd.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     w = Window.partitionBy("key").orderBy("doc_id")
-    more = rows.join(crowd.where("n > 2").select("key", "low"), "key").select(F.col("doc_id").alias("a"), F.explode(F.array("low", *(F.lag("doc_id", i).over(w) for i in (1, 2, 3)))).alias("b"))
+    more = rows.join(crowd.where("n > 2").select("key", "low"), "key").select(F.col("doc_id").alias("a"), F.array("low", *(F.lag("doc_id", i).over(w) for i in (1, 2, 3))).alias("b")).select("a", F.explode("b").alias("b"))
     pairs = written(pairs.union(more).where("b IS NOT NULL AND a <> b").distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = written(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")

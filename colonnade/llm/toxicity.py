@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic model of its words;
-the document's is their noisy-or, 1 - prod(1 - p). Only documents are labelled: the
+A document is a bag of sentences. A sentence's score is a logistic model of its words
+and their beginnings; the document's is their noisy-or, 1 - prod(1 - p). Only documents are labelled: the
 gradient of the noisy-or finds which sentences to blame.
 
 The classifier learns from a bounded sample: about `SAMPLE` labelled texts, those with
@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colonnade.llm.common import tables
 
 #: Expected number of training texts; fewest documents of a word; most words of the model.
-SAMPLE, FEWEST, MOST = 6000, 4, 20_000
+SAMPLE, FEWEST, MOST = 6000, 4, 3000
+#: Lengths of the beginnings of words that are features beside whole words.
+STEMS = (4, 5, 6, 7)
 SENTENCE = re.compile(r"[.!?…。！？\n\r]+")
 SPACES = str.maketrans({c: " " for c in ",;:\"()[]{}<>|*_#«»„“”‘’"})
 
@@ -33,11 +35,16 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in SENTENCE.split((text or "").lower().translate(SPACES)) if s.strip()] or [""]
 
 
-def train(rows: list[tuple[str | None, int]], rounds: int = 300, rate: float = 0.5, l2: float = 2e-4) -> dict:
+def features(word: str) -> list[str]:
+    """The word, and its beginnings marked with a star."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
+
+
+def train(rows: list[tuple[str | None, int]], rounds: int = 500, rate: float = 0.5, l2: float = 2e-6) -> dict:
     """Full-batch gradient ascent with per-weight step sizes on the noisy-or likelihood."""
     if not rows:
         return {"bias": -2.0, "weights": {}}
-    bags = [[set(s.split()) for s in sentences(t)] for t, _ in rows]
+    bags = [[[x for w in sorted(set(s.split())) for x in features(w)] for s in sentences(t)] for t, _ in rows]
     y = np.array([v for _, v in rows], np.float64)
     seen, toxic = Counter(), Counter()
     for bag, v in zip(bags, y):
@@ -67,7 +74,7 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 300, rate: float = 0
         keep = np.exp(np.minimum(none, -1e-12))
         # d log likelihood / d z: p for its share of a toxic bag, minus p for a clean one
         blame = np.where(y > 0, keep / (1 - keep), -1.0)[doc] * p / len(y)
-        dw, db = np.bincount(idx, weights=blame[row], minlength=len(w)) - l2 * w / 10, blame.sum()
+        dw, db = np.bincount(idx, weights=blame[row], minlength=len(w)) - l2 * w, blame.sum()
         gw, gb = gw + dw * dw, gb + db * db
         w, b = w + rate * dw / np.sqrt(gw), b + rate * db / np.sqrt(gb)
     return {"bias": float(b), "weights": {x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) > 1e-3}}
@@ -76,15 +83,27 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 300, rate: float = 0
 class Scorer:
     def __init__(self, model: dict):
         self.weights, self.bias = model["weights"], model["bias"]
-        self.known = self.weights.keys()
         self.plain = float(np.log1p(np.exp(min(30.0, self.bias))))  # -log(1 - p) of a sentence without known words
+        self.words: dict[str, float] = {}
+
+    def weight(self, word: str) -> float:
+        x = self.words.get(word)
+        if x is None:
+            if len(self.words) > 500_000:
+                self.words.clear()
+            x = self.words[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return x
 
     def hazards(self, text: str | None) -> list[float]:
         """-log(1 - p) of each sentence."""
-        out, weights, known, plain = [], self.weights, self.known, self.plain
-        for s in sentences(text):
-            hit = known & set(s.split())
-            out.append(float(np.log1p(np.exp(min(30.0, self.bias + sum(weights[w] for w in sorted(hit)))))) if hit else plain)
+        found = [s.split() for s in sentences(text)]
+        known = {w: x for w in {w for s in found for w in s} if (x := self.weight(w))}
+        if not known:
+            return [self.plain] * len(found)
+        out, names = [], known.keys()
+        for s in found:
+            hit = names & s
+            out.append(float(np.log1p(np.exp(min(30.0, self.bias + sum(known[w] for w in sorted(hit)))))) if hit else self.plain)
         return out
 
     def score(self, text: str | None) -> float:
