@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontam, langid, pieces, simhash, toxicity
+from colonnade.llm import decontam, langid, minhash, pieces, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op4_sharding": sharding.op4_sharding,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_simhash": simhash.op6_simhash,
         "op7_pieces": pieces.op7_pieces,
         "op8_language": langid.op8_language,
+        "op10_fingerprints": minhash.op10_fingerprints,
     }
 
 
