@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontam, langid, minhash, pieces, sharding, simhash, toxicity
+from colonnade.llm import decontam, langid, maxent, minhash, pieces, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": simhash.op6_simhash,
         "op7_pieces": pieces.op7_pieces,
         "op8_language": langid.op8_language,
+        "op9_maxent": maxent.op9_maxent,
         "op10_fingerprints": minhash.op10_fingerprints,
     }
 
