@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontam, langid, maxent, minhash, pieces, sharding, simhash, toxicity
+from colonnade.llm import decontam, langid, maxent, minhash, pieces, quotes, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_quotes": quotes.op2_quotes,
         "op4_sharding": sharding.op4_sharding,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_simhash": simhash.op6_simhash,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.OP1_SQL}
+    return {"op1_decontamination": decontam.OP1_SQL, "op2_quotes": quotes.OP2_SQL}
