@@ -58,12 +58,14 @@ def links(messages: DataFrame) -> DataFrame:
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "n", "origin")).alias("v")).select("conv_id", "turn", F.col("v.origin").alias("origin"))
     turns = _before(messages.select("conv_id", "turn").distinct())
     now = turns.join(best, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("origin", "before").alias("parent_turn"), F.col("origin").isNotNull().alias("quoted"))
-    # up: an ancestor; depth: the way to it; both double until every message has met its root
+    # up: an ancestor; depth: the way to it; both double until a message has met its root and is set aside
     now = written(now.select("*", F.col("parent_turn").alias("up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("parent_turn", "turn").alias("root_turn")), "links")
-    while not now.where("up IS NOT NULL").isEmpty():
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root_turn").alias("_root"))
-        now = written(now.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", "parent_turn", "quoted", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_root", "root_turn").alias("root_turn")), "links")
-    return now.drop("up")
+    done, now = now.where("up IS NULL"), now.where("up IS NOT NULL")
+    while not now.isEmpty():
+        above = done.union(now).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root_turn").alias("_root"))
+        met = written(now.join(above, ["conv_id", "up"]).select("conv_id", "turn", "parent_turn", "quoted", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_root").alias("root_turn")).select(*done.columns), "links")
+        done, now = done.union(met.where("up IS NULL")), met.where("up IS NOT NULL")
+    return done.drop("up")
 
 
 def unquoted(text: str) -> Column:
