@@ -31,9 +31,9 @@ def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{folder}/{n}.parquet") for n in names]
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; Spark joins by shuffle otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most `rows` rows, so that it may be broadcast; Spark joins by shuffle otherwise."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import bounded, tables
+from colonnade.llm.common import fits, tables
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words before A-Z are lowered, which joins and splits none.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words; A-Z are lowered afterwards, which joins and splits none.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GRAM, SPAN, WINDOW = 5, 6, 10
 
 
@@ -32,8 +32,8 @@ def lowered(word: Column) -> Column:
 
 def _hashed(df: DataFrame, *keep: str) -> DataFrame:
     """keep, hw: hashes of the words."""
-    words = df.select(*keep, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
-    return words.select(*keep, F.transform("w", lambda w: F.xxhash64(lowered(w))).alias("hw"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), BETWEEN), lambda w: w != "")
+    return df.select(*keep, F.transform(words, lambda w: F.xxhash64(lowered(w))).alias("hw"))
 
 
 def _kept(df: DataFrame, *keep: str) -> DataFrame:
@@ -72,13 +72,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     entries = ", ".join([f"transform(at, p -> {around})", *map(_short, lengths)])
     docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     texts = _kept(_hashed(docs, "doc_id", "digest"), "doc_id", "digest")
-    rows = texts.select("doc_id", "digest", F.explode(F.expr(f"concat({entries})")).alias("e")).select("doc_id", "digest", "e.*")
-    found = rows.join(bounded(prints), "fp").select("doc_id", "digest", F.col("len"), F.explode(F.expr("transform(IF(size(context) >= len, sequence(0, greatest(size(context) - len, 0)), cast(array() AS array<int>)), j -> named_struct('start', first + j, 'win', slice(context, j + 1, len)))")).alias("e"))
-    found = found.select("doc_id", "digest", "len", "e.*", F.xxhash64("e.win").alias("wk"))
-    hits = found.join(bounded(windows.withColumnRenamed("win", "known")), "wk").where("win = known")
-    hits = hits.select("doc_id", "digest", F.lit(None).cast("int").alias("n_words"), F.struct("start", (F.col("start") + F.col("len")).alias("end")).alias("hit"), "ids")
-    own = docs.select("doc_id", "digest", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n_words"), F.lit(None).cast("struct<start:int,end:int>").alias("hit"), F.lit(None).cast(hits.schema["ids"].dataType).alias("ids"))
-    all_rows = own.union(hits).groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set("hit").alias("hits"), F.collect_set("ids").alias("ids"))
+    cut = "transform(IF(size(context) >= len, sequence(0, greatest(size(context) - len, 0)), cast(array() AS array<int>)), j -> named_struct('start', first + j, 'win', slice(context, j + 1, len)))"
+    place = F.struct("start", (F.col("start") + F.col("len")).alias("end")).alias("hit")
+    prints, known = prints.withColumn("is_print", F.lit(True)), windows.withColumnRenamed("win", "known")
+    if fits(prints) and fits(known):
+        # one pass: an entry without a hash stands for the document itself and goes through both joins
+        itself = "array(named_struct('fp', cast(NULL AS bigint), 'first', -1, 'context', cast(NULL AS array<bigint>), 'len', 0))"
+        rows = texts.select("doc_id", "digest", F.size("hw").alias("n_words"), F.explode(F.expr(f"concat({itself}, {entries})")).alias("e")).select("doc_id", "digest", "n_words", "e.*")
+        found = rows.join(F.broadcast(prints), "fp", "left").where("is_print OR first < 0")
+        found = found.select("doc_id", "digest", F.expr("IF(first < 0, n_words, NULL)").alias("n_words"), "len", F.explode_outer(F.expr(cut)).alias("e")).select("doc_id", "digest", "n_words", "len", "e.*")
+        hits = found.withColumn("wk", F.xxhash64("win")).join(F.broadcast(known), "wk", "left").withColumn("hit", F.expr("coalesce(win = known, false)"))
+        rows = hits.where("hit OR n_words IS NOT NULL").select("doc_id", "digest", "n_words", F.when(F.col("hit"), F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("hit"), F.when(F.col("hit"), F.col("ids")).alias("ids"))
+    else:
+        found = texts.select("doc_id", "digest", F.explode(F.expr(f"concat({entries})")).alias("e")).select("doc_id", "digest", "e.*").join(prints, "fp")
+        found = found.select("doc_id", "digest", "len", F.explode(F.expr(cut)).alias("e")).select("doc_id", "digest", "len", "e.*").withColumn("wk", F.xxhash64("win"))
+        hits = found.join(known, "wk").where("win = known").select("doc_id", "digest", F.lit(None).cast("int").alias("n_words"), place, "ids")
+        own = _hashed(docs, "doc_id", "digest").select("doc_id", "digest", F.size("hw").alias("n_words"), F.lit(None).cast("struct<start:int,end:int>").alias("hit"), F.lit(None).cast(hits.schema["ids"].dataType).alias("ids"))
+        rows = own.union(hits)
+    all_rows = rows.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set("hit").alias("hits"), F.collect_set("ids").alias("ids"))
     covered = "aggregate(array_sort(hits), named_struct('n', 0L, 'reach', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.end - greatest(a.reach, x.start)), 'reach', greatest(a.reach, x.end)), a -> a.n)"
     return all_rows.select("doc_id", "digest", F.col("n_words").cast("bigint"), F.expr(covered).alias("n_hit"), F.array_distinct(F.flatten("ids")).alias("items"), "copies")
 

@@ -54,8 +54,8 @@ def likeness(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), (same - F.lit(chance)) / F.lit(1 - chance))
 
 
-def with_next(docs: DataFrame, carried: list[str], buckets: int) -> DataFrame:
-    """docs (doc_id, digest, carried) with next_<column> of the document that follows by descending doc_id.
+def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, text, print, next_text, next_print) of docs (doc_id, digest, text): each and the one that follows by descending doc_id.
 
     doc_id is cut into ranges, each is followed within itself, and the first document of
     each range, found by its id alone, follows the last of the range above.
@@ -65,13 +65,15 @@ def with_next(docs: DataFrame, carried: list[str], buckets: int) -> DataFrame:
     docs = docs.withColumn("_bucket", F.size(F.filter(literal, lambda c: c > F.coalesce("doc_id", F.lit(-(2**63))))))
     order = [F.col("doc_id").desc(), F.col("digest")]
     w = Window.partitionBy("_bucket").orderBy(*order)
-    rows = docs.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried} | {"_last": F.lead(F.lit(1)).over(w).isNull()})
+    carried = ["text", "print"]
+    rows = fingerprinted(docs, "text", "print").withColumns({f"next_{c}": F.lead(c).over(w) for c in carried} | {"_last": F.lead(F.lit(1)).over(w).isNull()})
     # a row for each range, `buckets` at most
     heads = docs.groupBy("_bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("k"), "digest")).alias("h")).select("_bucket", (-F.col("h.k")).alias("doc_id"), "h.digest")
     line = Window.orderBy("_bucket")
     heads = heads.select("doc_id", "digest", F.coalesce(F.lag("_bucket").over(line), F.max("_bucket").over(Window.partitionBy())).alias("_above"))
     # the document itself, once even if its row is repeated
-    found = docs.drop("_bucket").join(F.broadcast(heads), ["doc_id", "digest"]).groupBy("_above").agg(*(F.first(c).alias(f"_head_{c}") for c in carried))
+    found = docs.join(F.broadcast(heads), ["doc_id", "digest"]).groupBy("_above").agg(F.first("text").alias("_head_text"))
+    found = fingerprinted(found, "_head_text", "_head_print")
     joined = rows.join(found, rows["_bucket"] == found["_above"], "left")
     return joined.select("doc_id", *carried, *(F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carried))
 
@@ -79,9 +81,8 @@ def with_next(docs: DataFrame, carried: list[str], buckets: int) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     (docs,) = tables(spark, folder, "documents")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = fingerprinted(docs.withColumn("digest", F.md5(F.col("text").cast("binary"))), "text", "print")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = with_next(own, ["text", "print"], buckets).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    df = with_next(docs.withColumn("digest", F.md5(F.col("text").cast("binary"))), buckets).withColumn("n_chars", F.char_length("text").cast("bigint"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("next_text", F.lit(1), k)))
     df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "print", F.col("next_print").alias("following"), "edited")
