@@ -67,12 +67,12 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     w = Window.partitionBy("_bucket").orderBy(*order)
     carried = ["text", "print"]
     rows = fingerprinted(docs, "text", "print").withColumns({f"next_{c}": F.lead(c).over(w) for c in carried} | {"_last": F.lead(F.lit(1)).over(w).isNull()})
-    # a row for each range, `buckets` at most
-    heads = docs.groupBy("_bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("k"), "digest")).alias("h")).select("_bucket", (-F.col("h.k")).alias("doc_id"), "h.digest")
+    # a row for each range, `buckets` at most; only doc_id is read for it
+    heads = docs.groupBy("_bucket").agg(F.max("doc_id").alias("doc_id"))
     line = Window.orderBy("_bucket")
-    heads = heads.select("doc_id", "digest", F.coalesce(F.lag("_bucket").over(line), F.max("_bucket").over(Window.partitionBy())).alias("_above"))
-    # the document itself, once even if its row is repeated
-    found = docs.join(F.broadcast(heads), ["doc_id", "digest"]).groupBy("_above").agg(F.first("text").alias("_head_text"))
+    heads = heads.select("doc_id", F.coalesce(F.lag("_bucket").over(line), F.max("_bucket").over(Window.partitionBy())).alias("_above"))
+    # of documents with the same doc_id the one that comes first
+    found = docs.select("doc_id", "text", "digest").join(F.broadcast(heads), "doc_id").groupBy("_above").agg(F.min_by("text", "digest").alias("_head_text"))
     found = fingerprinted(found, "_head_text", "_head_print")
     joined = rows.join(found, rows["_bucket"] == found["_above"], "left")
     return joined.select("doc_id", *carried, *(F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carried))
@@ -81,7 +81,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     (docs,) = tables(spark, folder, "documents")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = with_next(docs.withColumn("digest", F.md5(F.col("text").cast("binary"))), buckets).withColumn("n_chars", F.char_length("text").cast("bigint"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("next_text", F.lit(1), k)))
