@@ -63,45 +63,49 @@ def train(rows: list[tuple[str | None, str]]) -> dict:
                 g[x] += n
     langs = sorted(counts)
     kept = sorted({x for c in counts.values() for x, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:KEPT]})
-    table, unseen = {}, []
     totals = {k: sum(counts[k].values()) + 0.5 * (len(kept) + 1) for k in langs}
-    for x in kept:
-        table[x] = np.array([math.log((counts[k][x] + 0.5) / totals[k]) for k in langs], np.float32)
-    unseen = np.array([math.log(0.5 / totals[k]) for k in langs], np.float32)
+    # the last row is of n-grams that are not kept
+    matrix = np.array([[math.log((counts[k][x] + 0.5) / totals[k]) for k in langs] for x in kept] + [[math.log(0.5 / totals[k]) for k in langs]], np.float32)
     allowed = {s: np.array([scripts[k][s] >= 0.001 * max(1, sum(scripts[k].values())) for k in langs]) for s in {s for c in scripts.values() for s in c}}
-    return {"langs": langs, "table": table, "unseen": unseen, "allowed": allowed}
+    return {"langs": langs, "rows": {x: i for i, x in enumerate(kept)}, "matrix": matrix, "allowed": allowed}
 
 
 class Labeller:
     """Scores words, remembering the last many of them, and labels texts."""
 
     def __init__(self, model: dict, penalty: float = PENALTY):
-        self.langs, self.table, self.unseen, self.allowed, self.penalty = model["langs"], model["table"], model["unseen"], model["allowed"], penalty
+        self.langs, self.rows, self.matrix, self.allowed, self.penalty = model["langs"], model["rows"], model["matrix"], model["allowed"], penalty
+        self.narrows_latin = not self.allowed.get("latin", np.ones(1, bool)).all()
         self.forget()
 
     def forget(self) -> None:
         self.ids: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, max(1, len(self.langs))))
 
-    def _id(self, word: str) -> int:
-        i = self.ids.get(word)
-        if i is None:
-            i = self.ids[word] = len(self.ids)
-            if i == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[i] = self.score(word)
-        return i
-
-    def score(self, word: str) -> np.ndarray:
-        """Log probability of each language given the word, evened by its number of n-grams; 0 and below."""
-        table, unseen, found = self.table, self.unseen, grams(word)
-        s = np.add.reduce([table.get(x, unseen) for x in found]) / max(1.0, len(found) ** 0.5)
-        s = np.asarray(s, np.float64)
-        fit = self.allowed.get(script(word[0]))
-        if fit is not None and fit.any():
-            s = np.where(fit, s, -60.0 + s.min())
-        s = s - s.max()
-        return np.maximum(s - math.log(np.exp(s).sum()), -12.0)
+    def learn(self, words: list[str]) -> None:
+        """Scores words that are not known yet: the log probability of each language given the word.
+
+        It is evened by the word's number of n-grams and is 0 at most.
+        """
+        get, none = self.rows.get, len(self.rows)
+        found, sizes = [], []
+        for w in words:
+            g = grams(w)
+            found += [get(x, none) for x in g]
+            sizes.append(len(g))
+        sizes = np.array(sizes)
+        s = np.add.reduceat(self.matrix[found], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64) / np.sqrt(sizes)[:, None]
+        for i, w in enumerate(words):
+            fit = self.allowed.get(script(w[0])) if not w[0].isascii() or self.narrows_latin else None
+            if fit is not None and fit.any():
+                s[i, ~fit] = s[i].min() - 60.0
+        s -= s.max(axis=1, keepdims=True)
+        s = np.maximum(s - np.log(np.exp(s).sum(axis=1, keepdims=True)), -12.0)
+        at = len(self.ids)
+        while at + len(words) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[at : at + len(words)] = s
+        self.ids.update(zip(words, range(at, at + len(words))))
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language of each word."""
@@ -136,12 +140,13 @@ class Labeller:
         return [(self.langs[labels[a]], found[a].start(), found[b - 1].end()) for a, b in zip(cuts, cuts[1:])]
 
     def scores_of(self, words: list[str]) -> np.ndarray:
-        if len(self.ids) > 500_000:
+        if len(self.ids) > 700_000:
             self.forget()
         get = self.ids.get
         ids = [get(w, -1) for w in words]
         if -1 in ids:
-            ids = [self._id(w) if i < 0 else i for w, i in zip(words, ids)]
+            self.learn(list(dict.fromkeys(w for w, i in zip(words, ids) if i < 0)))
+            ids = [get(w) for w in words]
         return self.scores[ids]
 
     def predict(self, text: str | None) -> tuple[str, float]:
