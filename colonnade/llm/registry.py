@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontam, langid, maxent, minhash, pieces, quotes, sharding, simhash, toxicity
+from colonnade.llm import decontam, langid, maxent, minhash, pieces, quotes, sharding, simhash, tokenfiles, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
         "op2_quotes": quotes.op2_quotes,
+        "op3_tokenfiles": tokenfiles.op3_tokenfiles,
         "op4_sharding": sharding.op4_sharding,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_simhash": simhash.op6_simhash,
