@@ -59,7 +59,7 @@ class Pieces:
         self.unknown = min(v["scores"][i] for i in plain) - 10.0
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
 
     @staticmethod
     def normal(text: str | None) -> str:
@@ -93,6 +93,13 @@ class Pieces:
 
     def unit(self, s: str) -> tuple[int, ...]:
         """Pieces of a text that does not fall apart."""
+        return self.solved(s)[0]
+
+    def total(self, s: str) -> float:
+        """The sum of their scores."""
+        return self.solved(s)[1]
+
+    def solved(self, s: str) -> tuple[tuple[int, ...], float]:
         found = self.known.get(s)
         if found is not None:
             return found
@@ -109,15 +116,16 @@ class Pieces:
                     top, size = v, 1
             best[j], back[j] = top, size
         out: list[tuple[int, ...]] = []
-        while n:
-            out.append(self.ids_of(s[n - back[n] : n]))
-            n -= back[n]
-        ids = tuple(x for p in reversed(out) for x in p)
-        if len(s) <= 64:
+        k = n
+        while k:
+            out.append(self.ids_of(s[k - back[k] : k]))
+            k -= back[k]
+        result = tuple(x for p in reversed(out) for x in p), best[n]
+        if n <= 64:
             if len(self.known) > 300_000:
                 self.known.clear()
-            self.known[s] = ids
-        return ids
+            self.known[s] = result
+        return result
 
     def encode(self, text: str | None) -> list[int]:
         s = self.normal(text)
@@ -175,11 +183,6 @@ class Pieces:
         k = min(self.longest, n + 1)
         return np.where(np.eye(k, dtype=bool), 0.0, NONE)
 
-    def total(self, unit: str) -> float:
-        """The sum of scores of a unit's pieces."""
-        best, _ = self.forward(unit, np.zeros((1, 1)), len(unit))
-        return float(best[0, -1])
-
     def trace(self, s: str, own: int, into: int, out: int) -> list[int]:
         """Pieces of a chunk between its states at the start and at the end."""
         if not into and not out and self.apart:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colonnade.llm.common import tables
 
 #: Expected number of training texts; fewest documents of a word; most words of the model.
-SAMPLE, FEWEST, MOST = 6000, 4, 3000
+SAMPLE, FEWEST, MOST = 4500, 4, 3000
 #: Lengths of the beginnings of words that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 SENTENCE = re.compile(r"[.!?…。！？\n\r]+")
