@@ -95,7 +95,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     where = light.union(place_of.where("digest IS NOT NULL").select("digest", "shard"))
 
     parts = max(8, -(-n_rows // (shards * NUMBERED)))
-    rows = written(base.join(where, "digest").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part")), "placed")
+    rows = base.join(where, "digest").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
     # a row for each shard and part
     starts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("shard").orderBy("part")
