@@ -33,6 +33,8 @@ from colonnade.llm.common import tables, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
+#: Units whose pieces a worker remembers.
+REMEMBERED = 300_000
 FILE = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = -np.inf
 
@@ -56,6 +58,9 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.skip = {i for i in range(len(self.names)) if v["special"][i]}
         self.longest = max(map(len, self.score))
+        # scores of pieces, and None for what pieces only begin with
+        self.begun: dict[str, float | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
+        self.begun.update((p, x) for p, (x, _) in self.score.items())
         self.unknown = min(v["scores"][i] for i in plain) - 10.0
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -103,35 +108,37 @@ class Pieces:
         found = self.known.get(s)
         if found is not None:
             return found
-        get, unknown, longest, n = self.score.get, self.unknown, self.longest, len(s)
+        get, unknown, n = self.begun.get, self.unknown, len(s)
         best, back = [0.0] + [NONE] * n, [0] * (n + 1)
-        for j in range(1, n + 1):
-            top, size = NONE, 1
-            for i in range(max(0, j - longest), j):
-                hit = get(s[i:j])
-                if hit is not None:
-                    if (v := best[i] + hit[0]) > top:
-                        top, size = v, j - i
-                elif i == j - 1 and (v := best[i] + unknown) > top:
-                    top, size = v, 1
-            best[j], back[j] = top, size
+        for i in range(n):
+            here = best[i]
+            for j in range(i + 1, n + 1):
+                value = get(s[i:j], NONE)
+                if value is NONE:  # nothing begins so
+                    if j == i + 1 and here + unknown > best[j]:
+                        best[j], back[j] = here + unknown, 1
+                    break
+                if value is None:  # pieces begin so, but this is none
+                    value = unknown if j == i + 1 else NONE
+                if here + value > best[j]:
+                    best[j], back[j] = here + value, j - i
         out: list[tuple[int, ...]] = []
         k = n
         while k:
             out.append(self.ids_of(s[k - back[k] : k]))
             k -= back[k]
         result = tuple(x for p in reversed(out) for x in p), best[n]
-        if n <= 64:
-            if len(self.known) > 300_000:
-                self.known.clear()
+        if n <= 64 and len(self.known) < REMEMBERED:  # frequent units come early
             self.known[s] = result
         return result
 
     def encode(self, text: str | None) -> list[int]:
         s = self.normal(text)
         out: list[int] = []
+        get, unit = self.known.get, self.unit
         for u in self.units.findall(s) if self.apart else [s]:
-            out += self.unit(u)
+            known = get(u)
+            out += known[0] if known else unit(u)
         return out
 
     def decode(self, ids: list[int]) -> str:
