@@ -6,7 +6,8 @@ vocabulary cost more than any piece and become bytes. Spaces are written as U+25
 and one is put in front, as the vocabulary file asks; decoding undoes both.
 
 Where no piece holds a space after another character, a text falls apart before each
-run of spaces, so the pieces of words are found once and remembered. A text longer
+run of spaces, so the pieces of words are found once, by the tokenizers library with
+the same scores and the same choice at equal sums, and remembered. A text longer
 than `CHUNK` characters is cut into chunks that other tasks can take. A chunk gives a
 matrix: the best score from each state at its start to each state at its end, a state
 being how far a piece reaches over the boundary. Matrices are combined associatively
@@ -21,20 +22,23 @@ text is decoded as a space, so such a text does not come back as it was.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from tokenizers.models import Unigram
 
 from colonnade.llm.common import tables, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
-#: Units whose pieces a worker remembers.
-REMEMBERED = 300_000
+#: Characters of the units whose pieces a worker remembers.
+REMEMBERED = 4_000_000
 FILE = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = -np.inf
 
@@ -58,13 +62,16 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.skip = {i for i in range(len(self.names)) if v["special"][i]}
         self.longest = max(map(len, self.score))
-        # scores of pieces, and None for what pieces only begin with
-        self.begun: dict[str, float | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
-        self.begun.update((p, x) for p, (x, _) in self.score.items())
         self.unknown = min(v["scores"][i] for i in plain) - 10.0
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        # the library's own search, for units: the name of its unknown piece holds a space after a character, as no unit does
+        self.of = [-1, *plain]
+        self.search = Unigram([(f"?{SPACE}", min(v["scores"][i] for i in plain))] + [(self.names[i], v["scores"][i]) for i in plain], 0, False) if self.apart else None
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+        # what each id is in a text
+        self.raw = pa.array([b"" if i in self.skip else bytes((self.byte_of[i],)) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)], pa.binary())
 
     @staticmethod
     def normal(text: str | None) -> str:
@@ -96,59 +103,62 @@ class Pieces:
         found = self.score.get(piece)
         return (found[1],) if found else tuple(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
 
-    def unit(self, s: str) -> tuple[int, ...]:
-        """Pieces of a text that does not fall apart."""
-        return self.solved(s)[0]
-
-    def total(self, s: str) -> float:
-        """The sum of their scores."""
-        return self.solved(s)[1]
-
-    def solved(self, s: str) -> tuple[tuple[int, ...], float]:
-        found = self.known.get(s)
-        if found is not None:
-            return found
-        get, unknown, n = self.begun.get, self.unknown, len(s)
-        best, back = [0.0] + [NONE] * n, [0] * (n + 1)
-        for i in range(n):
-            here = best[i]
-            for j in range(i + 1, n + 1):
-                value = get(s[i:j], NONE)
-                if value is NONE:  # nothing begins so
-                    if j == i + 1 and here + unknown > best[j]:
-                        best[j], back[j] = here + unknown, 1
-                    break
-                if value is None:  # pieces begin so, but this is none
-                    value = unknown if j == i + 1 else NONE
-                if here + value > best[j]:
-                    best[j], back[j] = here + value, j - i
-        out: list[tuple[int, ...]] = []
-        k = n
-        while k:
-            out.append(self.ids_of(s[k - back[k] : k]))
-            k -= back[k]
-        result = tuple(x for p in reversed(out) for x in p), best[n]
-        if n <= 64 and len(self.known) < REMEMBERED:  # frequent units come early
-            self.known[s] = result
-        return result
+    def solved(self, s: str) -> tuple[list[int], float]:
+        """Pieces of a text that does not fall apart, and the sum of their scores."""
+        if self.search is None:
+            _, back = self.forward(s, np.zeros((1, 1)), len(s))
+            parts, j = [], len(s)
+            while j:
+                parts.append(s[j - back[0, j] : j])
+                j -= back[0, j]
+            parts.reverse()
+        else:
+            parts = [t.value for t in self.search.tokenize(s)]
+        ids, total = [], 0.0
+        for piece in parts:
+            found = self.score.get(piece)
+            if found:
+                total += found[0]
+                ids.append(found[1])
+            else:  # characters outside the vocabulary, one or more
+                total += self.unknown * len(piece)
+                ids += self.ids_of(piece)
+        return ids, total
+
+    def unit(self, s: str) -> bytes:
+        """Pieces of a text that does not fall apart, as little-endian 32-bit ids."""
+        if self.search is None:
+            return np.array(self.solved(s)[0], "<i4").tobytes()
+        of, ids = self.of, []
+        for t in self.search.tokenize(s):
+            if t.id:
+                ids.append(of[t.id])
+            else:
+                ids += self.ids_of(t.value)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def encoded(self, text: str | None) -> bytes:
+        """Pieces of a text, as little-endian 32-bit ids."""
+        s = self.normal(text)
+        units = self.units.findall(s) if self.apart else [s]
+        if self.held > REMEMBERED:  # frequent units come again soon
+            self.known, self.held = {}, 0
+        known, unit = self.known, self.unit
+        for u in set(units).difference(known):
+            known[u] = unit(u)
+            self.held += len(u)
+        return b"".join([known[u] for u in units])
 
     def encode(self, text: str | None) -> list[int]:
-        s = self.normal(text)
-        out: list[int] = []
-        get, unit = self.known.get, self.unit
-        for u in self.units.findall(s) if self.apart else [s]:
-            known = get(u)
-            out += known[0] if known else unit(u)
-        return out
+        return np.frombuffer(self.encoded(text), "<i4").tolist()
+
+    def texts(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list of ids."""
+        raw = pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), self.raw.take(ids.values)), b"")
+        return [(r or b"").decode("utf-8", "replace").removeprefix(" ") for r in raw.to_pylist()]
 
     def decode(self, ids: list[int]) -> str:
-        names, byte_of, skip = self.names, self.byte_of, self.skip
-        if any(i in byte_of or i in skip for i in set(ids)):
-            raw = b"".join(bytes((byte_of[i],)) if i in byte_of else b"" if i in skip else names[i].encode() for i in ids)
-            s = raw.decode("utf-8", "replace")
-        else:
-            s = "".join([names[i] for i in ids])
-        return s.replace(SPACE, " ").removeprefix(" ")
+        return self.texts(pa.array([ids], pa.list_(pa.int32())))[0]
 
     # giant texts
 
@@ -173,7 +183,7 @@ class Pieces:
             # the states at the start meet where the chunk first falls apart; nothing reaches over its end
             cut = len(self.first_cut(s[:own]))
             head = self.forward(s[:cut], self.entries(cut), cut)[0][:, cut]
-            rest = sum(self.total(u) for u in self.units.findall(s[cut:own]))
+            rest = sum(self.solved(u)[1] for u in self.units.findall(s[cut:own]))
             out = np.full((k, k), NONE)
             out[: len(head), 0] = head + rest
             return out
@@ -193,10 +203,7 @@ class Pieces:
     def trace(self, s: str, own: int, into: int, out: int) -> list[int]:
         """Pieces of a chunk between its states at the start and at the end."""
         if not into and not out and self.apart:
-            ids: list[int] = []
-            for u in self.units.findall(s[:own]):
-                ids += self.unit(u)
-            return ids
+            return np.frombuffer(b"".join([self.unit(u) for u in self.units.findall(s[:own])]), "<i4").tolist()
         start = np.full((1, into + 1), NONE)
         start[0, into] = 0.0
         _, back = self.forward(s[: own + out], start, own)
@@ -208,6 +215,16 @@ class Pieces:
         return [x for p in reversed(found) for x in p]
 
 
+_loaded: list[tuple[dict, Pieces]] = []
+
+
+def loaded(v: dict) -> Pieces:
+    """The pieces of v; a worker keeps those it used last, and what they remember, from task to task."""
+    if not _loaded or _loaded[0][0] != v:
+        _loaded[:] = [(v, Pieces(v))]
+    return _loaded[0][1]
+
+
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(max, +) product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -228,7 +245,7 @@ def _giants(docs: DataFrame, v: dict, chunk: int) -> DataFrame:
     """(doc_id, digest, ids) of the texts of more than `chunk` characters; each different one once."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = Pieces(v)
+        p = loaded(v)
         for b in batches:
             for d, digest, text in zip(b.doc_id, b.digest, b.text):
                 s = p.normal(text)
@@ -236,7 +253,7 @@ def _giants(docs: DataFrame, v: dict, chunk: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "digest", "k", "s", "own"])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = Pieces(v)
+        p = loaded(v)
         for b in batches:
             yield b[["doc_id", "digest", "k"]].assign(m=[p.matrix(s, n).astype("<f8").tobytes() for s, n in zip(b.s, b.own)])
 
@@ -247,7 +264,7 @@ def _giants(docs: DataFrame, v: dict, chunk: int) -> DataFrame:
         return group[["doc_id", "digest", "k"]].assign(into=states[:-1], out=states[1:])
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = Pieces(v)
+        p = loaded(v)
         for b in batches:
             yield b[["doc_id", "digest", "k"]].assign(ids=[p.trace(s, n, i, o) for s, n, i, o in zip(b.s, b.own, b.into, b.out)])
 
@@ -265,12 +282,14 @@ def encoded(docs: DataFrame, v: dict, to: str = "token_ids", chunk: int = CHUNK)
     at, schema = docs.columns.index("text"), T.StructType([*docs.schema, T.StructField(to, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(v)
+        p = loaded(v)
         for b in batches:
             step = 256
             for i in range(0, b.num_rows, step):
                 part = b.slice(i, step)
-                ids = pa.array([np.array(p.encode(t), np.int32) for t in part.column(at).to_pylist()], pa.list_(pa.int32()))
+                found = [p.encoded(t) for t in part.column(at).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, to])
 
     size = F.coalesce(F.char_length("text"), F.lit(0))
@@ -289,13 +308,16 @@ def decoded(df: DataFrame, v: dict, ids: str = "token_ids") -> DataFrame:
     """doc_id and, from the ids alone, n_tokens, ids_crc32 and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(v)
+        p = loaded(v)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                lists = part.column(1).to_pylist()
-                crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in lists]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, lists), pa.int64()), pa.array(crc, pa.int64()), pa.array(map(p.decode, lists), pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "decoded"])
+                # the slice may begin within its values
+                ends, values = part.column(1).offsets.to_numpy(), part.column(1).values.to_numpy()
+                values, ends = values[ends[0] : ends[-1]].astype("<i4", copy=False), ends - ends[0]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+                crc = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(p.texts(lists), pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "decoded"])
 
     return df.select("doc_id", ids).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded string")
 
