@@ -33,12 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers.models import Unigram
 
-from colonnade.llm.common import tables, written
+from colonnade.llm.common import small_batches, tables, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
 #: Characters of the units whose pieces a worker remembers.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 FILE = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = -np.inf
 
@@ -292,6 +292,7 @@ def encoded(docs: DataFrame, v: dict, to: str = "token_ids", chunk: int = CHUNK)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, to])
 
+    small_batches(docs.sparkSession)
     size = F.coalesce(F.char_length("text"), F.lit(0))
     small = docs.where(size <= chunk).mapInArrow(run, schema)
     big = docs.where(size > chunk)
@@ -319,6 +320,7 @@ def decoded(df: DataFrame, v: dict, ids: str = "token_ids") -> DataFrame:
                 crc = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(p.texts(lists), pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "decoded"])
 
+    small_batches(df.sparkSession)
     return df.select("doc_id", ids).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded string")
 
 
