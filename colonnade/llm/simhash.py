@@ -122,13 +122,13 @@ def linked(docs: DataFrame) -> DataFrame:
     return base.join(classes, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4, printed: int = WORDS) -> DataFrame:
     """(node, component) of documents with others alike; equal texts first, under their least doc_id.
 
-    In a table bucket each document is compared with the first and with the three
-    before it, so the work is in proportion to the bucket.
+    In a table bucket each document is compared with the first and with the one before
+    it, so the work is in proportion to the bucket. Keys are shuffled once.
     """
-    base = written(fingerprints(docs, WORDS, count, digest=True), "prints")
+    base = written(fingerprints(docs, printed, count, digest=True), "prints")
     groups = written(base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(count))), "groups")
     equal = base.join(groups.select("digest", F.col("doc_id").alias("root")), "digest").where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     halves = []
@@ -136,12 +136,9 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4)
         halves += [f"shiftrightunsigned(f{k}, 32)", f"(f{k} & 4294967295)"]
     keys = ", ".join(f"transform(sequence(0, 32), i -> ({h} ^ IF(i < 32, shiftleft(1L, i), 0L)) | {n << 32}L)" for n, h in enumerate(halves))
     rows = groups.select("doc_id", F.explode(F.expr(f"concat({keys})")).alias("key"))
-    crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("n > 1")
-    crowd = written(crowd, "met")
-    pairs = crowd.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     w = Window.partitionBy("key").orderBy("doc_id")
-    more = rows.join(crowd.where("n > 2").select("key", "low"), "key").select(F.col("doc_id").alias("a"), F.array("low", *(F.lag("doc_id", i).over(w) for i in (1, 2, 3))).alias("b")).select("a", F.explode("b").alias("b"))
-    pairs = written(pairs.union(more).where("b IS NOT NULL AND a <> b").distinct(), "pairs")
+    met = rows.select(F.col("doc_id").alias("a"), F.min("doc_id").over(w).alias("low"), F.lag("doc_id").over(w).alias("last")).where("a <> last")
+    pairs = written(met.select("a", F.explode(F.array("low", "last")).alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = written(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
     shared = F.size(F.array_intersect("sa", "sb"))
