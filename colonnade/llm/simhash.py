@@ -12,7 +12,7 @@ shingles. Two uses:
   paired: those fingerprints spell out their whole 64-bit balls of radius one, where
   all that meet are within two bits of each other, and join the least of each ball.
 * `similar`: documents of whose distinct shingles of five words 0.8 or more are
-  shared, found through four fingerprints of 64 bits (eight halves, balls of radius
+  shared, found through four fingerprints of 64 bits of shingles of two words (eight halves, balls of radius
   one on both sides, so halves meet at two differing bits) and verified exactly.
 
 Null and empty texts have fingerprint zero. Repeated rows give repeated rows. Columns
@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from colonnade.llm.common import components, tables, written
 
 WORDS, SEED, CROWD = 3, 42, 64
+#: Words of the shingles in the fingerprints that find similar documents: an edited word changes fewer short ones.
+PRINTED = 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 15
@@ -122,7 +124,7 @@ def linked(docs: DataFrame) -> DataFrame:
     return base.join(classes, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4, printed: int = WORDS) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4, printed: int = PRINTED) -> DataFrame:
     """(node, component) of documents with others alike; equal texts first, under their least doc_id.
 
     In a table bucket each document is compared with the first and with the one before
