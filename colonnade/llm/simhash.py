@@ -13,7 +13,8 @@ shingles. Two uses:
   all that meet are within two bits of each other, and join the least of each ball.
 * `similar`: documents of whose distinct shingles of five words 0.8 or more are
   shared, found through four fingerprints of 64 bits of shingles of two words (eight halves, balls of radius
-  one on both sides, so halves meet at two differing bits) and verified exactly.
+  one on both sides, so halves meet at two differing bits), kept if the four differ in `APART`
+  bits at most, and verified exactly.
 
 Null and empty texts have fingerprint zero. Repeated rows give repeated rows. Columns
 other than doc_id and text are not read. An empty table gives an empty table.
@@ -33,6 +34,8 @@ from colonnade.llm.common import components, tables, written
 WORDS, SEED, CROWD = 3, 42, 64
 #: Words of the shingles in the fingerprints that find similar documents: an edited word changes fewer short ones.
 PRINTED = 2
+#: Similar documents differ in at most so many of 256 bits: a likeness of 0.8 gives about 38, unrelated texts about 128.
+APART = 80
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 15
@@ -140,7 +143,12 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4,
     rows = groups.select("doc_id", F.explode(F.expr(f"concat({keys})")).alias("key"))
     w = Window.partitionBy("key").orderBy("doc_id")
     met = rows.select(F.col("doc_id").alias("a"), F.min("doc_id").over(w).alias("low"), F.lag("doc_id").over(w).alias("last")).where("a <> last")
-    pairs = written(met.select("a", F.explode(F.array("low", "last")).alias("b")).distinct(), "pairs")
+    met = met.select("a", F.explode(F.array("low", "last")).alias("b")).distinct()
+    prints = groups.select("doc_id", *(f"f{k}" for k in range(count)))
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(count)), F.lit(0))
+    # chance meetings grow with the square of the table, so whole fingerprints are compared before texts are read
+    sides = [prints.toDF(x, *(f"{x}{k}" for k in range(count))) for x in "ab"]
+    pairs = written(met.join(sides[0], "a").join(sides[1], "b").where(apart <= APART * count // 4).select("a", "b"), "pairs")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = written(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
     shared = F.size(F.array_intersect("sa", "sb"))
