@@ -72,14 +72,16 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, count: int = 1, digest: bool = False) -> DataFrame:
-    """(doc_id, f0 .. , digest): `count` fingerprints of each whole text, and 128 bits of its content on demand."""
+def fingerprints(docs: DataFrame, words: int = WORDS, count: int = 1, digest: bool = False, distinct: bool = False) -> DataFrame:
+    """(doc_id, f0 .. , digest): `count` fingerprints of each whole text, of its distinct shingles or of all, and 128 bits of its content on demand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, digests = [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
+                if distinct:
+                    h = np.unique(h)
                 found.append([fingerprint(mixed(h, k)) for k in range(count)])
                 if digest:
                     digests.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
@@ -133,7 +135,7 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4,
     In a table bucket each document is compared with the first and with the one before
     it, so the work is in proportion to the bucket. Keys are shuffled once.
     """
-    base = written(fingerprints(docs, printed, count, digest=True), "prints")
+    base = written(fingerprints(docs, printed, count, digest=True, distinct=True), "prints")
     groups = written(base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(count))), "groups")
     equal = base.join(groups.select("digest", F.col("doc_id").alias("root")), "digest").where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     halves = []

@@ -262,6 +262,20 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def kept_ids(spark, texts):
+    return sorted(r.doc_id for r in simhash.deduplicated(frame(spark, [(i, t, None) for i, t in enumerate(texts)])).collect())
+
+
+def test_near_duplicates_with_a_repeated_line(spark):
+    """A line that one of two texts repeats often adds hardly a distinct shingle."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(20):
+        body, line = (" ".join(f"v{rng.randrange(5000)}" for _ in range(n)) for n in (300, 12))
+        texts += [f"{body} {line}", f"{body} " + " ".join([line] * 60)]
+    assert kept_ids(spark, texts) == list(range(0, 40, 2))
+
+
 def brute_segmentation(p, s):
     best = {0: 0.0}
     for j in range(1, len(s) + 1):
