@@ -12,9 +12,8 @@ shingles. Two uses:
   paired: those fingerprints spell out their whole 64-bit balls of radius one, where
   all that meet are within two bits of each other, and join the least of each ball.
 * `similar`: documents of whose distinct shingles of five words 0.8 or more are
-  shared, found through four fingerprints of 64 bits of shingles of two words (eight halves, balls of radius
-  one on both sides, so halves meet at two differing bits), kept if the four differ in `APART`
-  bits at most, and verified exactly.
+  shared, found through the first fifth of each document's shingles in one order of all
+  shingles, in which any two such documents share one, and verified exactly.
 
 Null and empty texts have fingerprint zero. Repeated rows give repeated rows. Columns
 other than doc_id and text are not read. An empty table gives an empty table.
@@ -22,20 +21,23 @@ other than doc_id and text are not read. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from colonnade.llm.common import components, tables, written
 
 WORDS, SEED, CROWD = 3, 42, 64
-#: Words of the shingles in the fingerprints that find similar documents: an edited word changes fewer short ones.
+#: Words of shingles of which whole fingerprints of similar documents stay near.
 PRINTED = 2
 #: Similar documents differ in at most so many of 256 bits: a likeness of 0.8 gives about 38, unrelated texts about 128.
 APART = 80
+#: Shingles in OFTEN or more of one in SAMPLED texts come last in the order of shingles, COMMON of them at most.
+SAMPLED, OFTEN, COMMON = 16, 4, 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 15
@@ -129,55 +131,130 @@ def linked(docs: DataFrame) -> DataFrame:
     return base.join(classes, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, words: int = 5, least: float = 0.8, count: int = 4, printed: int = PRINTED) -> DataFrame:
-    """(node, component) of documents with others alike; equal texts first, under their least doc_id.
+def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
+    """(doc_id, text_md5, digest, n, keys): a row's own text, its distinct shingles, their number and the first of them.
 
-    In a table bucket each document is compared with the first and with the one before
-    it, so the work is in proportion to the bucket. Keys are shuffled once.
+    All shingles are in one order: those that are not in `common` (sorted) before those
+    that are, then by hash. Two sets that share `least` of their union share one of the
+    first n - ceil(least * n) + 1 in that order, whatever the order is.
     """
-    base = written(fingerprints(docs, printed, count, digest=True, distinct=True), "prints")
-    groups = written(base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(count))), "groups")
-    equal = base.join(groups.select("digest", F.col("doc_id").alias("root")), "digest").where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-    halves = []
-    for k in range(count):
-        halves += [f"shiftrightunsigned(f{k}, 32)", f"(f{k} & 4294967295)"]
-    keys = ", ".join(f"transform(sequence(0, 32), i -> ({h} ^ IF(i < 32, shiftleft(1L, i), 0L)) | {n << 32}L)" for n, h in enumerate(halves))
-    rows = groups.select("doc_id", F.explode(F.expr(f"concat({keys})")).alias("key"))
-    w = Window.partitionBy("key").orderBy("doc_id")
-    met = rows.select(F.col("doc_id").alias("a"), F.min("doc_id").over(w).alias("low"), F.lag("doc_id").over(w).alias("last")).where("a <> last")
-    met = met.select("a", F.explode(F.array("low", "last")).alias("b")).distinct()
-    prints = groups.select("doc_id", *(f"f{k}" for k in range(count)))
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(count)), F.lit(0))
-    # chance meetings grow with the square of the table, so whole fingerprints are compared before texts are read
-    sides = [prints.toDF(x, *(f"{x}{k}" for k in range(count))) for x in "ab"]
-    pairs = written(met.join(sides[0], "a").join(sides[1], "b").where(apart <= APART * count // 4).select("a", "b"), "pairs")
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, sizes, keys = [], [], []
+            for t in b.column(2).to_pylist():
+                h = np.unique(shingle_hashes(t, words))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                if len(common) and len(h):
+                    late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                    h = np.concatenate([h[~late], h[late]])
+                keys.append(h[: first_of(len(h), least)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_md5", "digest", "n", "keys"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), text_md5().alias("text_md5"), "text").mapInArrow(run, "doc_id bigint, text_md5 binary, digest binary, n int, keys array<bigint>")
+
+
+def first_of(n: int, least: float) -> int:
+    """How many shingles of n any set alike has one of; a little more where least * n is not exact."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+
+
+def text_md5() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts of a sample hold: `COMMON` at most, the most frequent. They only decide an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h bigint, n bigint")
+    held = written(sample.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "common")
+    # by quarter octaves of their counts: a few hundred rows
+    bands = held.groupBy(F.floor(F.log2("n") * 4).alias("band")).agg(F.count(F.lit(1)).alias("shingles"), F.min("n").alias("least")).orderBy(F.desc("band")).collect()
+    lowest, total = None, 0
+    for r in bands:
+        total += r["shingles"]
+        if total > COMMON:
+            break
+        lowest = r["least"]
+    if lowest is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(held.where(F.col("n") >= lowest).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def likes(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of which `least` of all shingles are shared, written."""
     shared = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(shared >= F.lit(least) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    return components(equal.union(near))
+    near = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return written(near.where(shared >= F.lit(least) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles): distinct 64-bit hashes of the shingles of whole texts."""
+def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, text_md5, digest) and the classes (digest, class) of different sets of shingles.
+
+    Texts of equal sets are one node from the start. Nodes meet in the buckets of the
+    first shingles of their sets (see `prefixes`), so all that are alike meet. In a
+    bucket each is compared with the one before it and with the first.
+    """
+    base = written(prefixes(docs, words, least, common_shingles(docs, words)), "prints")
+    groups = base.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    shown = groups.select("node", "n", F.size("keys").alias("own"), F.posexplode("keys").alias("at", "key"))
+    bucket = Window.partitionBy("key")
+    met = shown.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
+    met = written(met, "met")
+    line = bucket.orderBy("n", "node")
+    first = met.select("node", F.first("node").over(line).alias("low"), F.lag("node").over(line).alias("last"))
+    first = first.select("node", F.explode(F.array("low", "last")).alias("other")).where("node <> other")
+    tried = written(first.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
+    texts = base.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("row"))
+    nodes = met.select("node").distinct().join(groups.select("node", "digest"), "node").join(texts, "digest").select("node", "row.doc_id", "row.text_md5")
+    sets = written(shingle_sets(docs, nodes, words), "sets")
+    links = likes(tried, sets, least)
+    found = components(links)
+    classes = groups.join(found, "node").select("digest", F.col("component").alias("class"))
+    return base.select("doc_id", "text_md5", "digest"), classes
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): distinct 64-bit hashes of the shingles of the whole texts of nodes (node, doc_id, text_md5)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("text_md5", text_md5())
+    nodes = nodes.toDF("node", "of_id", "of_md5")
+    found = rows.join(nodes, (rows.text_md5 == nodes.of_md5) & rows.doc_id.eqNullSafe(nodes.of_id)).select("node", "text")
+    return found.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document, the one with the least doc_id, of each group of near duplicates; all columns stay.
+    """docs with one document, the one with the least doc_id (null last), of each group of near duplicates; all columns stay.
 
-    Rows that repeat a doc_id are one document.
+    Rows are told apart by doc_id and text; those that repeat both are one document.
     """
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])
-    losers = similar(docs).where("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.join(written(losers, "losers"), "doc_id", "left_anti").select(*docs.columns)
+    rows, classes = similar(docs)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")
+    rows = rows.join(classes, "digest", "left").select("doc_id", "text_md5", F.struct("class", F.when(F.col("class").isNull(), F.col("digest")).alias("alone")).alias("class"), own.alias("own"))
+    rows = written(rows, "classes")
+    best = rows.groupBy("class").agg(F.min("own").alias("best"))
+    losers = written(rows.join(best, "class").where("own <> best").select(F.col("doc_id").alias("of_id"), F.col("text_md5").alias("of_md5")).distinct(), "losers")
+    md5 = "_text_md5"
+    while md5 in docs.columns:
+        md5 += "_"
+    marked = docs.withColumn(md5, text_md5())
+    if rows.groupBy("doc_id", "text_md5").count().where("count > 1").limit(1).count():
+        marked = marked.dropDuplicates(["doc_id", md5])
+    kept = marked.join(losers, (marked[md5] == losers.of_md5) & marked.doc_id.cast("bigint").eqNullSafe(losers.of_id), "left_anti")
+    return kept.select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:

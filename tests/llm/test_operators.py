@@ -276,6 +276,28 @@ def test_near_duplicates_with_a_repeated_line(spark):
     assert kept_ids(spark, texts) == list(range(0, 40, 2))
 
 
+def brute_kept(texts):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    found = components_of(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    return sorted(set(found.values()))
+
+
+def test_near_duplicates_with_edited_blocks(spark):
+    """Blocks appended, cut and replaced, of likeness about 0.8, against brute force."""
+    rng = random.Random(7)
+    some = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for k in range(120):
+        n = (60, 100, 400)[k % 3]
+        base, block = some(n), int(n * rng.uniform(0.1, 0.26))
+        edited = [base + some(block), base[: n - block], base[: n // 3] + some(block // 2) + base[n // 3 + block // 2 :]][k % 4 % 3]
+        texts += [" ".join(base), " ".join(edited)]
+    want = brute_kept(texts)
+    assert 130 < len(want) < 200
+    assert kept_ids(spark, texts) == want
+
+
 def brute_segmentation(p, s):
     best = {0: 0.0}
     for j in range(1, len(s) + 1):
