@@ -13,7 +13,8 @@ shingles. Two uses:
   all that meet are within two bits of each other, and join the least of each ball.
 * `similar`: documents of whose distinct shingles of five words 0.8 or more are
   shared, found through the first fifth of each document's shingles in one order of all
-  shingles, in which any two such documents share one, and verified exactly.
+  shingles, in which any two such documents share one, and verified exactly. Pairs that
+  are already in one class are left out.
 
 Null and empty texts have fingerprint zero. Repeated rows give repeated rows. Columns
 other than doc_id and text are not read. An empty table gives an empty table.
@@ -38,6 +39,8 @@ PRINTED = 2
 APART = 80
 #: Shingles in OFTEN or more of one in SAMPLED texts come last in the order of shingles, COMMON of them at most.
 SAMPLED, OFTEN, COMMON = 16, 4, 200_000
+#: Nodes of a bucket that are compared by pairs in one place.
+BLOCK = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 15
@@ -195,12 +198,39 @@ def likes(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(near.where(shared >= F.lit(least) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near")
 
 
+def with_classes(met: DataFrame, links: DataFrame) -> DataFrame:
+    """met (key, node, n, at) of the buckets where links leave more than one class, with the class of each node."""
+    found = components(links)
+    rows = met.join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("class"))
+    mixed_keys = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("of")).where("x <> y").select("key", "of")
+    return written(rows.join(mixed_keys, "key"), "mixed")
+
+
+def across(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): nodes of different classes that share a bucket of rows (key, node, n, at, class) and whose sizes and places there allow `least`.
+
+    A bucket is cut into blocks of about `BLOCK` nodes; every two blocks meet under a key of their own.
+    """
+    blocks = F.ceil(F.col("of") / F.lit(float(BLOCK))).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    x = rows.select("key", F.col("block").alias("bx"), every.alias("by"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ta"), F.col("class").alias("ca"))
+    y = rows.select("key", every.alias("bx"), F.col("block").alias("by"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("tb"), F.col("class").alias("cb"))
+    # at the first shingle that two sets share, all others they share come after it in both
+    most = F.lit(1) + F.least(F.col("na") - F.col("ta"), F.col("nb") - F.col("tb")) - 1
+    enough = most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
+    sizes = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-6)
+    return x.join(y, ["key", "bx", "by"]).where("a > b AND ca <> cb").where(sizes).where(enough).select("a", "b").distinct()
+
+
 def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, text_md5, digest) and the classes (digest, class) of different sets of shingles.
 
     Texts of equal sets are one node from the start. Nodes meet in the buckets of the
     first shingles of their sets (see `prefixes`), so all that are alike meet. In a
-    bucket each is compared with the one before it and with the first.
+    bucket each is compared with the one before it and with the one whose shingles most
+    others have; where that leaves a bucket more than one class, all pairs of different
+    classes are compared.
     """
     base = written(prefixes(docs, words, least, common_shingles(docs, words)), "prints")
     groups = base.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -209,14 +239,21 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFr
     bucket = Window.partitionBy("key")
     met = shown.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
     met = written(met, "met")
+    # of a group of edited copies the original has the fewest shingles of its own
+    known = met.groupBy("node").agg((F.sum(F.log2("size")) / F.max("own")).alias("known"))
+    rows = met.join(known, "node")
     line = bucket.orderBy("n", "node")
-    first = met.select("node", F.first("node").over(line).alias("low"), F.lag("node").over(line).alias("last"))
-    first = first.select("node", F.explode(F.array("low", "last")).alias("other")).where("node <> other")
+    first = rows.select("node", F.max(F.struct("known", "node")).over(bucket)["node"].alias("best"), F.lag("node").over(line).alias("last"))
+    first = first.select("node", F.explode(F.array("best", "last")).alias("other")).where("node <> other")
     tried = written(first.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
     texts = base.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("row"))
     nodes = met.select("node").distinct().join(groups.select("node", "digest"), "node").join(texts, "digest").select("node", "row.doc_id", "row.text_md5")
     sets = written(shingle_sets(docs, nodes, words), "sets")
     links = likes(tried, sets, least)
+    met = met.select("key", "node", "n", "at")
+    rest = with_classes(met, links)
+    if not rest.isEmpty():
+        links = links.union(likes(across(rest, least).join(tried, ["a", "b"], "left_anti"), sets, least))
     found = components(links)
     classes = groups.join(found, "node").select("digest", F.col("component").alias("class"))
     return base.select("doc_id", "text_md5", "digest"), classes

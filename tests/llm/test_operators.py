@@ -298,6 +298,33 @@ def test_near_duplicates_with_edited_blocks(spark):
     assert kept_ids(spark, texts) == want
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_near_duplicates_in_large_groups(spark, block, monkeypatch):
+    """A hub of copies that are alike only through it, two groups in one bucket and a ring, against brute force."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(8)
+    some = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"e{rng.randrange(10**6)}"
+        return words
+
+    base, shared = some(300), some(60)
+    hub = [base] + [edited(base, 6) for _ in range(200)]
+    two = [shared + edited(b, 2) for b in (some(150), some(150)) for _ in range(30)]
+    ring, words = [], some(300)
+    for _ in range(40):
+        words = edited(words, 6)
+        ring.append(words)
+    texts = [" ".join(t) for t in hub + two + ring]
+    rng.shuffle(texts)
+    want = brute_kept(texts)
+    assert len(want) < 10
+    assert kept_ids(spark, texts) == want
+
+
 def brute_segmentation(p, s):
     best = {0: 0.0}
     for j in range(1, len(s) + 1):
