@@ -325,6 +325,15 @@ def test_near_duplicates_in_large_groups(spark, block, monkeypatch):
     assert kept_ids(spark, texts) == want
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """Rows that share a doc_id, or have none, are apart unless their texts are alike."""
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"v{rng.randrange(5000)}" for _ in range(80)) for _ in range(4))
+    data = [(None, a, "en"), (None, b, "en"), (1, c, "en"), (1, d, "en"), (1, d, "en"), (2, a + " end", "en"), (None, c, "en"), (None, b, "en")]
+    kept = simhash.deduplicated(frame(spark, data))
+    assert rows(kept.select("doc_id", "text")) == sorted([(None, b), (1, c), (1, d), (2, a + " end")], key=repr)
+
+
 def brute_segmentation(p, s):
     best = {0: 0.0}
     for j in range(1, len(s) + 1):
