@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from colonnade.llm.common import components, tables, written
+from colonnade.llm.common import components, fits, tables, written
 
 WORDS, SEED, CROWD = 3, 42, 64
 #: Words of shingles of which whole fingerprints of similar documents stay near.
@@ -191,13 +191,24 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(held.where(F.col("n") >= lowest).select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
-def likes(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of which `least` of all shingles are shared, written."""
+def likes(pairs: DataFrame, docs: DataFrame, groups: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes of which `least` of all shingles are shared, written."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = nodes.join(groups.select("node", "digest"), "node").join(rows, "digest").select("node", "row.doc_id", "row.text_md5")
+    sets = written(shingle_sets(docs, written(nodes, "nodes"), words), "sets")
     shared = F.size(F.array_intersect("sa", "sb"))
     near = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return written(near.where(shared >= F.lit(least) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near")
 
 
+def may_be_like(x: str, y: str, least: float) -> Column:
+    """Whether sets (n, at) that share their shingles at those places can share `least`, if they share none before."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    # all others that they share come after it in both
+    most = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
+    return (most >= F.lit(least / (1 + least)) * (n + m) - F.lit(1e-6)) & (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - F.lit(1e-6))
+
+
 def with_classes(met: DataFrame, links: DataFrame) -> DataFrame:
     """met (key, node, n, at) of the buckets where links leave more than one class, with the class of each node."""
     found = components(links)
@@ -214,13 +225,11 @@ def across(rows: DataFrame, least: float) -> DataFrame:
     blocks = F.ceil(F.col("of") / F.lit(float(BLOCK))).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    x = rows.select("key", F.col("block").alias("bx"), every.alias("by"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ta"), F.col("class").alias("ca"))
-    y = rows.select("key", every.alias("bx"), F.col("block").alias("by"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("tb"), F.col("class").alias("cb"))
-    # at the first shingle that two sets share, all others they share come after it in both
-    most = F.lit(1) + F.least(F.col("na") - F.col("ta"), F.col("nb") - F.col("tb")) - 1
-    enough = most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
-    sizes = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-6)
-    return x.join(y, ["key", "bx", "by"]).where("a > b AND ca <> cb").where(sizes).where(enough).select("a", "b").distinct()
+    own = F.struct("node", "n", "at", "class")
+    x = rows.select("key", F.col("block").alias("bx"), every.alias("by"), own.alias("x"))
+    y = rows.select("key", every.alias("bx"), F.col("block").alias("by"), own.alias("y"))
+    met = x.join(y, ["key", "bx", "by"]).where("x.node > y.node AND x.class <> y.class").where(may_be_like("x", "y", least))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -235,25 +244,21 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFr
     base = written(prefixes(docs, words, least, common_shingles(docs, words)), "prints")
     groups = base.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    shown = groups.select("node", "n", F.size("keys").alias("own"), F.posexplode("keys").alias("at", "key"))
+    shown = groups.select("node", "n", F.posexplode("keys").alias("at", "key"))
     bucket = Window.partitionBy("key")
-    met = shown.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
-    met = written(met, "met")
+    met = written(shown.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1"), "met")
     # of a group of edited copies the original has the fewest shingles of its own
-    known = met.groupBy("node").agg((F.sum(F.log2("size")) / F.max("own")).alias("known"))
-    rows = met.join(known, "node")
-    line = bucket.orderBy("n", "node")
-    first = rows.select("node", F.max(F.struct("known", "node")).over(bucket)["node"].alias("best"), F.lag("node").over(line).alias("last"))
-    first = first.select("node", F.explode(F.array("best", "last")).alias("other")).where("node <> other")
-    tried = written(first.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
-    texts = base.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("row"))
-    nodes = met.select("node").distinct().join(groups.select("node", "digest"), "node").join(texts, "digest").select("node", "row.doc_id", "row.text_md5")
-    sets = written(shingle_sets(docs, nodes, words), "sets")
-    links = likes(tried, sets, least)
-    met = met.select("key", "node", "n", "at")
+    known = met.groupBy("node").agg((F.sum(F.log2("size")) / F.max("n")).alias("known"))
+    place = F.struct("node", "n", "at")
+    first = met.join(known, "node").select("node", "n", "at", F.max(F.struct("known", "node", "n", "at")).over(bucket).alias("best"), F.lag(place).over(bucket.orderBy("n", "node")).alias("last"))
+    first = first.select(place.alias("x"), F.explode(F.array(F.struct("best.node", "best.n", "best.at"), "last")).alias("y")).where("x.node <> y.node").where(may_be_like("x", "y", least))
+    tried = written(first.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "pairs")
+    rows = base.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("row"))
+    links = likes(tried, docs, groups, rows, words, least)
     rest = with_classes(met, links)
     if not rest.isEmpty():
-        links = links.union(likes(across(rest, least).join(tried, ["a", "b"], "left_anti"), sets, least))
+        more = written(across(rest, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(likes(more, docs, groups, rows, words, least))
     found = components(links)
     classes = groups.join(found, "node").select("digest", F.col("component").alias("class"))
     return base.select("doc_id", "text_md5", "digest"), classes
@@ -269,8 +274,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("text_md5", text_md5())
     nodes = nodes.toDF("node", "of_id", "of_md5")
+    nodes = F.broadcast(nodes) if fits(nodes) else nodes
     found = rows.join(nodes, (rows.text_md5 == nodes.of_md5) & rows.doc_id.eqNullSafe(nodes.of_id)).select("node", "text")
-    return found.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -278,18 +284,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text; those that repeat both are one document.
     """
-    rows, classes = similar(docs)
-    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")
-    rows = rows.join(classes, "digest", "left").select("doc_id", "text_md5", F.struct("class", F.when(F.col("class").isNull(), F.col("digest")).alias("alone")).alias("class"), own.alias("own"))
-    rows = written(rows, "classes")
-    best = rows.groupBy("class").agg(F.min("own").alias("best"))
-    losers = written(rows.join(best, "class").where("own <> best").select(F.col("doc_id").alias("of_id"), F.col("text_md5").alias("of_md5")).distinct(), "losers")
     md5 = "_text_md5"
     while md5 in docs.columns:
         md5 += "_"
     marked = docs.withColumn(md5, text_md5())
-    if rows.groupBy("doc_id", "text_md5").count().where("count > 1").limit(1).count():
-        marked = marked.dropDuplicates(["doc_id", md5])
+    if marked.groupBy("doc_id", md5).count().where("count > 1").limit(1).count():
+        marked = written(marked.dropDuplicates(["doc_id", md5]), "distinct")
+    rows, classes = similar(marked)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")
+    rows = rows.join(classes, "digest", "left").select("doc_id", "text_md5", F.struct("class", F.when(F.col("class").isNull(), F.col("digest")).alias("alone")).alias("class"), own.alias("own"))
+    rows = written(rows, "classes")
+    best = rows.groupBy("class").agg(F.min("own").alias("best"))
+    losers = written(rows.join(best, "class").where("own <> best").select(F.col("doc_id").alias("of_id"), F.col("text_md5").alias("of_md5")), "losers")
     kept = marked.join(losers, (marked[md5] == losers.of_md5) & marked.doc_id.cast("bigint").eqNullSafe(losers.of_id), "left_anti")
     return kept.select(*docs.columns)
 
