@@ -11,9 +11,10 @@ the same scores and the same choice at equal sums, and remembered. A text longer
 than `CHUNK` characters is cut into chunks that other tasks can take. A chunk gives a
 matrix: the best score from each state at its start to each state at its end, a state
 being how far a piece reaches over the boundary. Matrices are combined associatively
-by (max, +), which fixes the state at every boundary, and each chunk is then traced
-back on its own. Chunks end where the text falls apart if it does so near; elsewhere
-(one word longer than a chunk) equal sums may be cut in another place than in one piece.
+by (max, +), which gives the scores of the states at every boundary; with them each
+chunk finds, by the same choice at equal sums, from which state at its start each state
+at its end comes. That fixes the states, and each chunk is then traced back on its own,
+so the pieces are those of the text taken whole.
 
 Null and empty texts have no pieces. Repeated rows give repeated rows. A U+2581 in a
 text is decoded as a space, so such a text does not come back as it was.
@@ -193,6 +194,25 @@ class Pieces:
         out[: reach.shape[0], : reach.shape[1]] = reach
         return out
 
+    def ways(self, s: str, own: int, arrive: np.ndarray) -> np.ndarray:
+        """For each state at the end of a chunk the state at its start, if those there have the scores `arrive`; the longest last piece wins at equal sums."""
+        out = np.zeros(self.longest, np.int32)
+        if not np.isfinite(arrive[1:]).any():
+            return out
+        end, states = own, self.longest
+        if self.apart and (len(s) == own or s[own] == SPACE and s[own - 1] != SPACE) and len(self.first_cut(s[:own])) < own:
+            # every way comes through the place where the chunk first falls apart
+            end, states = len(self.first_cut(s[:own])), 1
+            s = s[:end]
+        best, back = self.forward(s, arrive[None], end)
+        for o in range(min(states, len(s) + 1 - end)):
+            j = end + o
+            if best[0, j] > NONE:
+                while back[0, j]:  # none: a piece that came over the start
+                    j -= back[0, j]
+                out[o] = j
+        return out
+
     def first_cut(self, s: str) -> str:
         return self.units.match(s)[0]
 
@@ -230,15 +250,12 @@ def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def boundaries(matrices: list[np.ndarray]) -> list[int]:
-    """The state before each chunk and after the last: prefix products forward, then the choices backward."""
-    prefix = [matrices[0][:1]]
-    for m in matrices[1:]:
+def arriving(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """The best score of each state before each chunk."""
+    prefix = [np.where(np.arange(len(matrices[0])) == 0, 0.0, NONE)[None]]
+    for m in matrices[:-1]:
         prefix.append(combined(prefix[-1], m))
-    states = [0]
-    for i in range(len(matrices) - 1, 0, -1):
-        states.append(int((prefix[i - 1][0] + matrices[i][:, states[-1]]).argmax()))
-    return [0, *reversed(states)]
+    return [x[0] for x in prefix]
 
 
 def _giants(docs: DataFrame, v: dict, chunk: int) -> DataFrame:
@@ -257,10 +274,22 @@ def _giants(docs: DataFrame, v: dict, chunk: int) -> DataFrame:
         for b in batches:
             yield b[["doc_id", "digest", "k"]].assign(m=[p.matrix(s, n).astype("<f8").tobytes() for s, n in zip(b.s, b.own)])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
+    def arrive(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
         side = int((len(group.m.iloc[0]) // 8) ** 0.5)
-        states = boundaries([np.frombuffer(m, "<f8").reshape(side, side) for m in group.m])
+        found = arriving([np.frombuffer(m, "<f8").reshape(side, side) for m in group.m])
+        return group[["doc_id", "digest", "k"]].assign(a=[x.astype("<f8").tobytes() for x in found])
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = loaded(v)
+        for b in batches:
+            yield b[["doc_id", "digest", "k"]].assign(w=[p.ways(s, n, np.frombuffer(a, "<f8")).astype("<i4").tobytes() for s, n, a in zip(b.s, b.own, b.a)])
+
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        group, states = group.sort_values("k"), [0]
+        for w in reversed(list(group.w)):
+            states.append(int(np.frombuffer(w, "<i4")[states[-1]]))
+        states.reverse()
         return group[["doc_id", "digest", "k"]].assign(into=states[:-1], out=states[1:])
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +301,9 @@ def _giants(docs: DataFrame, v: dict, chunk: int) -> DataFrame:
     rows = docs.dropDuplicates(["doc_id", "digest"]).mapInPandas(cut, f"{key}, s string, own int")
     rows = written(rows.repartition("doc_id", "digest", "k"), "chunks")
     matrices = rows.mapInPandas(measure, f"{key}, m binary")
-    states = matrices.groupBy("doc_id", "digest").applyInPandas(scan, f"{key}, into int, out int")
+    arrived = matrices.groupBy("doc_id", "digest").applyInPandas(arrive, f"{key}, a binary")
+    ways = rows.join(arrived, ["doc_id", "digest", "k"]).mapInPandas(go, f"{key}, w binary")
+    states = ways.groupBy("doc_id", "digest").applyInPandas(scan, f"{key}, into int, out int")
     found = rows.join(states, ["doc_id", "digest", "k"]).mapInPandas(trace, f"{key}, ids array<int>")
     return found.groupBy("doc_id", "digest").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 

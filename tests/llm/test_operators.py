@@ -365,6 +365,17 @@ def test_pieces(spark, odd, none, docs):
     assert pieces.encoded(none, v).count() == 0
 
 
+def test_pieces_of_giant_texts_do_not_depend_on_chunks(spark):
+    v = pieces.vocabulary()
+    p = pieces.Pieces(v)
+    rng = random.Random(10)
+    blobs = ["".join(rng.choice(letters) for _ in range(600)) for letters in ("abcdefghteiou", "aaab", "the", "\nhetanor", "漢字的一是") for _ in range(12)]
+    want = {i: p.encode(t) for i, t in enumerate(blobs)}
+    for chunk in (40, 97):
+        got = {r.doc_id: r.token_ids for r in pieces.encoded(frame(spark, [(i, t, None) for i, t in enumerate(blobs)]), v, chunk=chunk).collect()}
+        assert [i for i in want if got[i] != want[i]] == []
+
+
 def test_language(spark, docs, odd, none):
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.predicted(docs, model).collect()}
