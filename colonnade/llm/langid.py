@@ -5,10 +5,17 @@ word boundaries). The word's script first narrows the languages to those seen wi
 it. Viterbi with a penalty for each change of language then labels the words, and a
 document's language is the one whose spans hold most letters.
 
-The classifier learns from a bounded sample: about `SAMPLE` whole texts a language,
-those with the least hash of doc_id. Null texts and texts without a letter are `und`
-with score 0. Repeated rows give repeated rows; other columns are passed over. With no
-labelled text at all every document is `und`.
+A word is a run of letters (Unicode category L) with the marks on them, so numbers,
+also such as a half or a circled two, are none.
+
+The classifier learns from a bounded sample: about `SAMPLE` whole texts of at most
+`LONG` characters of each of the `LANGUAGES` most frequent languages, those with the
+least hash of doc_id and text. Null texts and texts without a letter are `und` with score
+0. A null doc_id is not held out. Of languages with equal letters the first by name is
+predicted. Very long texts are labelled whole (a word costs some hundred bytes
+meanwhile). Repeated rows give repeated rows; other columns are passed over, whatever
+their names. With no labelled text at all every document is `und`; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -21,12 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import tables
+from colonnade.llm.common import small_batches, tables, written
 
 #: Expected number of training texts of each language, n-grams kept of each, longest n-gram.
 SAMPLE, KEPT, LONGEST = 400, 20_000, 4
+#: Languages that are learned at most, and characters of a training text at most.
+LANGUAGES, LONG = 200, 100_000
+#: Words whose scores a worker remembers.
+REMEMBERED = 250_000
 PENALTY = 6.0
 UND = "und"
 #: First code points of script ranges and their names; fixed values.
@@ -38,7 +50,29 @@ SCRIPTS = (
     (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"),
 )
 _STARTS = [s for s, _ in SCRIPTS]
-WORD = re.compile(r"[^\W\d_]+")
+WORD, MARK = regex.compile(r"\p{L}[\p{L}\p{M}]*"), regex.compile(r"\p{M}")
+#: Finds the same where no mark and no letter-like number is in the text, and faster.
+PLAIN = re.compile(r"[^\W\d_]+")
+
+
+def marked(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return MARK.search(text) is not None
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-case words of a text."""
+    low = (text or "").lower()
+    if not marked(low):
+        found = PLAIN.findall(low)
+        if not found or "".join(found).isalpha():
+            return found
+    return WORD.findall(low)
 
 
 def script(c: str) -> str:
@@ -55,9 +89,9 @@ def train(rows: list[tuple[str | None, str]]) -> dict:
     counts: dict[str, Counter] = {}
     scripts: dict[str, Counter] = {}
     for text, lang in rows:
-        words = Counter(WORD.findall((text or "").lower()))
+        found = Counter(words(text))
         g, s = counts.setdefault(lang, Counter()), scripts.setdefault(lang, Counter())
-        for w, n in words.items():
+        for w, n in found.items():
             s[script(w[0])] += n
             for x in grams(w):
                 g[x] += n
@@ -140,7 +174,7 @@ class Labeller:
         return [(self.langs[labels[a]], found[a].start(), found[b - 1].end()) for a, b in zip(cuts, cuts[1:])]
 
     def scores_of(self, words: list[str]) -> np.ndarray:
-        if len(self.ids) > 700_000:
+        if len(self.ids) > REMEMBERED:
             self.forget()
         get = self.ids.get
         ids = [get(w, -1) for w in words]
@@ -150,29 +184,32 @@ class Labeller:
         return self.scores[ids]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.langs:
+        found = words(text)
+        if not found or not self.langs:
             return UND, 0.0
-        labels = self.path(self.scores_of(words))
-        letters = np.bincount(labels, weights=list(map(len, words)), minlength=len(self.langs))
+        labels = self.path(self.scores_of(found))
+        letters = np.bincount(labels, weights=list(map(len, found)), minlength=len(self.langs))
         k = int(letters.argmax())
         return self.langs[k], float(letters[k] / letters.sum())
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Learns from text and lang of the rows that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.char_length("text") <= LONG))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return train([])
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(sample / n)) for k, n in sorted(sizes.items())))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
-    chosen = rows.where(place < share).select("doc_id", "text", "lang").collect()
-    return train([(r["text"], r["lang"]) for r in sorted(chosen, key=lambda r: (r["doc_id"], r["text"] or ""))])
+    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(sample / r["n"])) for r in sizes), F.lit(0.0))
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+    place = F.shiftrightunsigned(key, 11) / F.lit(2.0**53)
+    # rows that repeat a text and doc_id have the same place; one stays, and the limit holds in any case
+    chosen = rows.where(place < share).select("lang", "text", key.alias("key")).dropDuplicates(["lang", "key"])
+    chosen = chosen.orderBy("key", "lang", "text").limit(2 * sample * len(sizes)).collect()
+    return train([(r["text"], r["lang"]) for r in chosen])
 
 
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
@@ -184,7 +221,7 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
             found = [labeller.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -197,7 +234,8 @@ def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             found = [labeller.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    with small_batches(docs.sparkSession):
+        return written(docs.mapInArrow(run, docs.schema), "identified")
 
 
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
