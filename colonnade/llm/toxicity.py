@@ -4,26 +4,32 @@ A document is a bag of sentences. A sentence's score is a logistic model of its
 and their beginnings; the document's is their noisy-or, 1 - prod(1 - p). Only documents are labelled: the
 gradient of the noisy-or finds which sentences to blame.
 
-The classifier learns from a bounded sample: about `SAMPLE` labelled texts, those with
-the least hash of doc_id. A null or empty text has no sentence; it is scored as one
-sentence without words. Conflicting or repeated labels count once each; null labels
-do not. Repeated rows give repeated rows.
+The classifier learns from a bounded sample: `SAMPLE` labels at most, those with the
+least hash of doc_id, and of the texts of those documents that have at most `LONG`
+characters `SAMPLE` at most. A null or empty text has no sentence; it is scored as one
+sentence without words. Conflicting or repeated labels count once each; null labels, and
+those of a null doc_id, do not. A null doc_id is not held out. A score of just 0.5 is
+predicted toxic. Very long texts are scored whole. Repeated rows give repeated rows; other
+columns are passed over, whatever their names. An empty table gives an empty table;
+without labels all documents score low.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import tables
+from colonnade.llm.common import small_batches, tables, written
 
-#: Expected number of training texts; fewest documents of a word; most words of the model.
+#: Most training texts; fewest documents of a word; most words of the model.
 SAMPLE, FEWEST, MOST = 4500, 4, 3000
+#: Characters of a training text at most; words whose weights a worker remembers.
+LONG, REMEMBERED = 100_000, 200_000
 #: Lengths of the beginnings of words that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 SENTENCE = re.compile(r"[.!?…。！？\n\r]+")
@@ -44,27 +50,37 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 500, rate: float = 0
     """Full-batch gradient ascent with per-weight step sizes on the noisy-or likelihood."""
     if not rows:
         return {"bias": -2.0, "weights": {}}
-    bags = [[[x for w in sorted(set(s.split())) for x in features(w)] for s in sentences(t)] for t, _ in rows]
+    # features by number; of each instance those of its words, of each document those it has
+    numbers: dict[str, int] = {}
+    of_word: dict[str, list[int]] = {}
+    idx, sizes, doc = array("i"), array("i"), array("i")
     y = np.array([v for _, v in rows], np.float64)
-    seen, toxic = Counter(), Counter()
-    for bag, v in zip(bags, y):
-        words = set().union(*bag)
-        seen.update(words)
-        if v:
-            toxic.update(words)
-    # the words whose share of toxic documents departs most from the common share, for their number
-    rate_all = (y.sum() + 0.5) / (len(y) + 1)
-    odd = {w: abs(toxic[w] - n * rate_all) / (n * rate_all * (1 - rate_all)) ** 0.5 for w, n in seen.items() if n >= FEWEST}
-    vocabulary = {w: i for i, w in enumerate(sorted(odd, key=lambda w: (-odd[w], w))[:MOST])}
-    # instances with the same words in a bag are kept apart; those without a word of the model are a count
-    doc, first, idx = [], [0], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            idx += (vocabulary[w] for w in s if w in vocabulary)
-            first.append(len(idx))
+    had: list[np.ndarray] = []
+    for d, (text, _) in enumerate(rows):
+        began = len(idx)
+        for s in sentences(text):
+            before = len(idx)
+            for word in sorted(set(s.split())):
+                if word not in of_word:
+                    of_word[word] = [numbers.setdefault(f, len(numbers)) for f in features(word)]
+                idx.extend(of_word[word])
+            sizes.append(len(idx) - before)
             doc.append(d)
-    doc, idx, sizes = np.array(doc), np.array(idx, np.int64), np.diff(first)
-    row = np.repeat(np.arange(len(doc)), sizes)
+        had.append(np.unique(np.frombuffer(idx, np.int32)[began:].copy()) if len(idx) > began else np.zeros(0, np.int32))
+    seen, toxic = np.zeros(len(numbers)), np.zeros(len(numbers))
+    for own, v in zip(had, y):
+        seen[own] += 1
+        toxic[own] += v > 0
+    del of_word, had
+    # the words whose share of toxic documents departs most from the common share, for their number
+    rate_all, names = (y.sum() + 0.5) / (len(y) + 1), list(numbers)
+    odd = np.abs(toxic - seen * rate_all) / np.sqrt(np.maximum(seen, 1) * rate_all * (1 - rate_all))
+    chosen = sorted(np.flatnonzero(seen >= FEWEST).tolist(), key=lambda f: (-odd[f], names[f]))[:MOST]
+    vocabulary, place = {names[f]: i for i, f in enumerate(chosen)}, np.full(len(names) + 1, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    doc, idx = np.array(doc, np.int64), place[np.frombuffer(idx, np.int32)] if len(idx) else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(doc), dtype=np.int32), np.frombuffer(sizes, np.int32))
+    row, idx = row[idx >= 0].astype(np.int64), idx[idx >= 0].astype(np.int64)
     w, b = np.zeros(len(vocabulary)), float(np.log(1e-3))
     gw, gb = np.full(len(w), 1e-8), 1e-8
     for _ in range(rounds):
@@ -89,7 +105,7 @@ class Scorer:
     def weight(self, word: str) -> float:
         x = self.words.get(word)
         if x is None:
-            if len(self.words) > 500_000:
+            if len(self.words) > REMEMBERED:
                 self.words.clear()
             x = self.words[word] = sum(self.weights.get(f, 0.0) for f in features(word))
         return x
@@ -115,18 +131,19 @@ class Scorer:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Learns from labels whose document is not held out."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
-    n = known.count()
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
-    # bounded by `sample`, so this side can be sent to every executor
-    chosen = F.broadcast(known.where(place < F.lit(sample / max(1, n))))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").collect()
-    return train([(r["text"], int(r["toxic"] > 0)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))])
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
+    # `sample` rows at most, so this side can be sent to every executor
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample))
+    texts = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= LONG).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = texts.join(chosen, "doc_id").withColumn("key", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "toxic", "key"])
+    rows = rows.orderBy("key", "doc_id", "toxic", "text").limit(sample).collect()
+    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))])
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
@@ -138,7 +155,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
             s = np.array([scorer.score(t) for t in b.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def offending(docs: DataFrame, model: dict) -> DataFrame:
@@ -150,7 +167,7 @@ def offending(docs: DataFrame, model: dict) -> DataFrame:
             rows = [(d, i, s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, s in scorer.offending(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.float64()))], names=["doc_id", "sentence", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sentence int, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, sentence int, score double")
 
 
 def cleaned(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,7 +179,8 @@ def cleaned(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    with small_batches(docs.sparkSession):
+        return written(docs.mapInArrow(run, docs.schema), "cleaned")
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
