@@ -9,20 +9,25 @@ sequences of 64-bit word hashes).
 
 An item of fewer than 10 words, but not none, is one window; windows of each such
 length are looked up as they are. Null texts have no words. Rows that repeat a doc_id
-and text count as often as they occur; item_ids count once; other columns are passed
-over. Without items nothing is contaminated.
+and text count as often as they occur, also with a null doc_id; item_ids count once, a
+null one not at all; other columns are passed over, whatever their names. Very long
+texts are cut whole; their hits are gathered by stretches of words. Ties, equal hashes in
+a window of 5-grams, change nothing in the result. Without items nothing is
+contaminated; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import fits, tables
+from colonnade.llm.common import fits, removed, tables, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words; A-Z are lowered afterwards, which joins and splits none.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GRAM, SPAN, WINDOW = 5, 6, 10
+#: Words of a document whose hits are counted in one place.
+STRETCH = 4096
 
 
 def lowered(word: Column) -> Column:
@@ -56,16 +61,26 @@ def _short(n: int) -> str:
     return f"transform(IF(size(hw) >= {n}, sequence(0, greatest(size(hw) - {n}, 0)), cast(array() AS array<int>)), i -> named_struct('fp', xxhash64({n}, {cells}), 'first', i, 'context', slice(hw, i + 1, {n}), 'len', {n}))"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_words, n_hit, items, copies): a row for each different doc_id and text."""
+def _once(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written: rows (doc_id, digest, n_words, start, end, window), and (window, item_id).
+
+    Every row of docs gives one with n_words, and each place of a window in it one without.
+    """
     items = _hashed(benchmark.select("item_id", "text"), "item_id").withColumn("n", F.size("hw")).where("n > 0")
+    items = written(items, "items")
     lengths = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # nine at most
-    windows = items.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(n - {WINDOW}, 0)), i -> slice(hw, i + 1, {WINDOW}))")).alias("win"))
-    windows = windows.groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("ids")).withColumn("wk", F.xxhash64("win"))
+    held = items.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(n - {WINDOW}, 0)), i -> slice(hw, i + 1, {WINDOW}))")).alias("known"))
+    windows = written(held.select("known").distinct().select(F.monotonically_increasing_id().alias("window"), "known", F.xxhash64("known").alias("wk")), "windows")
+    of_window = written(held.join(_once(windows.select("window", "known")), "known").select("window", "item_id").distinct(), "item-windows")
     prints = _kept(items.where(F.col("n") >= WINDOW).select("item_id", "hw"), "item_id").select(F.explode(F.expr("transform(at, p -> kg[p])")).alias("fp"))
     for n in lengths:
         prints = prints.union(items.where(F.col("n") == n).select(F.explode(F.expr(_short(n)))).select("col.fp"))
-    prints = prints.distinct()
+    prints = written(prints.distinct().withColumn("is_print", F.lit(True)), "item-prints")
 
     before = WINDOW - GRAM
     around = f"named_struct('fp', kg[p], 'first', greatest(p - {before}, 0), 'context', slice(hw, greatest(p - {before}, 0) + 1, p + {WINDOW} - greatest(p - {before}, 0)), 'len', {WINDOW})"
@@ -73,33 +88,56 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     texts = _kept(_hashed(docs, "doc_id", "digest"), "doc_id", "digest")
     cut = "transform(IF(size(context) >= len, sequence(0, greatest(size(context) - len, 0)), cast(array() AS array<int>)), j -> named_struct('start', first + j, 'win', slice(context, j + 1, len)))"
-    place = F.struct("start", (F.col("start") + F.col("len")).alias("end")).alias("hit")
-    prints, known = prints.withColumn("is_print", F.lit(True)), windows.withColumnRenamed("win", "known")
-    if fits(prints) and fits(known):
+    none = F.lit(None).cast("int")
+    if fits(prints) and fits(windows):
         # one pass: an entry without a hash stands for the document itself and goes through both joins
         itself = "array(named_struct('fp', cast(NULL AS bigint), 'first', -1, 'context', cast(NULL AS array<bigint>), 'len', 0))"
         rows = texts.select("doc_id", "digest", F.size("hw").alias("n_words"), F.explode(F.expr(f"concat({itself}, {entries})")).alias("e")).select("doc_id", "digest", "n_words", "e.*")
         found = rows.join(F.broadcast(prints), "fp", "left").where("is_print OR first < 0")
         found = found.select("doc_id", "digest", F.expr("IF(first < 0, n_words, NULL)").alias("n_words"), "len", F.explode_outer(F.expr(cut)).alias("e")).select("doc_id", "digest", "n_words", "len", "e.*")
-        hits = found.withColumn("wk", F.xxhash64("win")).join(F.broadcast(known), "wk", "left").withColumn("hit", F.expr("coalesce(win = known, false)"))
-        rows = hits.where("hit OR n_words IS NOT NULL").select("doc_id", "digest", "n_words", F.when(F.col("hit"), F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("hit"), F.when(F.col("hit"), F.col("ids")).alias("ids"))
+        hits = found.withColumn("wk", F.xxhash64("win")).join(F.broadcast(windows), "wk", "left").withColumn("hit", F.expr("coalesce(win = known, false)"))
+        end = F.when(F.col("hit"), F.col("start") + F.col("len"))
+        rows = hits.where("hit OR n_words IS NOT NULL").select("doc_id", "digest", "n_words", F.when(F.col("hit"), F.col("start")).alias("start"), end.alias("end"), F.when(F.col("hit"), F.col("window")).alias("window"))
     else:
         found = texts.select("doc_id", "digest", F.explode(F.expr(f"concat({entries})")).alias("e")).select("doc_id", "digest", "e.*").join(prints, "fp")
         found = found.select("doc_id", "digest", "len", F.explode(F.expr(cut)).alias("e")).select("doc_id", "digest", "len", "e.*").withColumn("wk", F.xxhash64("win"))
-        hits = found.join(known, "wk").where("win = known").select("doc_id", "digest", F.lit(None).cast("int").alias("n_words"), place, "ids")
-        own = _hashed(docs, "doc_id", "digest").select("doc_id", "digest", F.size("hw").alias("n_words"), F.lit(None).cast("struct<start:int,end:int>").alias("hit"), F.lit(None).cast(hits.schema["ids"].dataType).alias("ids"))
+        hits = found.join(windows, "wk").where("win = known").select("doc_id", "digest", none.alias("n_words"), "start", (F.col("start") + F.col("len")).alias("end"), "window")
+        own = _hashed(docs, "doc_id", "digest").select("doc_id", "digest", F.size("hw").alias("n_words"), none.alias("start"), none.alias("end"), F.lit(None).cast("bigint").alias("window"))
         rows = own.union(hits)
-    all_rows = rows.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set("hit").alias("hits"), F.collect_set("ids").alias("ids"))
-    covered = "aggregate(array_sort(hits), named_struct('n', 0L, 'reach', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.end - greatest(a.reach, x.start)), 'reach', greatest(a.reach, x.end)), a -> a.n)"
-    return all_rows.select("doc_id", "digest", F.col("n_words").cast("bigint"), F.expr(covered).alias("n_hit"), F.array_distinct(F.flatten("ids")).alias("items"), "copies")
+    rows = written(rows, "hits")
+    removed(items, windows, prints)
+    return rows, of_window
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, digest, n_words, n_hit, items, copies): a row for each different doc_id and text.
+
+    Hits carry the number of a window, never the items that hold it; those meet each
+    document once. Covered words are counted by stretches of `STRETCH` words.
+    """
+    rows, of_window = _hits(docs, benchmark)
+    own = rows.where("n_words IS NOT NULL").groupBy("doc_id", "digest").agg(F.max("n_words").cast("bigint").alias("n_words"), F.count("n_words").alias("copies"))
+    hits = rows.where("window IS NOT NULL")
+    stretch = hits.select("doc_id", "digest", "start", "end", F.explode(F.expr(f"sequence(start div {STRETCH}, (end - 1) div {STRETCH})")).alias("part"))
+    stretch = stretch.select("doc_id", "digest", "part", F.struct(F.greatest("start", F.col("part") * STRETCH).alias("start"), F.least("end", (F.col("part") + 1) * STRETCH).alias("end")).alias("hit"))
+    covered = "aggregate(array_sort(hits), named_struct('n', 0L, 'reach', 0L), (a, x) -> named_struct('n', a.n + greatest(0L, x.end - greatest(a.reach, x.start)), 'reach', greatest(a.reach, x.end)), a -> a.n)"
+    stretch = stretch.groupBy("doc_id", "digest", "part").agg(F.collect_set("hit").alias("hits")).select("doc_id", "digest", F.expr(covered).alias("n"))
+    n_hit = stretch.groupBy("doc_id", "digest").agg(F.sum("n").alias("n_hit"))
+    ids = hits.select("doc_id", "digest", "window").distinct().join(_once(of_window), "window").groupBy("doc_id", "digest").agg(F.collect_set("item_id").alias("items"))
+    more = n_hit.withColumnsRenamed({"doc_id": "d", "digest": "g"}).join(ids, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("digest"))).select("d", "g", "n_hit", "items")
+    out = own.join(more, own["doc_id"].eqNullSafe(F.col("d")) & (own["digest"] == F.col("g")), "left")
+    return out.select("doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast(ids.schema["items"].dataType)).alias("items"), "copies")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold any window of an item; all columns stay."""
-    bad = contamination(docs, benchmark).where("n_hit > 0").select("doc_id", F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    same = marked["doc_id"].eqNullSafe(bad["doc_id"]) & (marked["_digest"] == bad["_digest"])
-    return marked.join(bad, same, "left_anti").select(*docs.columns)
+    """docs without those that hold any window of an item; all columns stay, whatever their names."""
+    rows, of_window = _hits(docs, benchmark)
+    bad = written(rows.where("window IS NOT NULL").select("doc_id", "digest").distinct().toDF("bad_id", "bad_digest"), "contaminated")
+    removed(rows, of_window)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*names.values()).withColumn("digest", F.md5(F.coalesce(names["text"], F.lit("")).cast("binary")))
+    same = own[names["doc_id"]].eqNullSafe(F.col("bad_id")) & (own["digest"] == F.col("bad_digest"))
+    return own.join(_once(bad), same, "left_anti").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
