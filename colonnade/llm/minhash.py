@@ -9,8 +9,11 @@ likeness is corrected.
 
 A null text is as an empty one; texts without a word are alike. The next document is
 that with the next smaller doc_id, after the last the first; equal doc_ids are ordered by
-the hash of their texts. A table of one row is followed by itself. Other columns are
-passed over.
+the hash of their texts, and null doc_ids come after all others. A table of one row is
+followed by itself. Very long texts are fingerprinted whole, as an array of their hashes
+in one row. Rows with one doc_id lie in one range, so a table whose doc_ids are largely
+the same has a long range. Repeated rows give a row each; an empty table gives an empty
+table. Other columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,33 +57,49 @@ def likeness(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), (same - F.lit(chance)) / F.lit(1 - chance))
 
 
+def ranged(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (doc_id) with place, a doc_id that is never null, and bucket: that of the highest places is 0.
+
+    The cuts are looked up in two steps, in about the square root of their number.
+    """
+    docs = docs.withColumn("place", F.coalesce("doc_id", F.lit(-(2**63))))
+    cuts = docs.select(F.percentile_approx("place", [i / buckets for i in range(1, buckets)], max(10_000, 20 * buckets))).head()[0] if buckets > 1 else None
+    cuts = sorted(set(cuts or []), reverse=True)
+    if not cuts:
+        return docs.withColumn("bucket", F.lit(0))
+    step = max(1, round(len(cuts) ** 0.5))
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    longs = lambda v: "array(" + ", ".join(f"{c}L" for c in v) + ")"
+    part = f"size(filter({longs([p[-1] for p in parts])}, c -> c > place))"
+    docs = docs.withColumn("part", F.expr(part))
+    return docs.withColumn("bucket", F.expr(f"part * {step} + coalesce(size(filter(get(array({', '.join(map(longs, parts))}), part), c -> c > place)), 0)")).drop("part")
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, text, print, next_text, next_print) of docs (doc_id, digest, text): each and the one that follows by descending doc_id.
 
     doc_id is cut into ranges, each is followed within itself, and the first document of
     each range, found by its id alone, follows the last of the range above.
     """
-    cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).head()[0] if buckets > 1 else None
-    literal = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    docs = docs.withColumn("_bucket", F.size(F.filter(literal, lambda c: c > F.coalesce("doc_id", F.lit(-(2**63))))))
-    order = [F.col("doc_id").desc(), F.col("digest")]
-    w = Window.partitionBy("_bucket").orderBy(*order)
+    docs = ranged(docs, buckets)
+    w = Window.partitionBy("bucket").orderBy(F.col("place").desc(), F.col("doc_id").desc_nulls_last(), F.col("digest"))
     carried = ["text", "print"]
-    rows = fingerprinted(docs, "text", "print").withColumns({f"next_{c}": F.lead(c).over(w) for c in carried} | {"_last": F.lead(F.lit(1)).over(w).isNull()})
+    rows = fingerprinted(docs, "text", "print").withColumns({f"next_{c}": F.lead(c).over(w) for c in carried} | {"is_last": F.lead(F.lit(1)).over(w).isNull()})
     # a row for each range, `buckets` at most; only doc_id is read for it
-    heads = docs.groupBy("_bucket").agg(F.max("doc_id").alias("doc_id"))
-    line = Window.orderBy("_bucket")
-    heads = heads.select("doc_id", F.coalesce(F.lag("_bucket").over(line), F.max("_bucket").over(Window.partitionBy())).alias("_above"))
+    heads = docs.groupBy("bucket").agg(F.max("place").alias("place"))
+    line = Window.orderBy("bucket")
+    heads = heads.select("place", F.coalesce(F.lag("bucket").over(line), F.max("bucket").over(Window.partitionBy())).alias("above"))
     # of documents with the same doc_id the one that comes first
-    found = docs.select("doc_id", "text", "digest").join(F.broadcast(heads), "doc_id").groupBy("_above").agg(F.min_by("text", "digest").alias("_head_text"))
-    found = fingerprinted(found, "_head_text", "_head_print")
-    joined = rows.join(found, rows["_bucket"] == found["_above"], "left")
-    return joined.select("doc_id", *carried, *(F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carried))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "digest")
+    found = docs.select("doc_id", "place", "text", "digest").join(F.broadcast(heads), "place").groupBy("above").agg(F.min_by("text", first).alias("head_text"))
+    found = fingerprinted(found, "head_text", "head_print")
+    joined = rows.join(found, rows["bucket"] == found["above"], "left")
+    return joined.select("doc_id", *carried, *(F.when(F.col("is_last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carried))
 
 
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     (docs,) = tables(spark, folder, "documents")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = with_next(docs.withColumn("digest", F.md5(F.col("text").cast("binary"))), buckets).withColumn("n_chars", F.char_length("text").cast("bigint"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
