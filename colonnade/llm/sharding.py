@@ -1,17 +1,23 @@
 """Byte-balanced sharding by Karmarkar-Karp differencing.
 
-Documents with equal texts stay together. A partial partition is a tuple of shard
-sizes; the two with the largest spread are combined, the larger shards of one with the
-smaller of the other, until one is left. It runs in two levels, so that no task holds
-all groups: each hash bucket of groups is differenced into `shards` pieces, then the
-pieces of all buckets and the heavy groups are differenced together. There are at most
-`BUCKETS` buckets, and a group is heavy above 1/64 of a shard's share, so the second
-level has a bounded number of parts whatever the input. In a bucket, batches of
-`BATCH` groups are differenced first and their partial partitions then combined.
-
-A null text is as an empty one. Rows that repeat a doc_id are placed one by one. A group
-larger than a shard's share makes its shard larger than the rest; no other law could
-keep it whole. Other columns are passed over; an empty table gives an empty table.
+Documents with equal texts stay together, as a group. A partial partition is a tuple of
+shard sizes; the two with the largest spread are combined, the larger shards of one with
+the smaller of the other, until one is left.
+
+It runs in levels, so that no task holds all groups. Parts are, first, the groups; on
+each level they fall into hash buckets of about `BATCH` parts at most, and each bucket is
+differenced into `shards` pieces, which are the parts of the next level, until `FINAL` are left.
+Those are differenced in one place with what was held back: the groups above
+1/`HEAVY` of a shard's share, of which there are `HEAVY` times the shards at most, and a
+share of all groups, `FINAL` in expectation, whose small sizes even out the rest. The
+levels follow from the number of groups alone, and a table with fewer groups than `FINAL`
+is differenced directly.
+
+A null text is as an empty one. Rows that repeat a doc_id, or have none, are placed one
+by one. A group larger than a shard's share makes its shard larger than the rest; no other
+law could keep it whole. Of equal sizes the one with the least text digest goes first.
+Only lengths of very long texts leave the scan. Other columns are passed over, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colonnade.llm.common import tables, written
 
-SHARDS, BUCKETS, BATCH, HEAVY = 24, 4096, 20_000, 64
+SHARDS, BATCH, FINAL, HEAVY = 24, 20_000, 16_384, 64
 #: Rows of a shard that are numbered in one task.
 NUMBERED = 20_000
 
@@ -69,30 +75,54 @@ def differencing(sizes: list[int], shards: int = SHARDS, batch: int = BATCH) ->
     return out
 
 
+def grouped(groups: DataFrame, shards: int, total: int, n_groups: int) -> DataFrame:
+    """(digest, shard) of groups (digest, bytes)."""
+    spark = groups.sparkSession
+    heavy = F.col("bytes") > F.lit(max(1, total // (shards * HEAVY)))
+    chance = F.shiftrightunsigned(F.xxhash64("digest", F.lit(1)), 11) / F.lit(2.0**53)
+    held = heavy | (chance < F.lit(min(1.0, FINAL / max(1, n_groups))))
+    # each level: (part, piece), where the parts of the first are digests
+    levels: list[DataFrame] = []
+    parts = groups.where(~held).select(F.col("digest").alias("part"), "bytes")
+    n = parts.count()
+    while n > (FINAL if levels else 0):
+        # as many buckets, so as small pieces, as the last place can hold
+        buckets = max(-(-n // BATCH), min(FINAL // shards, -(-n // (8 * shards))))
+
+        def place(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["bytes", "part"], ascending=[False, True])
+            found = differencing(pdf.bytes.tolist(), shards)
+            return pd.DataFrame({"part": pdf.part, "piece": [f"{b}.{k}".encode() for b, k in zip(pdf.bucket, found)], "bytes": pdf.bytes})
+
+        dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("part", F.lit(len(levels))), F.lit(buckets)).cast("int"))
+        levels.append(written(dealt.groupBy("bucket").applyInPandas(place, "part binary, piece binary, bytes bigint"), "pieces"))
+        parts = written(levels[-1].groupBy("piece").agg(F.sum("bytes").alias("bytes")).withColumnRenamed("piece", "part"), "parts")
+        n, before = parts.count(), n
+        if n >= before:
+            break
+    # bounded: pieces, heavy groups, and those held back
+    last = [(bytes(r["part"]), False, r["bytes"]) for r in parts.collect()] if levels else []
+    last += [(bytes(r["digest"]), True, r["bytes"]) for r in groups.where(held).select("digest", "bytes").collect()]
+    last.sort(key=lambda p: (-p[2], p[0]))
+    found = differencing([p[2] for p in last], shards)
+    where = spark.createDataFrame([(p, own, s) for (p, own, _), s in zip(last, found)], "part binary, own boolean, shard int")
+    own = where.where("own").select(F.col("part").alias("digest"), "shard")
+    if not levels:
+        return own
+    # `FINAL` pieces or so, and buckets * shards on each level below
+    place_of = where.where("NOT own").select(F.col("part").alias("piece"), "shard")
+    for level in reversed(levels[1:]):
+        place_of = level.join(place_of, "piece").select(F.col("part").alias("piece"), "shard")
+    return levels[0].join(place_of, "piece").select(F.col("part").alias("digest"), "shard").union(own)
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): slots of a shard are numbered from 0."""
-    spark = docs.sparkSession
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    base = written(docs.select("doc_id", (F.octet_length(raw) + F.lit(8)).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("digest")), "sizes")
+    base = written(docs.select(F.col("doc_id").cast("bigint"), (F.octet_length(raw) + F.lit(8)).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("digest")), "sizes")
     groups = written(base.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     n_groups, total, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).head()
-    heavy = F.col("bytes") > F.lit(max(1, total // (shards * HEAVY)))
-    buckets = max(1, min(BUCKETS, -(-n_groups // BATCH)))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "digest"], ascending=[False, True])
-        return pd.DataFrame({"digest": pdf.digest, "bucket": pdf.bucket, "piece": differencing(pdf.bytes.tolist(), shards), "bytes": pdf.bytes})
-
-    light = groups.where(~heavy).select("digest", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"), "bytes")
-    placed = written(light.groupBy("bucket").applyInPandas(place, "digest binary, bucket int, piece int, bytes bigint"), "pieces")
-    # bounded: `shards` pieces of each bucket, and the heavy groups
-    pieces = [(r["bucket"], r["piece"], None, r["b"]) for r in placed.groupBy("bucket", "piece").agg(F.sum("bytes").alias("b")).collect()]
-    pieces += [(None, None, bytes(r["digest"]), r["bytes"]) for r in groups.where(heavy).select("digest", "bytes").collect()]
-    pieces.sort(key=lambda p: (-p[3], p[2] or b"", p[0] or 0, p[1] or 0))
-    found = differencing([p[3] for p in pieces], shards)
-    place_of = spark.createDataFrame([(*p[:3], s) for p, s in zip(pieces, found)], "bucket int, piece int, digest binary, shard int")
-    light = placed.join(F.broadcast(place_of.where("digest IS NULL").drop("digest")), ["bucket", "piece"]).select("digest", "shard")
-    where = light.union(place_of.where("digest IS NOT NULL").select("digest", "shard"))
+    where = grouped(groups, shards, total, n_groups)
 
     parts = max(8, -(-n_rows // (shards * NUMBERED)))
     rows = base.join(where, "digest").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
