@@ -30,13 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from colonnade.llm.common import components, fits, tables, written
+from colonnade.llm.common import components, fits, fresh, removed, small_batches, tables, written
 
 WORDS, SEED, CROWD = 3, 42, 64
-#: Words of shingles of which whole fingerprints of similar documents stay near.
-PRINTED = 2
-#: Similar documents differ in at most so many of 256 bits: a likeness of 0.8 gives about 38, unrelated texts about 128.
-APART = 80
 #: Shingles in OFTEN or more of one in SAMPLED texts come last in the order of shingles, COMMON of them at most.
 SAMPLED, OFTEN, COMMON = 16, 4, 200_000
 #: Nodes of a bucket that are compared by pairs in one place.
@@ -60,14 +56,6 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.array([h(line[a : b - 1], SEED) for a, b in zip(at, at[words:])], np.uint64)
 
 
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent hash made from h; the 0th is h."""
-    if not k:
-        return h
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def fingerprint(h: np.ndarray) -> int:
     """Signed 64-bit fingerprint of shingle hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
@@ -77,25 +65,15 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, count: int = 1, digest: bool = False, distinct: bool = False) -> DataFrame:
-    """(doc_id, f0 .. , digest): `count` fingerprints of each whole text, of its distinct shingles or of all, and 128 bits of its content on demand."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, f): the fingerprint of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, digests = [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_hashes(t, words)
-                if distinct:
-                    h = np.unique(h)
-                found.append([fingerprint(mixed(h, k)) for k in range(count)])
-                if digest:
-                    digests.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
-            columns = [b.column(0), *(pa.array([f[k] for f in found], pa.int64()) for k in range(count))]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(digests, pa.binary())] if digest else []), names=names)
-
-    names = ["doc_id", *(f"f{k}" for k in range(count))] + (["digest"] if digest else [])
-    schema = "doc_id bigint, " + ", ".join(f"f{k} bigint" for k in range(count)) + (", digest binary" if digest else "")
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+            found = [fingerprint(shingle_hashes(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["doc_id", "f"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, f bigint")
 
 
 HIGH, LOW = "shiftrightunsigned(f, 32)", "(f & 4294967295) | 4294967296"
@@ -125,7 +103,8 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id)."""
-    base = written(fingerprints(docs).withColumnRenamed("f0", "f"), "prints")
+    with small_batches(docs.sparkSession):
+        base = written(fingerprints(docs), "prints")
     groups = written(base.groupBy("f").agg(F.min("doc_id").alias("root")), "groups")
     links = fingerprint_links(groups.select("f"))
     edges = links.join(groups.toDF("a", "ra"), "a").join(groups.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
