@@ -491,28 +491,3 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert kept == sorted(kept, reverse=True) and kept[-1] > 100
     assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect())
-
-
-def test_similar_texts_keep_whole_fingerprints_near():
-    """Edited texts of likeness 0.8 or more stay within APART of 256 bits; unrelated ones do not."""
-    rng = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    prints = lambda t: [simhash.fingerprint(simhash.mixed(simhash.shingle_hashes(t, simhash.PRINTED), k)) for k in range(4)]
-    apart = lambda p, q: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(p, q))
-    alike = 0
-    for _ in range(150):
-        words = rng.choices(vocabulary, k=rng.randint(40, 400))
-        edited = list(words)
-        if rng.random() < 0.5:
-            at = rng.randrange(len(words) * 9 // 10)
-            edited[at : at + len(words) // 12] = rng.choices(vocabulary, k=len(words) // 12)
-        else:
-            for at in rng.sample(range(len(words)), max(1, len(words) // 50)):
-                edited[at] = rng.choice(vocabulary)
-        a, b = " ".join(words), " ".join(edited)
-        s, t = set(simhash.shingle_hashes(a, 5).tolist()), set(simhash.shingle_hashes(b, 5).tolist())
-        if len(s & t) >= 0.8 * len(s | t):
-            alike += 1
-            assert apart(prints(a), prints(b)) <= simhash.APART
-        assert apart(prints(a), prints(" ".join(rng.choices(vocabulary, k=200)))) > simhash.APART
-    assert alike > 50
