@@ -48,9 +48,10 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and lost executors lose nothing."""
+    """df as a table in the shared folder: its lineage ends there and lost executors lose nothing. Its shuffle files go when it is written."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
