@@ -30,11 +30,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from colonnade.llm.common import components, fits, fresh, removed, small_batches, tables, written
+from colonnade.llm.common import components, fits, removed, small_batches, tables, written
 
 WORDS, SEED, CROWD = 3, 42, 64
 #: Shingles in OFTEN or more of one in SAMPLED texts come last in the order of shingles, COMMON of them at most.
 SAMPLED, OFTEN, COMMON = 16, 4, 200_000
+#: Bits of a shingle's hash by which shingles are counted, to bound what two sets share.
+BIN_BITS = 8
 #: Nodes of a bucket that are compared by pairs in one place.
 BLOCK = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -114,7 +116,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """(doc_id, text_md5, digest, n, keys): a row's own text, its distinct shingles, their number and the first of them.
+    """(doc_id, text_md5, digest, n, bins, keys): a row's own text, its distinct shingles, their number, how many have each first byte, and the first of them.
 
     All shingles are in one order: those that are not in `common` (sorted) before those
     that are, then by hash. Two sets that share `least` of their union share one of the
@@ -123,18 +125,20 @@ def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, bins, keys = [], [], [], []
             for t in b.column(2).to_pylist():
                 h = np.unique(shingle_hashes(t, words))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
+                bins.append(np.bincount(h >> np.uint64(64 - BIN_BITS), minlength=1 << BIN_BITS).astype(np.int32))
                 if len(common) and len(h):
                     late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     h = np.concatenate([h[~late], h[late]])
                 keys.append(h[: first_of(len(h), least)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_md5", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_md5().alias("text_md5"), "text").mapInArrow(run, "doc_id bigint, text_md5 binary, digest binary, n int, keys array<bigint>")
+    names = ["doc_id", "text_md5", "digest", "n", "bins", "keys"]
+    return docs.select(F.col("doc_id").cast("bigint"), text_md5().alias("text_md5"), "text").mapInArrow(run, "doc_id bigint, text_md5 binary, digest binary, n int, bins array<int>, keys array<bigint>")
 
 
 def first_of(n: int, least: float) -> int:
@@ -156,7 +160,8 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h bigint, n bigint")
-    held = written(sample.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "common")
+    with small_batches(docs.sparkSession):
+        held = written(sample.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "common")
     # by quarter octaves of their counts: a few hundred rows
     bands = held.groupBy(F.floor(F.log2("n") * 4).alias("band")).agg(F.count(F.lit(1)).alias("shingles"), F.min("n").alias("least")).orderBy(F.desc("band")).collect()
     lowest, total = None, 0
@@ -171,13 +176,25 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def likes(pairs: DataFrame, docs: DataFrame, groups: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes of which `least` of all shingles are shared, written."""
+    """The pairs (a, b) of nodes of which `least` of all shingles are shared, written.
+
+    Two sets share no more than the sum, over bins of hashes, of the lesser of their
+    counts; whole texts are read again only for pairs which that allows.
+    """
+    bound = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    own = groups.select("node", "n", "bins")
+    near = pairs.join(own.toDF("a", "na", "ba"), "a").join(own.toDF("b", "nb", "bb"), "b")
+    pairs = written(near.where(bound >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)).select("a", "b"), "bounded")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = nodes.join(groups.select("node", "digest"), "node").join(rows, "digest").select("node", "row.doc_id", "row.text_md5")
-    sets = written(shingle_sets(docs, written(nodes, "nodes"), words), "sets")
+    nodes = written(nodes, "nodes")
+    with small_batches(docs.sparkSession):
+        sets = written(shingle_sets(docs, nodes, words), "sets")
     shared = F.size(F.array_intersect("sa", "sb"))
     near = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return written(near.where(shared >= F.lit(least) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near")
+    near = written(near.where(shared >= F.lit(least) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near")
+    removed(pairs, nodes, sets)
+    return near
 
 
 def may_be_like(x: str, y: str, least: float) -> Column:
@@ -220,27 +237,35 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFr
     others have; where that leaves a bucket more than one class, all pairs of different
     classes are compared.
     """
-    base = written(prefixes(docs, words, least, common_shingles(docs, words)), "prints")
-    groups = base.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    with small_batches(docs.sparkSession):
+        base = written(prefixes(docs, words, least, common_shingles(docs, words)), "prints")
+    groups = base.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "bins", "keys")))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    found = written(base.select("doc_id", "text_md5", "digest"), "rows")
+    removed(base)
     shown = groups.select("node", "n", F.posexplode("keys").alias("at", "key"))
     bucket = Window.partitionBy("key")
     met = written(shown.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1"), "met")
+    # the first shingles are not needed any more
+    whole, groups = groups, written(groups.drop("keys"), "groups")
+    removed(whole)
     # of a group of edited copies the original has the fewest shingles of its own
     known = met.groupBy("node").agg((F.sum(F.log2("size")) / F.max("n")).alias("known"))
     place = F.struct("node", "n", "at")
     first = met.join(known, "node").select("node", "n", "at", F.max(F.struct("known", "node", "n", "at")).over(bucket).alias("best"), F.lag(place).over(bucket.orderBy("n", "node")).alias("last"))
     first = first.select(place.alias("x"), F.explode(F.array(F.struct("best.node", "best.n", "best.at"), "last")).alias("y")).where("x.node <> y.node").where(may_be_like("x", "y", least))
     tried = written(first.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "pairs")
-    rows = base.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("row"))
+    rows = written(found.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("row")), "first-rows")
     links = likes(tried, docs, groups, rows, words, least)
     rest = with_classes(met, links)
+    removed(met)
     if not rest.isEmpty():
         more = written(across(rest, least).join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.union(likes(more, docs, groups, rows, words, least))
-    found = components(links)
-    classes = groups.join(found, "node").select("digest", F.col("component").alias("class"))
-    return base.select("doc_id", "text_md5", "digest"), classes
+        removed(more)
+    removed(rest, tried, rows)
+    classes = groups.join(components(links), "node").select("digest", F.col("component").alias("class"))
+    return found, classes
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
