@@ -66,15 +66,17 @@ def isascii(s: Column) -> Column:
 def is_sorted(df: DataFrame, x: str, *keys: str, buckets: int = 64) -> DataFrame:
     """One row, `sorted`: whether x ascends in the order of `keys`; NULL and NaN are skipped.
 
-    The rows are cut into ranges of the first key, each is checked alone, and the
-    ranges' ends are then compared, so no task holds all rows. An empty frame is sorted.
+    Rows with equal keys count in the order of x, so they are never out of order among
+    themselves. The rows are cut into ranges of the first key (a number), whose bounds one
+    action finds when the frame is built; each range is checked alone, and the ranges'
+    ends are then compared, so no task holds all rows. An empty frame is sorted.
     """
     t = column_type(df, x)
     cuts = df.select(F.percentile_approx(F.col(keys[0]), [i / buckets for i in range(1, buckets)], 10_000)).head()[0] or []
     bucket = F.lit(0)
     for c in sorted(set(cuts)):
         bucket = bucket + (F.col(keys[0]) > F.lit(c)).cast("int")
-    rows = df.where(not_nan(F.col(x), t).isNotNull()).select(bucket.alias("_b"), F.struct(*keys).alias("_k"), F.col(x).alias("_x"))
+    rows = df.where(not_nan(F.col(x), t).isNotNull()).select(bucket.alias("_b"), F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(x).alias("x")).alias("_k"), F.col(x).alias("_x"))
     inner = rows.withColumn("_p", F.lag("_x").over(Window.partitionBy("_b").orderBy("_k")))
     ends = inner.groupBy("_b").agg(F.bool_and(F.coalesce(F.col("_p") <= F.col("_x"), F.lit(True))).alias("_ok"), F.min_by("_x", "_k").alias("_first"), F.max_by("_x", "_k").alias("_last"))
     # a row for each range, at most `buckets`

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from colonnade.semantics import ieee_divide, operand
-from colonnade.types import F32, F64, I32, I64, NUMERIC, Logical, require
+from colonnade.types import DATE, F32, F64, I32, I64, NUMERIC, Logical, require
 
 #: Division of integers leaves in the float type of the same width.
 QUOTIENT = {I32: F32, I64: F64, F32: F32, F64: F64}
@@ -19,12 +19,16 @@ def promote(x: Column, t: Logical) -> Column:
 
 
 def add(x: Column, other, t: Logical) -> Column:
-    require(t, *NUMERIC)
+    """Numbers, or whole days (32-bit) to a date."""
+    if require(t, *NUMERIC, DATE) == DATE:
+        return F.date_add(x, operand(other, I32))
     return x + operand(other, t)
 
 
 def sub(x: Column, other, t: Logical) -> Column:
-    require(t, *NUMERIC)
+    """Numbers, or whole days (32-bit) from a date."""
+    if require(t, *NUMERIC, DATE) == DATE:
+        return F.date_sub(x, operand(other, I32))
     return x - operand(other, t)
 
 

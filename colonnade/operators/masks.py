@@ -25,6 +25,15 @@ def count_set(a: Column) -> Column:
     return F.count_if(a)
 
 
+def byte_and(a: Column, b: Column) -> Column:
+    """The mask a & b for integer columns that hold packed bits."""
+    return a.bitwiseAND(b)
+
+
+def byte_or(a: Column, b: Column) -> Column:
+    return a.bitwiseOR(b)
+
+
 def byte_and_count(a: Column, b: Column) -> Column:
     """Set bits of a & b for integer columns that hold packed bits."""
     return F.bit_count(a.bitwiseAND(b))

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from colonnade.operators import agg, arith, broadcast, cast, clip, compare, date
 from colonnade.plans.projection import typed, typed_sql
 from colonnade.semantics import wrapping
 from colonnade.sources import read
-from colonnade.types import F32, F64, I32, I64, NUMERIC, Logical
+from colonnade.types import BOOL, DATE, F32, F64, I32, I64, NUMERIC, STR, Logical
 
 LIT = {I32: 3, I64: 500, F32: 0.5, F64: 20.5}
 LO = {I32: 2, I64: 400, F32: 0.25, F64: 10.0}
@@ -70,6 +71,10 @@ def _plus_zero(t: Logical) -> Callable[[Column], Column]:
     return lambda c: c + F.lit(0).cast(t.spark)
 
 
+def _summed(c: Column) -> Column:
+    return F.sum(c)
+
+
 def _rounded(places: int) -> Callable[[Column], Column]:
     return lambda c: F.round(c, places)
 
@@ -213,6 +218,65 @@ def _vectors() -> list[Entry]:
     return out
 
 
+#: A date column with NULL, in both engines' SQL.
+NULL_DATE = Ref("CASE WHEN k2 = 3 THEN NULL ELSE dt END")
+
+
+def _calendar() -> list[Entry]:
+    """Kernels of 32-bit integers on dates, which are days."""
+    d, day = NULL_DATE, lambda iso: datetime.date.fromisoformat(iso)
+    lit, lo, hi = "1998-03-01", "1996-02-29", "1999-12-31"
+    out = [
+        _row("date_add_lit", later(arith.add, d, 31, DATE), f"cast({d} + 31 AS date)"),
+        _row("date_add_vec", later(arith.add, d, Ref("yi32"), DATE), f"cast({d} + yi32 AS date)"),
+        _row("date_sub_lit", later(arith.sub, d, 31, DATE), f"cast({d} - 31 AS date)"),
+        _row("date_sub_vec", later(arith.sub, d, Ref("yi32"), DATE), f"cast({d} - yi32 AS date)"),
+    ]
+    for op, sign in (("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<="), ("eq", "="), ("neq", "<>")):
+        out.append(_row(f"{op}_date", later(getattr(compare, op), d, day(lit), DATE), f"({d} {sign} DATE '{lit}')"))
+        out.append(_row(f"{op}_date_vec", later(getattr(compare, op), d, Ref("dt2"), DATE), f"({d} {sign} dt2)"))
+    out.append(_row("bet_date", later(compare.bet, d, day(lo), day(hi), DATE), f"({d} BETWEEN DATE '{lo}' AND DATE '{hi}')"))
+    out.append(_row("nbet_date", later(compare.nbet, d, lo, hi, DATE), f"({d} NOT BETWEEN DATE '{lo}' AND DATE '{hi}')"))
+    for form, x in (("", Ref("dt")), ("_valid", d)):
+        low, high = (later(agg.min_, x, DATE), f"min({x})"), (later(agg.max_, x, DATE), f"max({x})")
+        out += [_agg(f"max_date{form}", result=high), _agg(f"min_date{form}", result=low), _agg(f"min_max_date{form}", low=low, high=high)]
+    return out
+
+
+def _nulls_and_bytes() -> list[Entry]:
+    """Tests for NULL (NaN is none), masks of selected rows, and masks packed in integers."""
+    out = []
+    for name, x in (("i64", _n(I64)), ("f64", _n(F64)), ("date", NULL_DATE)):
+        out += [
+            _row(f"is_na_{name}", later(masks.is_na, x), f"({x} IS NULL)"),
+            _row(f"not_na_{name}", later(masks.not_na, x), f"({x} IS NOT NULL)"),
+            _row(f"is_na_binary_{name}", later(masks.is_na_binary, x), f"cast({x} IS NULL AS tinyint)"),
+            _row(f"not_na_binary_{name}", later(masks.not_na_binary, x), f"cast({x} IS NOT NULL AS tinyint)"),
+        ]
+    a, b = Ref("xi32 * 37 & 255"), Ref("yi32 & 255")
+    out += [
+        _row("mask_and", later(masks.both, Ref("m1"), Ref("m2")), "(m1 AND m2)"),
+        _row("mask_or", later(masks.either, Ref("m1"), Ref("m2")), "(m1 OR m2)"),
+        _row("byte_and", later(masks.byte_and, a, b), f"(({a}) & ({b}))"),
+        _row("byte_or", later(masks.byte_or, a, b), f"(({a}) | ({b}))"),
+        _agg("byte_and_popcount", result=(later(masks.byte_and_count, a, b, then=_summed), f"cast(sum(bit_count(({a}) & ({b}))) AS bigint)")),
+        _agg("byte_or_popcount", result=(later(masks.byte_or_count, a, b, then=_summed), f"cast(sum(bit_count(({a}) | ({b}))) AS bigint)")),
+    ]
+    kinds = ((STR, Ref("CASE WHEN k2 <> 3 THEN s1 END")), (DATE, NULL_DATE), (BOOL, Ref("CASE WHEN k2 <> 3 THEN m1 END")))
+    for t, x in kinds:
+        out += [_agg(f"stat_uniq_{t.name}", result=(later(stats.uniq, x, t), f"count(DISTINCT {x})")), _agg(f"count_{t.name}", result=(later(stats.count, x, t), f"count({x})"))]
+    for tx, tw, x, w in ((I32, F32, "ni32", "xf32"), (I64, I32, "ni64", "yi32"), (F32, I64, "nf32", "yi64")):
+        known = f"{x} IS NOT NULL" + (f" AND NOT isnan({x})" if tx.is_float else "")
+        total = f"sum(cast({w} AS double) * cast({x} AS double)) FILTER (WHERE {known}) / sum(cast({w} AS double)) FILTER (WHERE {known})"
+        out.append(_agg(f"wtdmean_{tx.name}_{tw.name}", result=(later(stats.wtdmean, Ref(x), Ref(w), tx, tw, then=_rounded(6)), f"round({total}, 6)")))
+    days = lambda spark, folder: read(spark, folder, "orders").selectExpr("o_orderkey", "cast(o_orderdate AS date) AS day")
+    sql = "SELECT coalesce(bool_and(coalesce(p <= day, true)), true) AS sorted FROM (SELECT day, lag(day) OVER (ORDER BY {}, day) AS p FROM (SELECT o_orderkey, cast(o_orderdate AS date) AS day FROM orders))"
+    out.append(Entry("stat_issorted_date", lambda spark, folder: stats.is_sorted(days(spark, folder), "day", "o_orderkey"), sql.format("o_orderkey")))
+    ascending = lambda spark, folder: read(spark, folder, "orders").selectExpr("o_orderkey", "cast(o_orderkey * 2 AS double) AS twice")
+    out.append(Entry("stat_issorted_f64", lambda spark, folder: stats.is_sorted(ascending(spark, folder), "twice", "o_orderkey"), "SELECT bool_and(coalesce(p <= twice, true)) AS sorted FROM (SELECT twice, lag(twice) OVER (ORDER BY o_orderkey, twice) AS p FROM (SELECT o_orderkey, cast(o_orderkey * 2 AS double) AS twice FROM orders))"))
+    return out
+
+
 def _text() -> list[Entry]:
     s, wide = Ref("p_name"), Ref("'  ' || p_name || ' '")
     table: dict[str, tuple[Callable[[], Column], str]] = {
@@ -261,5 +325,5 @@ def kernels() -> list[Entry]:
 
 
 def entries() -> dict[str, Entry]:
-    more = [*_statistics(), *_vectors(), *_text(), Entry("selective_sum", selective_sum, SELECTIVE_SQL), Entry("grouped", grouped, GROUPED_SQL)]
+    more = [*_statistics(), *_vectors(), *_calendar(), *_nulls_and_bytes(), *_text(), Entry("selective_sum", selective_sum, SELECTIVE_SQL), Entry("grouped", grouped, GROUPED_SQL)]
     return {e.name: e for e in [*kernels(), *more]}

@@ -162,3 +162,22 @@ def test_kernels_on_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.total for r in spark.table("w").collect()) == [35.0, 145.0, 245.0]
+
+
+def test_days_and_dates(spark):
+    d = datetime.date
+    values = [None, d(1970, 1, 1), d(2000, 2, 29), d(1900, 3, 1), d(9999, 12, 30)]
+    assert run(spark, DATE, arith.add(F.col("x"), 1, DATE), values=values) == [None, d(1970, 1, 2), d(2000, 3, 1), d(1900, 3, 2), d(9999, 12, 31)]
+    assert run(spark, DATE, arith.sub(F.col("x"), F.col("id").cast("int"), DATE), values=values) == [None, d(1969, 12, 31), d(2000, 2, 27), d(1900, 2, 26), d(9999, 12, 26)]
+    for lit in (d(2000, 2, 29), "2000-02-29"):
+        assert run(spark, DATE, compare.ge(F.col("x"), lit, DATE), values=values) == [None, False, True, False, True]
+    assert run(spark, DATE, compare.bet(F.col("x"), d(1900, 3, 1), d(1970, 1, 1), DATE), values=values) == [None, True, False, True, False]
+    with pytest.raises(UnsupportedType):
+        arith.mul(F.col("x"), 2, DATE)
+
+
+def test_order_with_equal_keys(spark):
+    rows = lambda *r: spark.createDataFrame(r, "k bigint, x string")
+    assert stats.is_sorted(rows((1, "b"), (1, "a"), (2, "b")), "x", "k").head()[0]
+    assert not stats.is_sorted(rows((1, "b"), (1, "a"), (2, "a")), "x", "k").head()[0]
+    assert stats.is_sorted(rows(), "x", "k").head()[0]
