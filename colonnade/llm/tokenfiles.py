@@ -7,21 +7,26 @@ blocks, and for each block its tokens, its 16-bit code words and the CRC-32 of i
 all little-endian unsigned 32-bit, then the words of all blocks. Every block starts from
 the same state (it is reset), so a damaged block harms no other; reading checks each sum.
 
-The model predicts an id by the last id seen after the two ids before (order 2) and
-after the one before (order 1), with confidences. Whether one of these is right is a
-three-way choice, whose probabilities are two adaptive estimates (one by the confidences
-of order 2, one by those of order 1), mixed by how well each has lately done. Other ids
-are coded by adaptive frequencies of their high and low bytes (order 0). All blocks of a
-task are coded in step, a block to a lane of numpy arrays.
-
-Ids are below 65,536. A null text is as an empty one. Equal doc_ids follow each other by
-their texts. Other columns are passed over; an empty table gives no file rows.
+The model's order 2 guesses the id last seen after the two ids before, its order 1 the
+one last seen after the id before, each with a confidence. Whether a guess is right is a
+yes-or-no question, whose probability is mixed from three: estimates by the confidences
+of order 2 and of order 1, and the share that order 0 gives the guessed id; weights of the
+mix are learned as blocks go on. If no guess is right, order 0 codes the id by adaptive
+counts of the ids seen in the block (recent ones weigh more), or as a new one by its
+number of bits and those. All arithmetic is in integers, so any machine reads what
+another wrote. All blocks of a task are coded in step, a block to a lane of numpy arrays.
+
+Ids are below 65,536. A null text is as an empty one; null doc_ids come first. Equal
+doc_ids follow each other by their texts, and lie in one range of the table, so a table
+whose doc_ids are largely the same has a long range. Very long texts are tokenised whole
+and lie in one frame. Repeated rows give a row each. Other columns are passed over, whatever
+their names; an empty table gives no file rows.
 """
 
 from __future__ import annotations
 
+import math
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,224 +37,257 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colonnade.llm.common import tables, written
 
-BLOCK, FRAME, LANES = 4096, 1 << 20, 4096  # tokens of a block, of a frame (at least), blocks in step
-CONTEXTS, REBUILD, STEP = 1 << 12, 128, 24
-FILE, END_ID, REMEMBERED = "byte_bpe_50k.json", 0, 400_000
+BLOCK, FRAME, LANES = 4096, 1 << 20, 2048  # tokens of a block, of a frame (at least), blocks in step
+CONTEXTS = 1 << 12
+FILE, END_ID = "byte_bpe_50k.json", 0
 _U = np.uint64
-#: A space between two other characters always begins a new unit of the byte-level pattern.
-CUT = re.compile(r"(?<=\S)(?= \S)")
-
 
 class Tokens:
-    """The tokenizers library behind a memory of units."""
+    """The tokenizers library; strings of special tokens in a text are those tokens, as the library has it, unless `plain`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-        self.bytes = np.ones(self.tokenizer.get_vocab_size(), np.int64)  # of each id: its characters stand for bytes
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = len(piece)
-
-    def units(self, new: list[str]) -> dict[str, list[int]]:
-        """Ids of units. Those that begin with a space and end without one are encoded as one text and told apart by their bytes."""
-        run = [u for u in new if u[:1] == " " and not u[-1].isspace()]
-        rest = [u for u in new if u[:1] != " " or u[-1].isspace()]
-        found = dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))) if rest else {}
-        for i in range(0, len(run), 5000):
-            part = run[i : i + 5000]
-            ids = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids
-            ends = np.cumsum(self.bytes[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in part]), side="left") + 1
-            found.update(zip(part, (ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))))
-        return found
+        self.tokenizer.encode_special_tokens = plain
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        units = [CUT.split(t) for t in texts]
-        new = list({u for x in units for u in x if u not in known})
-        found = self.units(new)
-        if len(known) < REMEMBERED:
-            known.update(found)
-        out = []
-        for x in units:
-            ids: list[int] = []
-            for u in x:
-                ids += known[u] if u in known else found[u]
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint16))
-        return out
+        return [np.array([*e.ids, END_ID], np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _squash_table() -> np.ndarray:
+    """12-bit probabilities of logits from -2047 to 2047 in 256ths. Exact halves are rounded the same everywhere."""
+    return np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
+
+
+SQUASH = _squash_table()
+#: The first logit at which `SQUASH` reaches a probability.
+STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - 2047).clip(-2047, 2047).astype(np.int64)
 
 
 class Mixer:
-    """The model of all lanes. `active` lanes, the first ones, take part in a step."""
-
-    def __init__(self, lanes: int):
-        self.one, self.two = np.zeros((lanes, CONTEXTS), np.uint16), np.zeros((lanes, CONTEXTS), np.uint16)
-        self.sure_one, self.sure_two = np.zeros((lanes, CONTEXTS), np.uint8), np.zeros((lanes, CONTEXTS), np.uint8)
-        self.by_two, self.by_one = np.ones((lanes, 8, 3), np.float32), np.ones((lanes, 8, 3), np.float32)
-        self.by_two[:, :, 2], self.by_one[:, :, 2] = 4, 4
-        self.well = np.ones((lanes, 2), np.float32)
-        self.counts = np.ones((2, lanes, 256), np.uint32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.rows, self.steps = np.arange(lanes), 0
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        self.sums = np.zeros((2, self.counts.shape[1], 257), np.uint32)
-        np.cumsum(self.counts, axis=2, out=self.sums[:, :, 1:])
-        self.total = 256 + STEP * self.steps  # of every lane
-
-    def predict(self, n: int) -> None:
-        r = self.r = self.rows[:n]
-        last, before = self.last[:n], self.before[:n]
-        self.k1, self.k2 = last & (CONTEXTS - 1), ((last * 40503 + before * 30011) >> 4) & (CONTEXTS - 1)
-        self.c1, self.c2 = self.one[r, self.k1], self.two[r, self.k2]
-        self.s1, self.s2 = self.sure_one[r, self.k1], self.sure_two[r, self.k2]
-        same = (self.c1 == self.c2).astype(np.int64)
-        self.a, self.b = self.s2 * 2 + same, self.s1 * 2 + same
-        p, q = self.by_two[r, self.a], self.by_one[r, self.b]
-        p /= (p[:, 0] + p[:, 1] + p[:, 2])[:, None]
-        q /= (q[:, 0] + q[:, 1] + q[:, 2])[:, None]
-        self.p, self.q = p, q
-        w = self.well[:n]
-        w = w[:, 0] / (w[:, 0] + w[:, 1])
-        mixed = p * w[:, None] + q * (1 - w)[:, None]
-        self.f0 = (mixed[:, 0] * np.float32(4000)).astype(_U) + _U(16)
-        self.f1 = (mixed[:, 1] * np.float32(4000)).astype(_U) + _U(16)
-
-    def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        n, r = len(ids), self.r
-        for sums, at, own, k in ((self.by_two, self.a, self.p, 0), (self.by_one, self.b, self.q, 1)):
-            sums[r, at, choice] += np.float32(1)
-            self.well[:n, k] = self.well[:n, k] * np.float32(0.9) + own[r, choice] * np.float32(0.1)
-        for table, sure, key, c, s in ((self.one, self.sure_one, self.k1, self.c1, self.s1), (self.two, self.sure_two, self.k2, self.c2, self.s2)):
-            hit, new = c == ids, s == 0
-            table[r, key] = np.where(new, ids, c)
-            sure[r, key] = np.where(hit | new, np.minimum(s + 1, 3), s - 1)
-        self.counts[0, r, ids >> 8] += np.uint32(STEP)
-        self.counts[1, r, ids & 255] += np.uint32(STEP)
-        self.before[:n], self.last[:n] = self.last[:n], ids
-        self.steps += 1
-        if self.steps % REBUILD == 0:
-            self.rebuild()
+    """Adaptive probabilities of one kind of yes-or-no question in all lanes: one of each order, mixed by learned weights. All in integers."""
+
+    def __init__(self, lanes: int, kinds: tuple[int, int]):
+        # 16-bit estimates by the state of order 2 and of order 1; order 0 brings its own
+        self.of = [(k, np.full(lanes * k, 1 << 15, np.int32)) for k in kinds]
+        self.weights = [np.full(lanes, 22_000, np.int64) for _ in range(3)]
+
+    def ask(self, io: Writer | Reader, lane: np.ndarray, states: tuple[np.ndarray, np.ndarray], zero: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+        at = [lane * k + s for (k, _), s in zip(self.of, states)]
+        old = [t.take(a) for (_, t), a in zip(self.of, at)]
+        logits, weights = [*(STRETCH.take(p >> 4) for p in old), STRETCH.take(zero)], [w.take(lane) for w in self.weights]
+        mixed = (weights[0] * logits[0] + weights[1] * logits[1] + weights[2] * logits[2]) >> 16
+        p = SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
+        bits = io.bit(lane, p, bits)
+        for (_, t), a, q in zip(self.of, at, old):
+            t[a] = q + ((bits * np.int32(65_535) - q) >> 4)
+        error = (bits * np.int64(4096) - p) * 6
+        for all_weights, w, x in zip(self.weights, weights, logits):
+            all_weights[lane] = w + (x * error >> 10)
+        return bits
+
+
+def _coded(io: Writer | Reader, sizes: np.ndarray, ids: np.ndarray | None, ranks: np.ndarray | None) -> np.ndarray:
+    """Codes the ids of all lanes, or decodes them if there are none. sizes: of the lanes, in descending order.
+
+    ids, ranks: (places, lanes); the rank of an id is its number in order of appearance in its block.
+    """
+    lanes, longest = len(sizes), int(sizes[0]) if len(sizes) else 0
+    out = np.zeros((longest, lanes), np.uint16)
+    # tables are flat, a stretch for each lane; sums of counts stay below 36,000
+    groups = BLOCK // 32
+    high, low = np.zeros((lanes, groups), np.int32), np.zeros((lanes * groups, 32), np.uint16)
+    high_flat, low_flat = high.reshape(-1), low.reshape(-1)
+    total, seen, fresh = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, 60_000, np.int64)
+    id_of = np.zeros(lanes * BLOCK, np.uint16)
+    sizes_of_new = np.ones((lanes, 17), np.int64)
+    # the guess of each context, a rank, and above its 12 bits how sure it is
+    one, two = np.zeros(lanes * (BLOCK + 1), np.uint16), np.zeros(lanes * CONTEXTS, np.uint16)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # ranks and one; 0 is the start
+    is_two, is_one = Mixer(lanes, (32, 16)), Mixer(lanes, (16, 16))
+    every = np.arange(lanes)
+    for t in range(longest):
+        n = int(np.searchsorted(-sizes, -t))  # lanes longer than t
+        r = every[:n]
+        k1, k2 = r * (BLOCK + 1) + last[:n], r * CONTEXTS + (((last[:n] * 40_503 + before[:n] * 30_011) >> 3) & (CONTEXTS - 1))
+        c1, c2 = one.take(k1).astype(np.int64), two.take(k2).astype(np.int64)
+        c1, c2, s1, s2 = c1 & 4095, c2 & 4095, c1 >> 12, c2 >> 12
+        now = np.full(n, -1, np.int64) if ranks is None else ranks[t, :n].astype(np.int64)
+        found = np.zeros(n, bool)
+        same = c1 == c2
+        for question, lane, guess in ((is_two, np.flatnonzero(s2), c2), (is_one, None, c1)):
+            if lane is None:
+                lane = np.flatnonzero(~found & (s1 > 0) & ~(same & (s2 > 0)))
+            if not len(lane):
+                continue
+            g, a, b = guess[lane], s2[lane], s1[lane]
+            state = (a * 8 + b * 2 + same[lane], b * 2 + same[lane]) if question is is_two else (a * 4 + b, b * 4 + a)
+            zero = np.maximum(1, low_flat.take(lane * BLOCK + g) * np.int64(4095) // np.maximum(1, total.take(lane)))
+            bits = question.ask(io, lane, state, zero, None if ranks is None else now[lane] == g)
+            found[lane] |= bits
+            now[lane[bits]] = g[bits]
+        lane = np.flatnonzero(~found)
+        if len(lane):  # order 0: a part of the range for new ids, then those that were seen by their counts
+            wide = int(seen[lane].max() >> 5) + 1
+            escape = ((total[lane] * fresh[lane]) >> 16) + 1
+            whole = total[lane] + escape
+            sums = np.cumsum(high[lane, :wide], axis=1, dtype=np.int32)
+            if ranks is None:
+                d = io.target(lane, whole)
+                new, d = d < escape, d - escape
+                group = np.minimum((sums <= d[:, None]).sum(axis=1), wide - 1)
+            else:
+                new = now[lane] == seen[lane]
+                group = np.where(new, 0, now[lane] >> 5)
+            cells = low.take(lane * groups + group, axis=0)
+            inner, at = np.cumsum(cells, axis=1, dtype=np.int32), np.arange(len(lane))
+            start = sums[at, group] - high_flat.take(lane * groups + group)
+            place = np.minimum((inner <= (d - start)[:, None]).sum(axis=1), 31) if ranks is None else np.where(new, 0, now[lane] & 31)
+            freq = cells[at, place].astype(np.int64)
+            first = escape + start + inner[at, place] - freq
+            io.take(lane, np.where(new, 0, first), np.where(new, escape, freq), whole)
+            if ranks is None:
+                now[lane] = np.where(new, seen[lane], group * 32 + place)
+            fresh[lane] += np.where(new, (65_535 - fresh[lane]) >> 5, -(fresh[lane] >> 5))
+            lane = lane[new]
+            if len(lane):  # a new id: how many bits it has, then those
+                sums = np.cumsum(sizes_of_new[lane], axis=1)
+                at, whole = np.arange(len(lane)), sums[:, -1]
+                if ranks is None:
+                    size = (sums <= io.target(lane, whole)[:, None]).sum(axis=1)
+                else:
+                    value = ids[t, lane].astype(np.int64) + 1
+                    size = np.searchsorted(1 << np.arange(17), value, side="right") - 1
+                io.take(lane, sums[at, size] - sizes_of_new[lane, size], sizes_of_new[lane, size], whole)
+                span = np.int64(1) << size
+                rest = io.target(lane, span) if ranks is None else value - span
+                io.take(lane, rest, np.ones(len(lane), np.int64), span)
+                sizes_of_new[lane, size] += 1
+                id_of[lane * BLOCK + seen[lane]] = rest + span - 1
+                seen[lane] += 1
+        out[t, :n] = id_of.take(r * BLOCK + now)
+        more = 1 + t // 256
+        low_flat[r * BLOCK + now] += np.uint16(more)
+        high_flat[r * groups + (now >> 5)] += more
+        total[:n] += more
+        for table, key, c, s in ((one, k1, c1, s1), (two, k2, c2, s2)):
+            table[key] = np.where((c == now) & (s > 0), c | np.minimum(s + 1, 3) << 12, np.where(s <= 1, now | 1 << 12, c | (s - 1) << 12))
+        before[:n], last[:n] = last[:n], now + 1
+    return out
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """16-bit code words of each block."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    lanes, longest = len(blocks), int(sizes[0]) if blocks else 0
-    ids = np.zeros((longest, lanes), np.uint16)
-    for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    m = Mixer(lanes)
-    low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
-    words, at = np.zeros((lanes, 3 * longest // 2 + 16), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(lane: np.ndarray, first: np.ndarray, freq: np.ndarray, total: int) -> None:
-        nonlocal words
-        part = width[lane] // _U(total)
-        x = low[lane] + part * first
-        part = part * freq
+class Writer:
+    """A range coder of many lanes: 48-bit states, 16-bit code words."""
+
+    def __init__(self, lanes: int, room: int):
+        self.low, self.width = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
+        self.words, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
+
+    def bit(self, lane: np.ndarray, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        part = self.width[lane] >> _U(12)
+        self.put(lane, part * np.where(bits, 0, p).astype(_U), part * np.where(bits, p, 4096 - p).astype(_U))
+        return bits
+
+    def take(self, lane: np.ndarray, first: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
+        part = self.width[lane] // total.astype(_U)
+        self.put(lane, part * first.astype(_U), part * freq.astype(_U))
+
+    def put(self, lane: np.ndarray, more: np.ndarray, part: np.ndarray) -> None:
+        x = self.low[lane] + more
         over = x >> _U(48)
         if over.any():  # a carry goes into the words before
             for k in lane[over > 0]:
-                j = at[k] - 1
-                while words[k, j] == 0xFFFF:
-                    words[k, j] = 0
+                j = self.at[k] - 1
+                while self.words[k, j] == 0xFFFF:
+                    self.words[k, j] = 0
                     j -= 1
-                words[k, j] += 1
+                self.words[k, j] += 1
             x &= _U((1 << 48) - 1)
-        out = part < _U(1 << 32)
-        o = lane[out]
-        if len(o):
-            if at[o].max() + 8 >= words.shape[1]:
-                words = np.concatenate([words, np.zeros_like(words)], axis=1)
-            words[o, at[o]] = (x[out] >> _U(32)).astype(np.uint16)
-            at[o] += 1
+        out = np.flatnonzero(part < _U(1 << 32))
+        if len(out):
+            o = lane[out]
+            if self.at[o].max() + 8 >= self.words.shape[1]:
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+            self.words[o, self.at[o]] = (x[out] >> _U(32)).astype(np.uint16)
+            self.at[o] += 1
             x[out] = (x[out] & _U((1 << 32) - 1)) << _U(16)
             part[out] <<= _U(16)
-        low[lane], width[lane] = x, part
+        self.low[lane], self.width[lane] = x, part
+
+    def ended(self, lane: int) -> np.ndarray:
+        """The words of a lane: two of its state, a bit above the low end, are enough."""
+        value = int(self.low[lane]) + min(int(self.width[lane]) - 1, (1 << 32) - 1)
+        words = self.words[lane, : self.at[lane]].copy()
+        if value >> 48:
+            j = len(words) - 1
+            while words[j] == 0xFFFF:
+                words[j] = 0
+                j -= 1
+            words[j] += 1
+        return np.concatenate([words, np.array([value >> 32 & 0xFFFF], np.uint16)])
+
+
+class Reader:
+    def __init__(self, codes: list[np.ndarray]):
+        lanes = len(codes)
+        self.words = np.zeros((lanes, max(map(len, codes), default=0) + 8), np.uint16)
+        for k, c in enumerate(codes):
+            self.words[k, : len(c)] = c
+        self.x = (self.words[:, 0].astype(_U) << _U(32)) | (self.words[:, 1].astype(_U) << _U(16)) | self.words[:, 2].astype(_U)
+        self.width, self.at = np.full(lanes, (1 << 48) - 1, _U), np.full(lanes, 3)
+
+    def bit(self, lane: np.ndarray, p: np.ndarray, _: None) -> np.ndarray:
+        part, x = self.width[lane] >> _U(12), self.x[lane]
+        edge = part * p.astype(_U)
+        bits = x < edge
+        self.keep(lane, np.where(bits, x, x - edge), np.where(bits, edge, part * (4096 - p).astype(_U)))
+        return bits
+
+    def target(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
+        total = total.astype(_U)
+        return np.minimum(self.x[lane] // (self.width[lane] // total), total - _U(1)).astype(np.int64)
+
+    def take(self, lane: np.ndarray, first: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
+        part = self.width[lane] // total.astype(_U)
+        self.keep(lane, self.x[lane] - part * first.astype(_U), part * freq.astype(_U))
+
+    def keep(self, lane: np.ndarray, x: np.ndarray, part: np.ndarray) -> None:
+        out = np.flatnonzero(part < _U(1 << 32))
+        if len(out):
+            o = lane[out]
+            x[out] = (x[out] << _U(16)) | self.words[o, np.minimum(self.at[o], self.words.shape[1] - 1)]
+            self.at[o] += 1
+            part[out] <<= _U(16)
+        self.x[lane], self.width[lane] = x, part
 
-    for t in range(longest):
-        n = int(np.searchsorted(-sizes, -t, side="left"))  # lanes longer than t
-        now = ids[t, :n]
-        m.predict(n)
-        choice = np.where(now == m.c2, 0, np.where(now == m.c1, 1, 2))
-        f0, f1 = m.f0, m.f1
-        first = np.where(choice == 0, _U(0), np.where(choice == 1, f0, f0 + f1))
-        put(m.r, first, np.where(choice == 0, f0, np.where(choice == 1, f1, _U(4096) - f0 - f1)), 4096)
-        lane = np.flatnonzero(choice == 2)
-        if len(lane):
-            for k, byte in ((0, now[lane] >> 8), (1, now[lane] & 255)):
-                first = m.sums[k, lane, byte]
-                put(lane, first.astype(_U), (m.sums[k, lane, byte + 1] - first).astype(_U), m.total)
-        m.learn(now, choice)
-    all_lanes = np.arange(lanes)
-    for _ in range(3):  # the rest of the state
-        put(all_lanes, np.zeros(lanes, _U), np.ones(lanes, _U), 1 << 16)
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
+
+def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """16-bit code words of each block, of `BLOCK` ids at most."""
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    sizes = np.array([len(blocks[i]) for i in order], np.int64)
+    longest = int(sizes[0]) if blocks else 0
+    ids, ranks = np.zeros((longest, len(blocks)), np.uint16), np.zeros((longest, len(blocks)), np.int16)
+    for lane, i in enumerate(order):
+        if len(blocks[i]):
+            _, first, back = np.unique(blocks[i], return_index=True, return_inverse=True)
+            rank = np.empty(len(first), np.int16)
+            rank[np.argsort(first)] = np.arange(len(first))
+            ids[: len(blocks[i]), lane], ranks[: len(blocks[i]), lane] = blocks[i], rank[back]
+    io = Writer(len(blocks), longest // 2 + longest // 8 + 16)
+    _coded(io, sizes, ids, ranks)
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
     for lane, i in enumerate(order):
-        tail = np.array([(int(low[lane]) >> s) & 0xFFFF for s in (32, 16, 0)], np.uint16)
-        out[i] = np.concatenate([words[lane, : at[lane]], tail])
+        if sizes[lane]:
+            out[i] = io.ended(lane)
     return out
 
 
 def decode_blocks(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
     order = sorted(range(len(codes)), key=lambda i: -lengths[i])
-    sizes = np.array([lengths[i] for i in order])
-    lanes, longest = len(codes), int(sizes[0]) if codes else 0
-    words = np.zeros((lanes, max((len(c) for c in codes), default=0) + 4), np.uint16)
-    for lane, i in enumerate(order):
-        words[lane, : len(codes[i])] = codes[i]
-    m = Mixer(lanes)
-    x = (words[:, 0].astype(_U) << _U(32)) | (words[:, 1].astype(_U) << _U(16)) | words[:, 2].astype(_U)
-    width, at = np.full(lanes, (1 << 48) - 1, _U), np.full(lanes, 3)
-    ids = np.zeros((longest, lanes), np.uint16)
-
-    def target(lane: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-        part = width[lane] // _U(total)
-        return part, np.minimum(x[lane] // part, _U(total - 1))
-
-    def take(lane: np.ndarray, part: np.ndarray, first: np.ndarray, freq: np.ndarray) -> None:
-        v, w = x[lane] - part * first, part * freq
-        out = w < _U(1 << 32)
-        o = lane[out]
-        if len(o):
-            v[out] = (v[out] << _U(16)) | words[o, np.minimum(at[o], words.shape[1] - 1)]
-            at[o] += 1
-            w[out] <<= _U(16)
-        x[lane], width[lane] = v, w
-
-    for t in range(longest):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        m.predict(n)
-        part, d = target(m.r, 4096)
-        f0, f1 = m.f0, m.f1
-        choice = (d >= f0).astype(np.int64) + (d >= f0 + f1)
-        first = np.where(choice == 0, _U(0), np.where(choice == 1, f0, f0 + f1))
-        take(m.r, part, first, np.where(choice == 0, f0, np.where(choice == 1, f1, _U(4096) - f0 - f1)))
-        now = np.where(choice == 0, m.c2, m.c1)
-        lane = np.flatnonzero(choice == 2)
-        if len(lane):
-            value = np.zeros(len(lane), np.uint16)
-            for k in (0, 1):
-                part, d = target(lane, m.total)
-                d, byte = d.astype(np.uint32), np.zeros(len(lane), np.int64)
-                sums = m.sums[k]
-                for half in (128, 64, 32, 16, 8, 4, 2, 1):
-                    byte += half * (sums[lane, byte + half] <= d)
-                first = sums[lane, byte]
-                take(lane, part, first.astype(_U), (sums[lane, byte + 1] - first).astype(_U))
-                value = (value << np.uint16(8)) | byte.astype(np.uint16)
-            now[lane] = value
-        ids[t, :n] = now
-        m.learn(now, choice)
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
+    ids = _coded(Reader([codes[i] for i in order]), np.array([lengths[i] for i in order], np.int64), None, None)
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(codes)
     for lane, i in enumerate(order):
         out[i] = ids[: lengths[i], lane].copy()
     return out

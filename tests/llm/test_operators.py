@@ -147,15 +147,26 @@ def test_range_coder_round_trip():
         tokenfiles.unpacked([bytes(damaged)])
 
 
+def test_range_coder_beats_deflate_on_the_same_blocks(docs):
+    import public_tokenizers
+
+    memory = tokenfiles.Tokens(public_tokenizers.path(tokenfiles.FILE))
+    ids = np.concatenate(memory.encode([r.text or "" for r in docs.orderBy("doc_id").collect()]))
+    blocks = [ids[i : i + tokenfiles.BLOCK] for i in range(0, len(ids), tokenfiles.BLOCK)]
+    codes = tokenfiles.encode_blocks(blocks)
+    assert all(map(np.array_equal, blocks, tokenfiles.decode_blocks(codes, list(map(len, blocks)))))
+    assert 2 * sum(map(len, codes)) < 0.9 * sum(len(zlib.compress(b.tobytes(), 9)) for b in blocks)
+
+
 def test_token_files(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(tokenfiles.FILE)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     whole = lambda s: t.encode(s or "", add_special_tokens=False).ids + [0]
-    memory = tokenfiles.Tokens(path)
+    memory, plain = tokenfiles.Tokens(path), tokenfiles.Tokens(path, plain=True)
+    assert 50256 in whole("x <|endoftext|> y") and 50256 not in plain.encode(["x <|endoftext|> y"])[0]
     for s in ("a  b", "a   b \n c\n\n d", "x <|endoftext|> y", "  lead", "tab\t x", "a\x1c b", "it's 's  's 12 a1", "é ñ　漢 字", ""):
         assert memory.encode([s])[0].tolist() == whole(s)
     want, start = [], 0
