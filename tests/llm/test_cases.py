@@ -7,7 +7,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from colonnade.llm import common, decontam, langid, minhash, pieces, sharding, simhash, toxicity
+from colonnade.llm import common, decontam, langid, maxent, minhash, pieces, sharding, simhash, toxicity
 
 DATA = "/root/testdata/sf0.001"
 #: Names that operators might use for columns of their own.
@@ -252,3 +252,49 @@ def test_matrices_combine_in_any_order():
         row = (row[:, None] + x).max(axis=0)
     assert np.array_equal(pieces.arriving(m), np.array(want))
     assert np.array_equal(pieces.combined(pieces.combined(m[0], m[1]), m[2]), pieces.combined(m[0], pieces.combined(m[1], m[2])))
+
+
+def test_language_model_against_plain_loops(spark, monkeypatch):
+    """score of whole documents from the trained weights, one token at a time; words in and beyond the table, and unseen."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 3000").limit(40)
+    model, counts = maxent.fit(docs.where(~maxent.held_out()), 300)
+    known, k = {r.h: r.c for r in counts.collect()}, 0x9E3779B97F4A7C15
+    place = {int(w): i for i, w in enumerate(model.words)}
+    low64 = 2**64 - 1
+    class_of = lambda h: int(model.classes[place[h]]) if h in place else maxent.CLASSES - 1
+    assert np.abs(model.weights).sum() > 0 and len(place) <= 300 < len(known)
+    got = {r.doc_id: r.score for r in maxent.scored(docs, model, counts).collect()}
+    for d, text in docs.select("doc_id", "text").collect():
+        h, total = maxent.hashes(text), 0.0
+        for i, w in enumerate(h):
+            one, two = (h[i - 1] if i > 0 else 0), (h[i - 2] if i > 1 else 0)
+            before = [class_of(h[i - j]) if i >= j else maxent.CLASSES for j in range(1, 5)]
+            shift, side, first = 64 - model.bits, maxent.CLASSES + 1, 1 << model.bits
+            rows = [(one * k & low64) >> shift, ((one ^ (two * k & low64)) * k + (1 << 60) & low64) >> shift, (two * (k ^ 0xFF00FF00) + (7 << 57) & low64) >> shift]
+            rows += [first + before[0] * side + before[1], first + side * side + before[2] * side + before[3]]
+            z = model.prior.astype(float) + sum(model.weights[r].astype(float) for r in rows)
+            total += (z[class_of(w)] - np.log(np.exp(z).sum())) / math.log(10)
+            signed = w - 2**64 if w >> 63 else w
+            total += model.share[place[w]] if w in place else math.log10(known.get(signed, model.unseen) / (model.rare + model.unseen))
+        assert abs(got[d] - total) < 1e-3 * max(1, len(h)) ** 0.5, d
+
+
+def test_language_model_learns_from_context(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learning = docs.where(~maxent.held_out())
+    model, counts = maxent.fit(learning)
+    held = docs.where(maxent.held_out())
+    per_token = lambda: [sum(r[0] for r in x) / sum(r[1] for r in x) for x in [maxent.scored(held, model, counts).select("score", "n_tokens").collect()]][0]
+    trained = per_token()
+    model.weights = np.zeros_like(model.weights)
+    assert trained - per_token() > 0.17
+
+
+def test_weights_are_summed_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "FAN", 3)
+    rng = np.random.default_rng(1)
+    values = rng.integers(-9, 9, (40, 2, 5)).astype(np.float32)
+    parts = spark.createDataFrame([(i, s, i + 1, values[i, s].tobytes()) for i in range(40) for s in range(2)], "part int, stretch int, n bigint, moved binary")
+    found = {r["stretch"]: r for r in maxent.averaged(parts)}
+    assert len(found) == 2 and all(np.array_equal(np.frombuffer(found[s]["moved"], np.float32), values[:, s].sum(axis=0)) and found[s]["n"] == 820 for s in found)
+    assert maxent.averaged(parts.limit(0)) == []

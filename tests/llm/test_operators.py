@@ -447,7 +447,7 @@ def test_language_model_is_a_distribution(docs):
     m = maxent.Model(h[keep], c[keep], int(c.sum()), len(h), int((c == 1).sum()))
     m.learn([texts])
     for _, t, sizes in maxent.token_batches(texts[:3]):
-        p = np.exp(m.log_classes(m.features(t, sizes)).astype(float))
+        p = np.exp(m.log_classes(m.features(t, sizes, m.class_of(*m.look_up(t)))).astype(float))
         assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
     shares = np.bincount(m.classes, weights=10**m.share, minlength=maxent.CLASSES)
     assert np.allclose(shares[shares > 0], 1)
