@@ -48,7 +48,7 @@ from colonnade.llm.simhash import LOWER
 TABLE, ALONE, CLUSTERS, BANDS, ROUNDS = 400_000, 7, 6, 4, 2
 CLASSES = ALONE + CLUSTERS * BANDS + 1  # the last is of rarer and unseen words
 #: Hashed rows of weights at most, and training tokens to a row below that.
-ROWS, TOKENS = 1 << 18, 16
+ROWS, TOKENS = 1 << 18, 64
 BATCH, RATE = 1 << 13, 0.15
 #: Numbers of a document's vector; a word's share of tokens from which on it counts there.
 SIGNS, FREQUENT = 8, 0.001
@@ -210,25 +210,31 @@ class Model:
         return seen
 
 
-def averaged(parts: DataFrame) -> list:
-    """Rows (stretch, n, moved): sums of parts (part, stretch, n, moved) over all partitions, `FAN` at a time, so no task holds more than that of a stretch."""
+def averaged(parts: DataFrame, most: int) -> list:
+    """Rows (stretch, n, moved): sums of n times the 16-bit numbers of parts (part, stretch, n, moved), as 32-bit ones.
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(group.moved.iloc[0]) // 4, np.float32)
-        for m in group.moved:
-            total += np.frombuffer(m, np.float32)
-        return pd.DataFrame({"part": [int(group.part.iloc[0]) // FAN], "stretch": [int(group.stretch.iloc[0])], "n": [int(group.n.sum())], "moved": [total.tobytes()]})
+    They are summed over `FAN` of the partitions 0 to `most` at a time, so no task holds
+    more than that of a stretch.
+    """
 
-    schema = "part int, stretch int, n bigint, moved binary"
-    now = written(parts, "moved")
-    most = now.agg(F.max("part")).head()[0]
-    while most is not None:
+    def adding(kind: str):
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            total = 0.0
+            for m, n in zip(group.moved, group.n):
+                total = total + np.frombuffer(m, kind).astype(np.float32) * np.float32(n if kind == "<f2" else 1)
+            return pd.DataFrame({"part": [int(group.part.iloc[0]) // FAN], "stretch": [int(group.stretch.iloc[0])], "n": [int(group.n.sum())], "moved": [total.tobytes()]})
+
+        return add
+
+    now, kind = parts, "<f2"
+    while True:
         with small_batches(now.sparkSession, 16):
-            last, now = now, written(now.groupBy(F.floor(F.col("part") / FAN), "stretch").applyInPandas(add, schema), "moved")
+            sums = now.groupBy(F.floor(F.col("part") / FAN), "stretch").applyInPandas(adding(kind), "part int, stretch int, n bigint, moved binary")
+            last, now = now, written(sums, "moved")
         removed(last)
         if most < FAN:
             break
-        most //= FAN
+        most, kind = most // FAN, "<f4"
     rows = now.collect()  # one for each stretch
     removed(now)
     return rows
@@ -247,11 +253,11 @@ def trained(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             if n:
                 part = TaskContext.get().partitionId()
                 for i in range(0, len(start), STRETCH):
-                    moved = (own.weights[i : i + STRETCH] - start[i : i + STRETCH]) * np.float32(n)
+                    moved = (own.weights[i : i + STRETCH] - start[i : i + STRETCH]).astype("<f2")
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i // STRETCH], pa.int32()), pa.array([n], pa.int64()), pa.array([moved.tobytes()], pa.binary())], names=["part", "stretch", "n", "moved"])
 
         share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text")
-        sums = averaged(share.mapInArrow(run, "part int, stretch int, n bigint, moved binary"))
+        sums = averaged(share.mapInArrow(run, "part int, stretch int, n bigint, moved binary"), share.rdd.getNumPartitions())
         weights = model.weights.copy()
         for r in sums:
             at = r["stretch"] * STRETCH

@@ -293,8 +293,9 @@ def test_language_model_learns_from_context(spark):
 def test_weights_are_summed_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(maxent, "FAN", 3)
     rng = np.random.default_rng(1)
-    values = rng.integers(-9, 9, (40, 2, 5)).astype(np.float32)
+    values = rng.integers(-9, 9, (40, 2, 5)).astype(np.float16)
     parts = spark.createDataFrame([(i, s, i + 1, values[i, s].tobytes()) for i in range(40) for s in range(2)], "part int, stretch int, n bigint, moved binary")
-    found = {r["stretch"]: r for r in maxent.averaged(parts)}
-    assert len(found) == 2 and all(np.array_equal(np.frombuffer(found[s]["moved"], np.float32), values[:, s].sum(axis=0)) and found[s]["n"] == 820 for s in found)
-    assert maxent.averaged(parts.limit(0)) == []
+    found = {r["stretch"]: r for r in maxent.averaged(parts, 39)}
+    want = (values.astype(np.float32) * np.arange(1, 41, dtype=np.float32)[:, None, None]).sum(axis=0)
+    assert len(found) == 2 and all(np.array_equal(np.frombuffer(found[s]["moved"], np.float32), want[s]) and found[s]["n"] == 820 for s in found)
+    assert maxent.averaged(parts.limit(0), 39) == []
