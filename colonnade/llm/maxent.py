@@ -7,9 +7,9 @@ vector, the sum of random signs of the words that are frequent where it is count
 word the sum of the vectors of the documents it is in, and those sums fall into `CLUSTERS`
 groups. So context tells, through classes, which of many words can come.
 
-A softmax over classes reads features of the context: by hash the word before, the two
-words before, and the word before that alone (a skip); and the classes of the two words
-before, and of the two before those. It is trained by distributed gradient updates: in each
+A softmax over classes reads features of the context: by hash the word before and the two
+words before; the classes of the two words before, and, skipping those, the classes of the
+two before them. It is trained by distributed gradient updates: in each
 of `ROUNDS` rounds the partitions run minibatch AdaGrad from the same weights over the
 round's share of the training documents (each document is in one round), and their weights
 are averaged by tokens, summed in a tree of `FAN` at a time. The number of hashed rows
@@ -161,7 +161,7 @@ class Model:
         return np.where(known, self.classes[at] if len(self.words) else 0, CLASSES - 1)
 
     def features(self, h: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """(tokens, 5) rows of the weights: one word before, two before, the skip, the two classes before, and the two before those."""
+        """(tokens, 4) rows of the weights: one word before, two before, the two classes before, and the two before those, a skip."""
         n = len(h)
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -172,23 +172,28 @@ class Model:
         for d in range(1, 5):
             before[d, d:] = np.where(place[d:] >= d, classes[: max(0, n - d)], CLASSES)
         side, first = CLASSES + 1, 1 << self.bits
-        hashed = [(one * k) >> shift, ((one ^ (two * k)) * k + np.uint64(1 << 60)) >> shift, (two * (k ^ np.uint64(0xFF00FF00)) + np.uint64(7 << 57)) >> shift]
+        hashed = [(one * k) >> shift, ((one ^ (two * k)) * k + np.uint64(1 << 60)) >> shift]
         return np.stack([*hashed, first + before[1] * side + before[2], first + side * side + before[3] * side + before[4]], axis=1).astype(np.int32)
 
-    def log_classes(self, rows: np.ndarray) -> np.ndarray:
-        """(tokens, classes) log probabilities."""
+    def logits(self, rows: np.ndarray) -> np.ndarray:
+        """(tokens, classes) sums of weights, the greatest of a token 0."""
         w = self.weights
         z = w.take(rows[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
             z += w.take(rows[:, k], axis=0)
         z += self.prior
         z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def log_classes(self, rows: np.ndarray) -> np.ndarray:
+        """(tokens, classes) log probabilities."""
+        z = self.logits(rows)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
     def learn(self, texts: Iterator[list[str | None]]) -> int:
         """AdaGrad over minibatches; the number of tokens."""
-        seen, squares = 0, np.full((len(self.weights), 1), 1e-2, np.float32)
+        seen, squares = 0, np.full(len(self.weights), 1e-2, np.float32)
         for part in texts:
             for _, h, sizes in token_batches(part):
                 words, back = np.unique(h, return_inverse=True)
@@ -196,16 +201,21 @@ class Model:
                 rows = self.features(h, sizes, classes)
                 for i in range(0, len(h), BATCH):
                     r, y = rows[i : i + BATCH], classes[i : i + BATCH]
-                    g = np.exp(self.log_classes(r))
+                    g = self.logits(r)
+                    np.exp(g, out=g)
+                    g /= g.sum(axis=1, keepdims=True)
                     g[np.arange(len(y)), y] -= 1
                     for k in range(r.shape[1]):
-                        order = np.argsort(r[:, k], kind="stable")
-                        at = r[order, k]
+                        order = np.argsort(r[:, k])
+                        at = r[:, k].take(order)
                         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                        total = np.add.reduceat(g[order], starts, axis=0) / np.sqrt(np.diff(np.r_[starts, len(at)]))[:, None].astype(np.float32)
-                        touched = at[starts]
-                        squares[touched] += (total * total).mean(axis=1, keepdims=True)
-                        self.weights[touched] -= RATE * total / np.sqrt(squares[touched])
+                        total, touched = np.add.reduceat(g.take(order, axis=0), starts, axis=0), at[starts]
+                        # a row's gradient counts by the root of its tokens
+                        scale = 1 / np.sqrt(np.diff(np.r_[starts, len(at)]).astype(np.float32))
+                        size = squares.take(touched) + np.einsum("ij,ij->i", total, total) * scale * scale * np.float32(1 / CLASSES)
+                        squares[touched] = size
+                        total *= (scale * np.float32(RATE) / np.sqrt(size))[:, None]
+                        self.weights[touched] -= total
                 seen += len(h)
         return seen
 

@@ -270,7 +270,7 @@ def test_language_model_against_plain_loops(spark, monkeypatch):
             one, two = (h[i - 1] if i > 0 else 0), (h[i - 2] if i > 1 else 0)
             before = [class_of(h[i - j]) if i >= j else maxent.CLASSES for j in range(1, 5)]
             shift, side, first = 64 - model.bits, maxent.CLASSES + 1, 1 << model.bits
-            rows = [(one * k & low64) >> shift, ((one ^ (two * k & low64)) * k + (1 << 60) & low64) >> shift, (two * (k ^ 0xFF00FF00) + (7 << 57) & low64) >> shift]
+            rows = [(one * k & low64) >> shift, ((one ^ (two * k & low64)) * k + (1 << 60) & low64) >> shift]
             rows += [first + before[0] * side + before[1], first + side * side + before[2] * side + before[3]]
             z = model.prior.astype(float) + sum(model.weights[r].astype(float) for r in rows)
             total += (z[class_of(w)] - np.log(np.exp(z).sum())) / math.log(10)
