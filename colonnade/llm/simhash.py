@@ -12,9 +12,10 @@ shingles. Two uses:
   paired: those fingerprints spell out their whole 64-bit balls of radius one, where
   all that meet are within two bits of each other, and join the least of each ball.
 * `similar`: documents of whose distinct shingles of five words 0.8 or more are
-  shared, found through the first fifth of each document's shingles in one order of all
-  shingles, in which any two such documents share one, and verified exactly. Pairs that
-  are already in one class are left out.
+  shared. Candidates are those whose fingerprints of distinct shingles link as above.
+  Fingerprints miss some pairs, so the first fifth of each document's shingles in one
+  order of all shingles, in which any two such documents share one, gives the rest. All
+  candidates are verified exactly. Pairs that are already in one class are left out.
 
 Null and empty texts have fingerprint zero. Repeated rows give repeated rows. Columns
 other than doc_id and text are not read. An empty table gives an empty table.
@@ -103,20 +104,25 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def root_links(groups: DataFrame, node: str) -> DataFrame:
+    """(a, b): the least nodes of linked fingerprints, of groups (f, node) with a row for each fingerprint."""
+    links = fingerprint_links(groups.select("f"))
+    roots = groups.select("f", node)
+    return links.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id)."""
     with small_batches(docs.sparkSession):
         base = written(fingerprints(docs), "prints")
     groups = written(base.groupBy("f").agg(F.min("doc_id").alias("root")), "groups")
-    links = fingerprint_links(groups.select("f"))
-    edges = links.join(groups.toDF("a", "ra"), "a").join(groups.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    found = components(edges)
+    found = components(root_links(groups, "root"))
     classes = groups.join(found, groups.root == found.node, "left").select("f", F.coalesce("component", "root").alias("component_id"))
     return base.join(classes, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """(doc_id, text_md5, digest, n, bins, keys): a row's own text, its distinct shingles, their number, how many have each first byte, and the first of them.
+    """(doc_id, text_md5, digest, f, n, bins, keys): a row's own text, its distinct shingles, their fingerprint, their number, how many have each first byte, and the first of them.
 
     All shingles are in one order: those that are not in `common` (sorted) before those
     that are, then by hash. Two sets that share `least` of their union share one of the
@@ -125,20 +131,21 @@ def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, bins, keys = [], [], [], []
+            digests, marks, sizes, bins, keys = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = np.unique(shingle_hashes(t, words))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                marks.append(fingerprint(h))
                 sizes.append(len(h))
                 bins.append(np.bincount(h >> np.uint64(64 - BIN_BITS), minlength=1 << BIN_BITS).astype(np.int32))
                 if len(common) and len(h):
                     late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     h = np.concatenate([h[~late], h[late]])
                 keys.append(h[: first_of(len(h), least)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bins, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
-    names = ["doc_id", "text_md5", "digest", "n", "bins", "keys"]
-    return docs.select(F.col("doc_id").cast("bigint"), text_md5().alias("text_md5"), "text").mapInArrow(run, "doc_id bigint, text_md5 binary, digest binary, n int, bins array<int>, keys array<bigint>")
+    names = ["doc_id", "text_md5", "digest", "f", "n", "bins", "keys"]
+    return docs.select(F.col("doc_id").cast("bigint"), text_md5().alias("text_md5"), "text").mapInArrow(run, "doc_id bigint, text_md5 binary, digest binary, f bigint, n int, bins array<int>, keys array<bigint>")
 
 
 def first_of(n: int, least: float) -> int:
@@ -231,15 +238,16 @@ def across(rows: DataFrame, least: float) -> DataFrame:
 def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, text_md5, digest) and the classes (digest, class) of different sets of shingles.
 
-    Texts of equal sets are one node from the start. Nodes meet in the buckets of the
-    first shingles of their sets (see `prefixes`), so all that are alike meet. In a
-    bucket each is compared with the one before it and with the one whose shingles most
-    others have; where that leaves a bucket more than one class, all pairs of different
-    classes are compared.
+    Texts of equal sets are one node from the start. Nodes meet by their fingerprints
+    (see `fingerprint_links`; those of one fingerprint meet its least node), and in the
+    buckets of the first shingles of their sets (see `prefixes`), so all that are alike
+    meet. In a bucket each is compared with the one before it and with the one whose
+    shingles most others have; where that and the fingerprints leave a bucket more than
+    one class, all pairs of different classes are compared.
     """
     with small_batches(docs.sparkSession):
         base = written(prefixes(docs, words, least, common_shingles(docs, words)), "prints")
-    groups = base.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "bins", "keys")))
+    groups = base.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("f", "n", "bins", "keys")))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
     found = written(base.select("doc_id", "text_md5", "digest"), "rows")
     removed(base)
@@ -249,12 +257,16 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFr
     # the first shingles are not needed any more
     whole, groups = groups, written(groups.drop("keys"), "groups")
     removed(whole)
+    marks = written(groups.groupBy("f").agg(F.min("node").alias("root")), "marks")
+    by_mark = root_links(marks, "root").union(groups.join(marks, "f").where("node <> root").select("node", "root"))
     # of a group of edited copies the original has the fewest shingles of its own
     known = met.groupBy("node").agg((F.sum(F.log2("size")) / F.max("n")).alias("known"))
     place = F.struct("node", "n", "at")
     first = met.join(known, "node").select("node", "n", "at", F.max(F.struct("known", "node", "n", "at")).over(bucket).alias("best"), F.lag(place).over(bucket.orderBy("n", "node")).alias("last"))
     first = first.select(place.alias("x"), F.explode(F.array(F.struct("best.node", "best.n", "best.at"), "last")).alias("y")).where("x.node <> y.node").where(may_be_like("x", "y", least))
-    tried = written(first.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "pairs")
+    first = first.select("x.node", F.col("y.node").alias("other")).union(by_mark)
+    tried = written(first.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
+    removed(marks)
     rows = written(found.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("row")), "first-rows")
     links = likes(tried, docs, groups, rows, words, least)
     rest = with_classes(met, links)

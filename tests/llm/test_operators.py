@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from colonnade.llm import decontam, langid, maxent, minhash, pieces, quotes, sharding, simhash, tokenfiles, toxicity
 from colonnade.llm.common import components
@@ -309,6 +310,24 @@ def test_near_duplicates_with_edited_blocks(spark):
     assert kept_ids(spark, texts) == want
 
 
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """Without the first shingles, what linked fingerprints of distinct shingles give and whole texts confirm is found."""
+    real = simhash.prefixes
+    monkeypatch.setattr(simhash, "prefixes", lambda *a: real(*a).withColumn("keys", F.array().cast("array<bigint>")))
+    rng = random.Random(10)
+    texts = []
+    for _ in range(30):
+        w = [f"v{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(w), " ".join([*w[:-1], "end"]), " ".join([*w[:300], "new", *w[301:], *w])]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    prints = [simhash.fingerprint(h) & (2**64 - 1) for h in sets]
+    met = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    alike = [(i, j) for i, j in met if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    want = sorted(set(components_of(range(len(texts)), alike).values()))
+    assert len(want) < 75
+    assert kept_ids(spark, texts) == want
+
+
 @pytest.mark.parametrize("block", [256, 8])
 def test_near_duplicates_in_large_groups(spark, block, monkeypatch):
     """A hub of copies that are alike only through it, two groups in one bucket and a ring, against brute force."""
