@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only if a count has shown it to hold at most so many rows of a few numbers each.
@@ -47,6 +50,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
     return setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__execution__arrow__maxBytesPerBatch=size)
 
 
+def released() -> None:
+    """Gives back to the system what this process has freed: the driver, or a worker that ran other operators before, keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and lost executors lose nothing. Its shuffle files go when it is written."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

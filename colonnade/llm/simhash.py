@@ -31,13 +31,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from colonnade.llm.common import components, fits, removed, small_batches, tables, written
+from colonnade.llm.common import components, fits, released, removed, small_batches, tables, written
 
 WORDS, SEED, CROWD = 3, 42, 64
 #: Shingles in OFTEN or more of one in SAMPLED texts come last in the order of shingles, COMMON of them at most.
 SAMPLED, OFTEN, COMMON = 16, 4, 200_000
 #: Bits of a shingle's hash by which shingles are counted, to bound what two sets share.
 BIN_BITS = 8
+#: Nodes whose rows are found by a table sent to every task, of 16 bytes a node; more of them meet their rows in a shuffle.
+HELD = 500_000
 #: Nodes of a bucket that are compared by pairs in one place.
 BLOCK = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,6 +132,7 @@ def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for b in batches:
             digests, marks, sizes, bins, keys = [], [], [], [], []
             for t in b.column(2).to_pylist():
@@ -161,6 +164,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted hashes of shingles that many texts of a sample hold: `COMMON` at most, the most frequent. They only decide an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for b in batches:
             found = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -289,8 +293,26 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("text_md5", text_md5())
+    if fits(nodes, HELD):
+        # two numbers a node; as a broadcast table it would be many times that, most of it in the driver
+        held = nodes.select(F.xxhash64("doc_id", "text_md5").alias("key"), "node").toArrow()
+        keys, own = held.column("key").to_numpy(), held.column("node").to_numpy()
+        order = np.argsort(keys)
+        sent = docs.sparkSession.sparkContext.broadcast((keys[order], own[order]))
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, own = sent.value
+
+            def ours(b: pa.RecordBatch) -> pa.RecordBatch:
+                k = b.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+                hit = np.flatnonzero(keys[at] == k) if len(keys) else np.zeros(0, np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(own[at[hit]]), b.column(1).take(pa.array(hit))], names=["node", "text"])
+
+            return run(map(ours, batches))
+
+        return rows.select(F.xxhash64("doc_id", "text_md5").alias("key"), "text").mapInArrow(chosen, "node bigint, shingles array<bigint>")
     nodes = nodes.toDF("node", "of_id", "of_md5")
-    nodes = F.broadcast(nodes) if fits(nodes) else nodes
     found = rows.join(nodes, (rows.text_md5 == nodes.of_md5) & rows.doc_id.eqNullSafe(nodes.of_id)).select("node", "text")
     return found.mapInArrow(run, "node bigint, shingles array<bigint>")
 
@@ -300,6 +322,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text; those that repeat both are one document.
     """
+    released()
     md5 = "_text_md5"
     while md5 in docs.columns:
         md5 += "_"

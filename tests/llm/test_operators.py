@@ -328,6 +328,19 @@ def test_near_duplicates_by_fingerprints(spark, monkeypatch):
     assert kept_ids(spark, texts) == want
 
 
+@pytest.mark.parametrize("held", [500_000, 0])
+def test_shingle_sets(spark, held, monkeypatch):
+    """The rows of nodes are found by a small table and by a shuffle alike; null ids and texts have a place."""
+    monkeypatch.setattr(simhash, "HELD", held, raising=False)
+    docs = frame(spark, [(1, "a b c", None), (1, "d e f", None), (None, "a b c", None), (2, None, None), (3, "left out", None)])
+    nodes = docs.where("doc_id IS NULL OR doc_id < 3").select(F.monotonically_increasing_id().alias("node"), "doc_id", simhash.text_md5().alias("text_md5"), "text").localCheckpoint()
+    found = {r.node: sorted(r.shingles) for r in simhash.shingle_sets(docs, nodes.drop("text"), 5).collect()}
+    assert found == {r.node: sorted(np.unique(simhash.shingle_hashes(r.text, 5)).view(np.int64).tolist()) for r in nodes.collect()}
+    plan = simhash.shingle_sets(docs, nodes.drop("text"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan  # a broadcast table of nodes weighs on the driver
+    assert simhash.shingle_sets(docs, nodes.drop("text").limit(0), 5).count() == 0
+
+
 @pytest.mark.parametrize("block", [256, 8])
 def test_near_duplicates_in_large_groups(spark, block, monkeypatch):
     """A hub of copies that are alike only through it, two groups in one bucket and a ring, against brute force."""
