@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from colonnade.llm.common import tables
 
 SHINGLE, BINS, BITS = 5, 128, 8
+#: Bytes of text in a range of doc_ids, which is a task's.
+RANGE = 1 << 24
 _BIN = 64 - (BINS.bit_length() - 1)
 _MASK = (1 << BITS) - 1
 
@@ -72,36 +74,43 @@ def ranged(docs: DataFrame, buckets: int) -> DataFrame:
     longs = lambda v: "array(" + ", ".join(f"{c}L" for c in v) + ")"
     part = f"size(filter({longs([p[-1] for p in parts])}, c -> c > place))"
     docs = docs.withColumn("part", F.expr(part))
-    return docs.withColumn("bucket", F.expr(f"part * {step} + coalesce(size(filter(get(array({', '.join(map(longs, parts))}), part), c -> c > place)), 0)")).drop("part")
+    # the last part may have fewer cuts
+    return docs.withColumn("bucket", F.expr(f"least({len(cuts)}, part * {step} + coalesce(size(filter(get(array({', '.join(map(longs, parts))}), part), c -> c > place)), 0))")).drop("part")
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, text, print, next_text, next_print) of docs (doc_id, digest, text): each and the one that follows by descending doc_id.
 
-    doc_id is cut into ranges, each is followed within itself, and the first document of
-    each range, found by its id alone, follows the last of the range above.
+    doc_id is cut into ranges with a task each. To each range the first document of the
+    range below, found by its id alone, is added as its end.
     """
     docs = ranged(docs, buckets)
-    w = Window.partitionBy("bucket").orderBy(F.col("place").desc(), F.col("doc_id").desc_nulls_last(), F.col("digest"))
-    carried = ["text", "print"]
-    rows = fingerprinted(docs, "text", "print").withColumns({f"next_{c}": F.lead(c).over(w) for c in carried} | {"is_last": F.lead(F.lit(1)).over(w).isNull()})
     # a row for each range, `buckets` at most; only doc_id is read for it
     heads = docs.groupBy("bucket").agg(F.max("place").alias("place"))
     line = Window.orderBy("bucket")
     heads = heads.select("place", F.coalesce(F.lag("bucket").over(line), F.max("bucket").over(Window.partitionBy())).alias("above"))
     # of documents with the same doc_id the one that comes first
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "digest")
-    found = docs.select("doc_id", "place", "text", "digest").join(F.broadcast(heads), "place").groupBy("above").agg(F.min_by("text", first).alias("head_text"))
-    found = fingerprinted(found, "head_text", "head_print")
-    joined = rows.join(found, rows["bucket"] == found["above"], "left")
-    return joined.select("doc_id", *carried, *(F.when(F.col("is_last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carried))
+    ends = docs.select("doc_id", "place", "text", "digest").join(F.broadcast(heads), "place").groupBy(F.col("above").alias("bucket")).agg(F.min_by("text", first).alias("text"))
+    rows = docs.withColumn("is_end", F.lit(False)).unionByName(ends.withColumn("is_end", F.lit(True)), allowMissingColumns=True)
+    # by hash several ranges would meet in one task, and others would have none
+    rows = fingerprinted(rows.repartitionById(buckets, "bucket"), "text", "print")
+    w = Window.partitionBy("bucket").orderBy("is_end", F.col("place").desc(), F.col("doc_id").desc_nulls_last(), F.col("digest"))
+    carried = ["text", "print"]
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where(~F.col("is_end"))
+    return rows.select("doc_id", *carried, *(f"next_{c}" for c in carried))
+
+
+def range_count(docs: DataFrame) -> int:
+    """Ranges of about `RANGE` bytes of text, and as many as a shuffle has partitions at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
 
 
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     (docs,) = tables(spark, folder, "documents")
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = with_next(docs.withColumn("digest", F.md5(F.col("text").cast("binary"))), buckets).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    df = with_next(docs.withColumn("digest", F.md5(F.col("text").cast("binary"))), range_count(docs)).withColumn("n_chars", F.char_length("text").cast("bigint"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("next_text", F.lit(1), k)))
     df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "print", F.col("next_print").alias("following"), "edited")

@@ -193,6 +193,18 @@ def test_next_document_with_null_and_equal_ids(spark, tmp_path):
             assert sorted(r.edited_sha256 for r in minhash.op10_fingerprints(spark, str(tmp_path)).collect()) == want
 
 
+def test_ranges_of_next_documents_have_a_task_each(spark, tmp_path, monkeypatch):
+    """Tasks after the shuffle follow the bytes of the texts and are even, whatever the number of partitions set."""
+    monkeypatch.setattr(minhash, "RANGE", 2500, raising=False)
+    data = [(7 * i, f"text {i:04} of twenty by") for i in range(2000)]
+    spark.createDataFrame(data, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with common.setting(spark, spark__sql__shuffle__partitions="4"):
+        out = minhash.op10_fingerprints(spark, str(tmp_path))
+        sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 2000 and len([n for n in sizes if n]) == -(-sum(len(t) for _, t in data) // 2500)
+    assert max(sizes) < 1.5 * 2000 / len(sizes)
+
+
 def test_bins_and_densification_against_plain_loops(spark):
     """Bins of the minimum, and the values that empty bins take."""
     import re
