@@ -42,7 +42,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import removed, small_batches, tables, written
+from colonnade.llm.common import released, removed, small_batches, tables, written
 from colonnade.llm.simhash import LOWER
 
 TABLE, ALONE, CLUSTERS, BANDS, ROUNDS = 400_000, 7, 6, 4, 2
@@ -245,7 +245,7 @@ def averaged(parts: DataFrame, most: int) -> list:
         if most < FAN:
             break
         most, kind = most // FAN, "<f4"
-    rows = now.collect()  # one for each stretch
+    rows = list(now.toLocalIterator())  # one for each stretch; a part of the table at a time
     removed(now)
     return rows
 
@@ -268,12 +268,12 @@ def trained(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
         share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text")
         sums = averaged(share.mapInArrow(run, "part int, stretch int, n bigint, moved binary"), share.rdd.getNumPartitions())
-        weights = model.weights.copy()
-        for r in sums:
+        sent.destroy()  # the sums are written; its blocks stay in the driver otherwise
+        while sums:
+            r = sums.pop()
             at = r["stretch"] * STRETCH
-            weights[at : at + STRETCH] += (np.frombuffer(r["moved"], np.float32) / np.float32(r["n"])).reshape(-1, CLASSES)
-        model.weights = weights
-        sent.unpersist()
+            model.weights[at : at + STRETCH] += (np.frombuffer(r["moved"], np.float32) / np.float32(r["n"])).reshape(-1, CLASSES)
+        released()
     return model
 
 
@@ -292,6 +292,8 @@ def fit(docs: DataFrame, table: int = TABLE) -> tuple[Model, DataFrame]:
     words = kept.column("h").to_numpy().view(np.uint64) if kept else np.zeros(0, np.uint64)
     vectors = np.stack([kept.column(f"v{k}").to_numpy() for k in range(SIGNS)], axis=1) if kept else np.zeros((0, SIGNS))
     model = Model(words, kept.column("c").to_numpy() if kept else np.zeros(0, np.int64), sum(r["tokens"] for r in bands), sum(r["words"] for r in bands), sum(r["once"] for r in bands), vectors)
+    del kept, words, vectors
+    released()
     return trained(docs, model), counts
 
 
@@ -329,6 +331,8 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     found = docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, th bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<int>")
     found = written(found, "scored")
+    sent.destroy()
+    released()
     # tokens of words beyond the table meet their counts; no such word is frequent
     rare = found.select("doc_id", "th", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("doc_id", "th", F.col("r.rare").alias("h"), F.col("r.times").alias("n"))
     mass = float(model.rare + model.unseen)

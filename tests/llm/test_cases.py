@@ -193,6 +193,17 @@ def test_next_document_with_null_and_equal_ids(spark, tmp_path):
             assert sorted(r.edited_sha256 for r in minhash.op10_fingerprints(spark, str(tmp_path)).collect()) == want
 
 
+def test_sent_models_are_destroyed(spark, monkeypatch):
+    """The driver keeps no blocks of the models it sent, whose results are written."""
+    from pyspark import Broadcast
+
+    gone, real = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **k: (gone.append(self), real(self, *a, **k))[1])
+    docs = spark.createDataFrame([(i, f"some words {i % 7} and more") for i in range(60)], "doc_id bigint, text string")
+    out = maxent.scored(docs, *maxent.fit(docs.where(~maxent.held_out())))
+    assert len(gone) == maxent.ROUNDS + 1 and out.count() == 60
+
+
 def test_ranges_of_next_documents_have_a_task_each(spark, tmp_path, monkeypatch):
     """Tasks after the shuffle follow the bytes of the texts and are even, whatever the number of partitions set."""
     monkeypatch.setattr(minhash, "RANGE", 2500, raising=False)
