@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only if a count has shown it to hold at most so many rows of a few numbers each.
 BROADCAST_ROWS = 200_000
+#: What an operator keeps in a worker from task to task.
+lasting: list = []
 #: Folders of our own, by application, where a local session names none.
 _own: dict[str, str] = {}
 
@@ -51,13 +53,21 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
 
 
 def released() -> None:
-    """Gives back to the system what this process has freed: the driver, or a worker that ran other operators before, keeps it otherwise."""
+    """Gives back to the system what this process has freed and what other operators kept: the driver, or a worker that ran them before, has it otherwise."""
+    lasting.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few of their texts are Python strings at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and lost executors lose nothing. Its shuffle files go when it is written."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

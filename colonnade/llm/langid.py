@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import tables
+from colonnade.llm.common import parts, released, tables
 
 #: Expected number of training texts of each language, n-grams kept of each, longest n-gram.
 SAMPLE, KEPT, LONGEST = 400, 20_000, 4
@@ -216,8 +216,9 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, lang_pred, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         labeller = Labeller(model)
-        for b in batches:
+        for b in parts(batches):
             found = [labeller.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -229,8 +230,9 @@ def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model, at = fit(docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         labeller = Labeller(model)
-        for b in batches:
+        for b in parts(batches):
             found = [labeller.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
 

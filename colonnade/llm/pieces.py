@@ -41,7 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from colonnade.llm.common import fresh, removed, small_batches, tables, written
+from colonnade.llm.common import fresh, lasting, released, removed, small_batches, tables, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
@@ -248,10 +248,13 @@ class Pieces:
 
     def encoded(self, texts: list[str | None]) -> list[bytes]:
         """Pieces of each text, as little-endian 32-bit ids."""
-        split = [self.units.findall(self.normal(t)) for t in texts]
-        self.learn({u for x in split for u in x})
+        units, texts = set(), [self.normal(t) for t in texts]
+        for t in texts:
+            units.update(self.units.findall(t))
+        self.learn(units)
+        # texts are split again: their units together take many times the room of the texts
         known = self.known
-        return [b"".join([known[u] for u in x]) for x in split]
+        return [b"".join([known[u] for u in self.units.findall(t)]) for t in texts]
 
     def learn(self, units: set[str]) -> None:
         if self.held > REMEMBERED:  # frequent units come again soon
@@ -349,14 +352,12 @@ class Pieces:
         return pack(self.spelled(s, self.search(s[:end], start, own)[1], end, into))
 
 
-_loaded: list[tuple[dict, Pieces]] = []
-
-
 def loaded(v: dict) -> Pieces:
-    """The pieces of v; a worker keeps those it used last, and what they remember, from task to task."""
-    if not _loaded or _loaded[0][0] != v:
-        _loaded[:] = [(v, Pieces(v))]
-    return _loaded[0][1]
+    """The pieces of v; a worker keeps those it used last, and what they remember, until another operator runs in it."""
+    if not lasting or lasting[0][0] != v:
+        released()
+        lasting.append((v, Pieces(v)))
+    return lasting[0][1]
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import tables
+from colonnade.llm.common import parts, released, tables
 
 #: Most training texts; fewest documents of a word; most words of the model.
 SAMPLE, FEWEST, MOST = 4500, 4, 3000
@@ -150,8 +150,9 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         scorer = Scorer(model)
-        for b in batches:
+        for b in parts(batches):
             s = np.array([scorer.score(t) for t in b.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -162,8 +163,9 @@ def offending(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, sentence, score) of each sentence that is toxic by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         scorer = Scorer(model)
-        for b in batches:
+        for b in parts(batches):
             rows = [(d, i, s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, s in scorer.offending(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.float64()))], names=["doc_id", "sentence", "score"])
 
@@ -175,8 +177,9 @@ def cleaned(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         scorer = Scorer(model)
-        for b in batches:
+        for b in parts(batches):
             yield b.filter(pa.array([scorer.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

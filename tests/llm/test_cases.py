@@ -322,3 +322,25 @@ def test_weights_are_summed_in_a_tree(spark, monkeypatch):
     want = (values.astype(np.float32) * np.arange(1, 41, dtype=np.float32)[:, None, None]).sum(axis=0)
     assert len(found) == 2 and all(np.array_equal(np.frombuffer(found[s]["moved"], np.float32), want[s]) and found[s]["n"] == 820 for s in found)
     assert maxent.averaged(parts.limit(0), 39) == []
+
+
+def test_workers_hold_little_of_what_they_split_and_kept():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    p = pieces.Pieces(pieces.vocabulary())
+    texts = [f"the cat sat on mat {i % 7} " * 200 for i in range(200)]
+    want = [np.frombuffer(p.encoded([t])[0], "<i4").tolist() for t in texts[:7]]
+    tracemalloc.start()
+    got = p.encoded(texts)
+    peak = tracemalloc.get_traced_memory()[1] - sum(map(len, got))
+    tracemalloc.stop()
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == [want[i % 7] for i in range(200)]
+    assert peak < 6 << 20  # about 240,000 units; as strings all at once 20 MB
+    v = {"pieces": ["a", "<0x41>"], "scores": [0.0, 0.0], "special": [False, False], "bytes": [False, True]}
+    assert pieces.loaded(v) is pieces.loaded(dict(v))
+    common.released()
+    assert not common.lasting
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], names=["x"])
+    assert [b.column(0).to_pylist() for b in common.parts([batch, batch.slice(0, 0)])] == [list(range(i, min(600, i + 256))) for i in (0, 256, 512)]
