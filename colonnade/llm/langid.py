@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,7 @@ def script(c: str) -> str:
 
 def grams(word: str) -> list[str]:
     w = f"<{word}>"
-    return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
+    return [*word, *[w[i : i + n] for n in range(2, LONGEST + 1) for i in range(len(w) - n + 1)]]
 
 
 def train(rows: list[tuple[str | None, str]]) -> dict:
@@ -121,14 +123,14 @@ class Labeller:
 
         It is evened by the word's number of n-grams and is 0 at most.
         """
-        get, none = self.rows.get, len(self.rows)
-        found, sizes = [], []
+        get, none = self.rows.get, repeat(len(self.rows))
+        found, sizes = array("q"), []
         for w in words:
             g = grams(w)
-            found += [get(x, none) for x in g]
+            found.extend(map(get, g, none))
             sizes.append(len(g))
         sizes = np.array(sizes)
-        s = np.add.reduceat(self.matrix[found], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64) / np.sqrt(sizes)[:, None]
+        s = np.add.reduceat(self.matrix.take(found, axis=0).astype(np.float64), np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
         for i, w in enumerate(words):
             fit = self.allowed.get(script(w[0])) if not w[0].isascii() or self.narrows_latin else None
             if fit is not None and fit.any():
@@ -177,18 +179,17 @@ class Labeller:
         if len(self.ids) > REMEMBERED:
             self.forget()
         get = self.ids.get
-        ids = [get(w, -1) for w in words]
-        if -1 in ids:
-            self.learn(list(dict.fromkeys(w for w, i in zip(words, ids) if i < 0)))
-            ids = [get(w) for w in words]
-        return self.scores[ids]
+        new = set(words).difference(self.ids)
+        if new:
+            self.learn([w for w in dict.fromkeys(words) if w in new])
+        return self.scores.take(np.fromiter(map(get, words), np.int64, len(words)), axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
         if not found or not self.langs:
             return UND, 0.0
         labels = self.path(self.scores_of(found))
-        letters = np.bincount(labels, weights=list(map(len, found)), minlength=len(self.langs))
+        letters = np.bincount(labels, weights=np.fromiter(map(len, found), np.float64, len(found)), minlength=len(self.langs))
         k = int(letters.argmax())
         return self.langs[k], float(letters[k] / letters.sum())
 

@@ -344,3 +344,24 @@ def test_workers_hold_little_of_what_they_split_and_kept():
     assert not common.lasting
     batch = pa.RecordBatch.from_arrays([pa.array(range(600))], names=["x"])
     assert [b.column(0).to_pylist() for b in common.parts([batch, batch.slice(0, 0)])] == [list(range(i, min(600, i + 256))) for i in (0, 256, 512)]
+
+
+def test_language_looks_each_word_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *x):
+            self.asked += 1
+            return super().get(*x)
+
+    assert langid.grams("été") == ["é", "t", "é", "<é", "ét", "té", "é>", "<ét", "été", "té>", "<été", "été>"]
+    labeller = langid.Labeller(langid.train([("der hund und die katze", "de"), ("el perro y el gato", "es")]))
+    labeller.ids = Counted()
+    text = ["der", "gato", "und", "der", "neu", "gato"] * 5
+    got = labeller.scores_of(text)
+    assert labeller.ids.asked == len(text) and list(labeller.ids) == ["der", "gato", "und", "neu"]
+    for w, row in zip(text, got):
+        g = [labeller.matrix[labeller.rows.get(x, len(labeller.rows))].astype(np.float64) for x in langid.grams(w)]
+        s = sum(g) / math.sqrt(len(g))
+        s = s - s.max()
+        assert np.allclose(row, np.maximum(s - np.log(np.exp(s).sum()), -12.0))
