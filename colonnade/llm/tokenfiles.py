@@ -2,18 +2,20 @@
 
 Texts are tokenised, an end id is appended to each, and the ids of ascending doc_ids are
 written as frames: rows of a Parquet table in the shared folder, each with whole
-documents, whose payload can be decoded by itself. A payload is `CMR1`, the number of
+documents, whose payload can be decoded by itself. A payload is `CMR2`, the number of
 blocks, and for each block its tokens, its 16-bit code words and the CRC-32 of its ids,
 all little-endian unsigned 32-bit, then the words of all blocks. Every block starts from
 the same state (it is reset), so a damaged block harms no other; reading checks each sum.
 
+The code words of a block begin with the number of its different ids; the coder then has those in order of
+appearance, each by its number of bits and those, and then the block as their numbers.
 The model's order 2 guesses the id last seen after the two ids before, its order 1 the
-one last seen after the id before, each with a confidence. Whether a guess is right is a
-yes-or-no question, whose probability is mixed from three: estimates by the confidences
-of order 2 and of order 1, and the share that order 0 gives the guessed id; weights of the
-mix are learned as blocks go on. If no guess is right, order 0 codes the id by adaptive
-counts of the ids seen in the block (recent ones weigh more), or as a new one by its
-number of bits and those. All arithmetic is in integers, so any machine reads what
+one last seen after the id before, each with a confidence. Where a guess has been right before (that of order 2
+goes first), whether it is right now is a yes-or-no question, whose probability is mixed from three: estimates by
+the confidences of order 2 and of order 1, and the share that order 0 gives the guessed id; weights of the
+mix are learned as blocks go on. If there is no such guess or it is wrong, order 0 codes the id by
+counts of the ids seen in the block (recent ones weigh more), or as the next new one; its shares are made
+anew at fixed places of a block. All arithmetic is in integers, so any machine reads what
 another wrote. All blocks of a task are coded in step, a block to a lane of numpy arrays.
 
 Ids are below 65,536. A null text is as an empty one; null doc_ids come first. Equal
@@ -25,25 +27,40 @@ their names; an empty table gives no file rows.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from colonnade.llm.common import tables, written
+from colonnade.llm.common import lasting, released, tables, written
 
 BLOCK, FRAME, LANES = 4096, 1 << 20, 2048  # tokens of a block, of a frame (at least), blocks in step
 CONTEXTS = 1 << 12
+SHARE_BITS, WEIGHT, NEW = 13, 1 << 18, 0xFFFF
+SHARES = 1 << SHARE_BITS
+SURE = np.uint16(2 << 12)  # a guess that was right before is asked
+#: The places of a block at which the shares of order 0 are made anew, and its end.
+RENEWED = [*range(0, 64, 16), *range(64, 512, 64), *range(512, BLOCK + 1, 128)]
 FILE, END_ID = "byte_bpe_50k.json", 0
+KEPT_WORDS = 600_000  # words whose ids a worker keeps
+SLICE = 1 << 22  # bytes of text whose words are looked up at a time
 _U = np.uint64
 
 class Tokens:
-    """The tokenizers library; strings of special tokens in a text are those tokens, as the library has it, unless `plain`."""
+    """The tokenizers library; strings of special tokens in a text are those tokens, as the library has it, unless `plain`.
+
+    A byte-level tokenizer ends a piece before every space that a visible character follows, so such texts are
+    split at spaces, the library encodes each distinct word (with its space) once, and the ids of words
+    are kept. Texts with other spaces or with strings of added tokens, and all texts of other tokenizers, go to the library whole.
+    """
 
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,245 +68,427 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array([*e.ids, END_ID], np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        before = rules.get("pre_tokenizer") or {}
+        self.by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not rules.get("normalizer")
+        self.added = [t["content"] for t in rules.get("added_tokens", [])]
+        self.spaced = np.zeros(1 << 16, bool)
+        self.spaced[[i for word, i in rules["model"]["vocab"].items() if word[0] == "\u0120"]] = True
+        # the places of words in the lists below, -1 for those that cannot stand alone; place 0 is an end, those of first words have no space
+        self.places: dict[str, int] = {}
+        self.firsts: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.n_ids = np.full(1 << 16, END_ID, np.uint16), 1
+        self.starts, self.lengths, self.met, self.n = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
+
+    def forget(self) -> None:
+        """Keeps the words met in two slices or more since the last time, if they are not too many or too long."""
+        kept = self.met[: self.n] > 1
+        self.firsts, self.met[:] = {}, 0
+        words = {w: p for w, p in self.places.items() if kept[p] and p > 0}
+        if len(words) > KEPT_WORDS // 2 or sum(map(len, words)) > 8 * KEPT_WORDS:
+            words = {}
+        places = np.fromiter(words.values(), np.int64, len(words))
+        starts, lengths = self.starts.take(places), self.lengths.take(places)
+        ends = np.cumsum(lengths)
+        ids = self.ids.take(np.repeat(starts - ends + lengths, lengths) + np.arange(lengths.sum()))
+        self.places, self.chars, self.n, self.n_ids = {}, 0, 1, 1
+        self.keep(self.places, list(words), ids, lengths)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def keep(self, places: dict[str, int], words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        def room(a: np.ndarray, n: int) -> np.ndarray:
+            return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+        k, n = self.n + len(words), self.n_ids + len(ids)
+        self.ids, self.starts, self.lengths, self.met = room(self.ids, n), room(self.starts, k), room(self.lengths, k), room(self.met, k)
+        self.ids[self.n_ids : n], self.lengths[self.n : k] = ids, lengths
+        self.starts[self.n : k] = self.n_ids + np.cumsum(lengths) - lengths
+        places.update(zip(words, range(self.n, k)))
+        self.chars += sum(map(len, words))
+        self.n, self.n_ids = k, n
+
+    def looked_up(self, words: list[str], first: bool) -> np.ndarray:
+        """The places of different words; new ones are encoded."""
+        known = self.firsts if first else self.places
+        out = np.fromiter(map(known.get, words, repeat(-2)), np.int64, len(words))
+        at = np.flatnonzero(out == -2)
+        if not first:
+            if alone := [i for i in at.tolist() if not words[i] or words[i][0].isspace()]:
+                out[alone] = -1
+                known.update((words[i], -1) for i in alone)
+                at = np.flatnonzero(out == -2)
+        if len(at):
+            new = [words[i] for i in at.tolist()]
+            out[at] = np.arange(self.n, self.n + len(new))
+            if first:
+                own = self.library(new)
+            else:  # strings of many words are faster than those of one or of all
+                ids = np.concatenate(self.library([" " + " ".join(new[i : i + 256]) for i in range(0, len(new), 256)]))
+                starts = np.flatnonzero(self.spaced[ids])
+                if len(starts) == len(new):
+                    self.keep(known, new, ids, np.diff(starts, append=len(ids)))
+                    return out
+                own = self.library([" " + w for w in new])
+            self.keep(known, new, np.concatenate(own), np.array(list(map(len, own))))
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, with the end."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        whole = np.full(len(texts), not self.by_words)
+        for t in self.added:
+            whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
+        if len(rows := np.flatnonzero(~whole)):
+            parts = pc.split_pattern(texts.take(pa.array(rows)) if whole.any() else texts, " ")
+            ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+            heads = np.concatenate([[0], ends[:-1]])
+            words = parts.flatten().dictionary_encode()
+            if len(self.places) + len(self.firsts) > KEPT_WORDS or self.chars > 16 * KEPT_WORDS:
+                self.forget()
+            distinct, heads_of = words.dictionary.to_numpy(zero_copy_only=False), words.indices.take(pa.array(heads)).to_numpy()
+            places = self.looked_up(distinct.tolist(), False)
+            self.met[places[places > 0]] += 1
+            place = places.take(words.indices.to_numpy())
+            different, back = np.unique(heads_of, return_inverse=True)
+            place[heads] = self.looked_up(distinct[different].tolist(), True)[back]
+            whole[rows] = np.minimum.reduceat(place, heads) < 0
+            # an end behind the words of each text
+            with_ends = np.zeros(len(place) + len(rows), np.int64)
+            with_ends[np.arange(len(place)) + np.repeat(np.arange(len(rows)), ends - heads)] = np.maximum(place, 0)
+            n = self.lengths.take(with_ends)
+            behind = np.cumsum(n)
+            ids = self.ids.take(np.repeat(self.starts.take(with_ends) - behind + n, n) + np.arange(behind[-1]))
+            cuts = behind[ends + np.arange(len(rows))]
+            for row, a, e in zip(rows.tolist(), [0, *cuts.tolist()], cuts.tolist()):
+                out[row] = ids[a:e]
+        if len(rows := np.flatnonzero(whole)):
+            for row, ids in zip(rows.tolist(), self.library(texts.take(pa.array(rows)).to_pylist())):
+                out[row] = np.append(ids, np.uint16(END_ID))
+        return out
+
+
+def kept_tokens(path: str) -> Tokens:
+    """What a worker keeps from task to task: the words it has met need not be encoded again."""
+    if not lasting or lasting[0][0] != ("tokens", path):
+        released()
+        lasting.append((("tokens", path), Tokens(path)))
+    return lasting[0][1]
 
 
 def _squash_table() -> np.ndarray:
     """12-bit probabilities of logits from -2047 to 2047 in 256ths. Exact halves are rounded the same everywhere."""
-    return np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
+    return np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 
 
 SQUASH = _squash_table()
-#: The first logit at which `SQUASH` reaches a probability.
-STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - 2047).clip(-2047, 2047).astype(np.int64)
+#: The first logit at which `SQUASH` reaches a share of order 0, in `SHARES`.
+STRETCH = (np.searchsorted(SQUASH, np.minimum(np.arange(SHARES + 1) * 4096 // SHARES, 4095)) - 2047).clip(-2047, 2047).astype(np.int32)
+_CONTENT, _LOW = np.uint16(4095), _U((1 << 48) - 1)
+
+
+class Guesses:
+    """The id last seen after each context of order 1 and of order 2, a rank, and above its 12 bits how sure it is."""
+
+    def __init__(self, lanes: int, wide: int):
+        every = np.arange(lanes, dtype=np.int64)
+        self.cells = np.zeros(lanes * (wide + 1 + CONTEXTS), np.uint16)
+        self.one, self.two = every * (wide + 1), lanes * (wide + 1) + every * CONTEXTS
+        self.keys = np.stack([self.one + wide, self.two])  # the start is a context of its own
+        self.last = np.zeros(lanes, np.int64)
+
+    def look(self, n: int) -> np.ndarray:
+        return self.cells.take(self.keys[:, :n])
+
+    def learn(self, n: int, cells: np.ndarray, now: np.ndarray) -> None:
+        surer = cells + ((cells < np.uint16(0x3000)).astype(np.uint16) << np.uint16(12))
+        less = np.where(cells < np.uint16(0x2000), now | np.uint16(0x1000), cells - np.uint16(0x1000))
+        self.cells[self.keys[:, :n]] = np.where(((cells & _CONTENT) == now) & (cells >= np.uint16(0x1000)), surer, less)
+        x = now.astype(np.int64)
+        np.add(self.one[:n], x, out=self.keys[0, :n])
+        x *= 2531
+        np.add(self.two[:n], (x + self.last[:n]) & (CONTEXTS - 1), out=self.keys[1, :n])
+        self.last[:n] = x * 29 >> 3
 
 
 class Mixer:
-    """Adaptive probabilities of one kind of yes-or-no question in all lanes: one of each order, mixed by learned weights. All in integers."""
-
-    def __init__(self, lanes: int, kinds: tuple[int, int]):
-        # 16-bit estimates by the state of order 2 and of order 1; order 0 brings its own
-        self.of = [(k, np.full(lanes * k, 1 << 15, np.int32)) for k in kinds]
-        self.weights = [np.full(lanes, 22_000, np.int64) for _ in range(3)]
-
-    def ask(self, io: Writer | Reader, lane: np.ndarray, states: tuple[np.ndarray, np.ndarray], zero: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        at = [lane * k + s for (k, _), s in zip(self.of, states)]
-        old = [t.take(a) for (_, t), a in zip(self.of, at)]
-        logits, weights = [*(STRETCH.take(p >> 4) for p in old), STRETCH.take(zero)], [w.take(lane) for w in self.weights]
-        mixed = (weights[0] * logits[0] + weights[1] * logits[1] + weights[2] * logits[2]) >> 16
-        p = SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
-        bits = io.bit(lane, p, bits)
-        for (_, t), a, q in zip(self.of, at, old):
-            t[a] = q + ((bits * np.int32(65_535) - q) >> 4)
-        error = (bits * np.int64(4096) - p) * 6
-        for all_weights, w, x in zip(self.weights, weights, logits):
-            all_weights[lane] = w + (x * error >> 10)
-        return bits
+    """The probability that a guess is right in all lanes: estimates of order 2 and of order 1 and the share of order 0, mixed by learned weights. All in integers."""
+
+    def __init__(self, lanes: int):
+        # logits by how sure each order is and whether both guess the same
+        self.logits = np.zeros(2 * lanes * 8, np.int32)
+        self.states = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 8
+        self.weights = np.full((3, lanes), 22_000, np.int32)
 
+    def ask(self, lane: np.ndarray, cells: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        same = (cells[0] ^ cells[1]) & _CONTENT == 0
+        self.lane, self.at = lane, self.states.take(lane, axis=1) + ((cells >> np.uint16(11)) & np.uint16(6) | same)
+        self.x, self.w = np.empty((3, len(lane)), np.int32), self.weights.take(lane, axis=1)
+        self.x[:2], self.x[2] = self.logits.take(self.at), zero
+        mixed = (self.w * self.x).sum(axis=0, dtype=np.int32) >> 16
+        self.p = SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
+        return self.p
 
-def _coded(io: Writer | Reader, sizes: np.ndarray, ids: np.ndarray | None, ranks: np.ndarray | None) -> np.ndarray:
-    """Codes the ids of all lanes, or decodes them if there are none. sizes: of the lanes, in descending order.
+    def learn(self, bits: np.ndarray) -> None:
+        error = (bits.astype(np.int32) << 12) - self.p
+        self.logits[self.at] = np.minimum(np.maximum(self.x[:2] + (error * 12 >> 10), -2047), 2047)
+        self.weights[:, self.lane] = np.minimum(np.maximum(self.w + (self.x * error >> 10), -WEIGHT), WEIGHT)
 
-    ids, ranks: (places, lanes); the rank of an id is its number in order of appearance in its block.
+
+class Zero:
+    """Order 0 in all lanes: the shares of `SHARES` that ids have by their counts, made anew at the places of `RENEWED`.
+
+    The ids that may yet be new until the next time have one each, for when they come again; what is left is for new ids.
+    """
+
+    def __init__(self, distinct: np.ndarray, decodes: bool):
+        lanes, self.wide = len(distinct), int(distinct.max(initial=0))
+        self.distinct, self.decodes = distinct, decodes
+        every = np.arange(lanes, dtype=np.int64)
+        self.counts, self.count_rows = np.zeros((lanes, self.wide), np.uint16), every * self.wide
+        self.starts, self.rows = np.zeros((lanes, self.wide + 2), np.uint16), every * (self.wide + 2)
+        self.counts_flat, self.starts_flat = self.counts.reshape(-1), self.starts.reshape(-1)
+        self.seen, self.before, self.rate = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, SHARES * 3 // 4, np.int64)
+        self.slot_rows = every * SHARES
+
+    def renew(self, gap: int, ahead: int) -> None:
+        """gap, ahead: places since the last time and until the next."""
+        left = self.distinct - self.seen
+        if gap:
+            self.rate = (self.rate + SHARES * (self.seen - self.before) // gap) >> 1
+        self.before = self.seen.copy()
+        end = self.seen + np.minimum(ahead, left)
+        new = np.where(left > 0, np.minimum(np.maximum(self.rate, 8), (SHARES - end) * 7 >> 3), 0)
+        top = int(end.max())
+        # a share each, and the others by counts; sums of counts stay below 36,000
+        sums = np.cumsum(self.counts[:, :top], axis=1, dtype=np.uint32)
+        sums *= (((SHARES - end - new) << 16) // np.maximum(1, sums[:, -1])).astype(np.uint32)[:, None]
+        sums >>= np.uint32(16)
+        sums += np.arange(1, top + 1, dtype=np.uint32)
+        self.starts[:, 1 : top + 1] = sums
+        self.new_at = self.starts_flat.take(self.rows + end)
+        if self.decodes:  # the rank of each share, or `NEW`
+            sizes = np.empty((len(end), top + 1), np.uint16)
+            np.subtract(self.starts[:, 1 : top + 1], self.starts[:, :top], out=sizes[:, :top])
+            sizes[:, :top][np.arange(top) >= end[:, None]] = 0
+            sizes[:, top] = SHARES - self.new_at
+            ranks = np.arange(top + 1, dtype=np.uint16)
+            ranks[top] = NEW
+            self.slots = np.repeat(np.tile(ranks, len(end)), sizes.reshape(-1))
+
+
+def _ids_of(io: Writer | Reader, distinct: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    """Codes the ids of each lane in order of appearance (places, lanes), or decodes them: how many bits one has, then those."""
+    out = np.zeros((int(distinct.max(initial=0)), len(distinct)), np.int64) if ids is None else ids
+    sizes_of = np.ones((len(distinct), 17), np.int64)
+    for j in range(len(out)):
+        lane = np.flatnonzero(distinct > j)
+        at, sums = np.arange(len(lane)), np.cumsum(sizes_of.take(lane, axis=0), axis=1)
+        whole = sums[:, -1]
+        if ids is None:
+            size = (sums <= io.target(lane, whole)[:, None]).sum(axis=1)
+        else:
+            size = np.frexp((out[j, lane] + 1).astype(np.float64))[1] - 1
+        freq = sizes_of[lane, size]
+        io.take(lane, io.width.take(lane) // whole.astype(_U), sums[at, size] - freq, freq)
+        sizes_of[lane, size] += 1
+        span = np.int64(1) << size
+        part = io.width.take(lane) >> size.astype(_U)
+        if ids is None:
+            out[j, lane] = np.minimum(io.x.take(lane) // part, (span - 1).astype(_U)).astype(np.int64) + span - 1
+        io.take(lane, part, out[j, lane] + 1 - span, np.ones(len(lane), np.int64))
+        io.even(len(distinct))
+        if not j & 63:
+            io.grow()
+    return out
+
+
+def _coded(io: Writer | Reader, sizes: np.ndarray, distinct: np.ndarray, ranks: np.ndarray | None) -> np.ndarray | None:
+    """Codes the ranks of all lanes (places, lanes), or decodes them if there are none. sizes: of the lanes, in descending order.
+
+    The rank of an id is its number in order of appearance in its block.
     """
     lanes, longest = len(sizes), int(sizes[0]) if len(sizes) else 0
-    out = np.zeros((longest, lanes), np.uint16)
-    # tables are flat, a stretch for each lane; sums of counts stay below 36,000
-    groups = BLOCK // 32
-    high, low = np.zeros((lanes, groups), np.int32), np.zeros((lanes * groups, 32), np.uint16)
-    high_flat, low_flat = high.reshape(-1), low.reshape(-1)
-    total, seen, fresh = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, 60_000, np.int64)
-    id_of = np.zeros(lanes * BLOCK, np.uint16)
-    sizes_of_new = np.ones((lanes, 17), np.int64)
-    # the guess of each context, a rank, and above its 12 bits how sure it is
-    one, two = np.zeros(lanes * (BLOCK + 1), np.uint16), np.zeros(lanes * CONTEXTS, np.uint16)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # ranks and one; 0 is the start
-    is_two, is_one = Mixer(lanes, (32, 16)), Mixer(lanes, (16, 16))
-    every = np.arange(lanes)
-    for t in range(longest):
-        n = int(np.searchsorted(-sizes, -t))  # lanes longer than t
-        r = every[:n]
-        k1, k2 = r * (BLOCK + 1) + last[:n], r * CONTEXTS + (((last[:n] * 40_503 + before[:n] * 30_011) >> 3) & (CONTEXTS - 1))
-        c1, c2 = one.take(k1).astype(np.int64), two.take(k2).astype(np.int64)
-        c1, c2, s1, s2 = c1 & 4095, c2 & 4095, c1 >> 12, c2 >> 12
-        now = np.full(n, -1, np.int64) if ranks is None else ranks[t, :n].astype(np.int64)
-        found = np.zeros(n, bool)
-        same = c1 == c2
-        for question, lane, guess in ((is_two, np.flatnonzero(s2), c2), (is_one, None, c1)):
-            if lane is None:
-                lane = np.flatnonzero(~found & (s1 > 0) & ~(same & (s2 > 0)))
-            if not len(lane):
-                continue
-            g, a, b = guess[lane], s2[lane], s1[lane]
-            state = (a * 8 + b * 2 + same[lane], b * 2 + same[lane]) if question is is_two else (a * 4 + b, b * 4 + a)
-            zero = np.maximum(1, low_flat.take(lane * BLOCK + g) * np.int64(4095) // np.maximum(1, total.take(lane)))
-            bits = question.ask(io, lane, state, zero, None if ranks is None else now[lane] == g)
-            found[lane] |= bits
-            now[lane[bits]] = g[bits]
-        lane = np.flatnonzero(~found)
-        if len(lane):  # order 0: a part of the range for new ids, then those that were seen by their counts
-            wide = int(seen[lane].max() >> 5) + 1
-            escape = ((total[lane] * fresh[lane]) >> 16) + 1
-            whole = total[lane] + escape
-            sums = np.cumsum(high[lane, :wide], axis=1, dtype=np.int32)
+    out = np.zeros((longest, lanes), np.uint16) if ranks is None else None
+    guesses, mixer, zero = Guesses(lanes, int(distinct.max(initial=0))), Mixer(lanes), Zero(distinct, ranks is None)
+    longer = np.searchsorted(-sizes, -np.arange(longest)).tolist()
+    turn = 0
+    for t, n in enumerate(longer):  # lanes longer than t
+        if t == RENEWED[turn]:
+            turn += 1
+            zero.renew(t - RENEWED[turn - 2] if t else 0, RENEWED[turn] - t)
+            io.grow()
+        cells = guesses.look(n)
+        now = np.empty(n, np.uint16) if ranks is None else ranks[t, :n]
+        missed = np.ones(n, bool)
+        lane = np.flatnonzero(np.maximum(cells[0], cells[1]) >= SURE)
+        if len(lane):
+            own = cells.take(lane, axis=1)
+            guess = np.where(own[1] >= SURE, own[1], own[0]) & _CONTENT
+            at = zero.rows.take(lane) + guess
+            share = zero.starts_flat.take(at + 1) - zero.starts_flat.take(at)
+            p = mixer.ask(lane, own, STRETCH.take(share, mode="clip"))
+            found = io.bit(lane, p, None if ranks is None else now.take(lane) == guess)
+            mixer.learn(found)
+            missed[lane] = ~found
             if ranks is None:
-                d = io.target(lane, whole)
-                new, d = d < escape, d - escape
-                group = np.minimum((sums <= d[:, None]).sum(axis=1), wide - 1)
-            else:
-                new = now[lane] == seen[lane]
-                group = np.where(new, 0, now[lane] >> 5)
-            cells = low.take(lane * groups + group, axis=0)
-            inner, at = np.cumsum(cells, axis=1, dtype=np.int32), np.arange(len(lane))
-            start = sums[at, group] - high_flat.take(lane * groups + group)
-            place = np.minimum((inner <= (d - start)[:, None]).sum(axis=1), 31) if ranks is None else np.where(new, 0, now[lane] & 31)
-            freq = cells[at, place].astype(np.int64)
-            first = escape + start + inner[at, place] - freq
-            io.take(lane, np.where(new, 0, first), np.where(new, escape, freq), whole)
+                now[lane] = guess
+        lane = np.flatnonzero(missed)
+        if len(lane):  # order 0
+            seen, first_new, part = zero.seen.take(lane), zero.new_at.take(lane), io.width.take(lane) >> _U(SHARE_BITS)
             if ranks is None:
-                now[lane] = np.where(new, seen[lane], group * 32 + place)
-            fresh[lane] += np.where(new, (65_535 - fresh[lane]) >> 5, -(fresh[lane] >> 5))
-            lane = lane[new]
-            if len(lane):  # a new id: how many bits it has, then those
-                sums = np.cumsum(sizes_of_new[lane], axis=1)
-                at, whole = np.arange(len(lane)), sums[:, -1]
-                if ranks is None:
-                    size = (sums <= io.target(lane, whole)[:, None]).sum(axis=1)
-                else:
-                    value = ids[t, lane].astype(np.int64) + 1
-                    size = np.searchsorted(1 << np.arange(17), value, side="right") - 1
-                io.take(lane, sums[at, size] - sizes_of_new[lane, size], sizes_of_new[lane, size], whole)
-                span = np.int64(1) << size
-                rest = io.target(lane, span) if ranks is None else value - span
-                io.take(lane, rest, np.ones(len(lane), np.int64), span)
-                sizes_of_new[lane, size] += 1
-                id_of[lane * BLOCK + seen[lane]] = rest + span - 1
-                seen[lane] += 1
-        out[t, :n] = id_of.take(r * BLOCK + now)
-        more = 1 + t // 256
-        low_flat[r * BLOCK + now] += np.uint16(more)
-        high_flat[r * groups + (now >> 5)] += more
-        total[:n] += more
-        for table, key, c, s in ((one, k1, c1, s1), (two, k2, c2, s2)):
-            table[key] = np.where((c == now) & (s > 0), c | np.minimum(s + 1, 3) << 12, np.where(s <= 1, now | 1 << 12, c | (s - 1) << 12))
-        before[:n], last[:n] = last[:n], now + 1
+                rank = zero.slots.take(zero.slot_rows.take(lane) + io.target(lane, None, part))
+                new = rank == NEW
+                rank = np.where(new, np.minimum(seen, distinct.take(lane) - 1), rank)
+                now[lane] = rank
+            else:
+                rank = now.take(lane)
+                new = rank == seen
+            at = zero.rows.take(lane) + rank
+            first = np.where(new, first_new, zero.starts_flat.take(at))
+            io.take(lane, part, first, np.where(new, np.uint16(SHARES), zero.starts_flat.take(at + 1)) - first)
+            zero.seen[lane] = seen + new
+        io.even(n)
+        at = zero.count_rows[:n] + now
+        zero.counts_flat[at] = zero.counts_flat.take(at) + np.uint16(1 + t // 256)
+        guesses.learn(n, cells, now)
+        if ranks is None:
+            out[t, :n] = now
     return out
 
 
 class Writer:
-    """A range coder of many lanes: 48-bit states, 16-bit code words."""
+    """A range coder of many lanes: 48-bit states, 16-bit code words. Carries wait in the words until the end."""
 
     def __init__(self, lanes: int, room: int):
         self.low, self.width = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
-        self.words, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
+        self.words, self.first = np.zeros((lanes, room), np.uint32), np.arange(lanes, dtype=np.int64) * room
+        self.at, self.flat = self.first.copy(), self.words.reshape(-1)
+
+    def grow(self) -> None:
+        """Room for the words of 128 places more, of 48 bits at most each."""
+        if len(self.at) and int((self.at - self.first).max()) + 512 > self.words.shape[1]:
+            wider = np.zeros((len(self.at), 2 * self.words.shape[1] + 512), np.uint32)
+            wider[:, : self.words.shape[1]] = self.words
+            first = np.arange(len(self.at), dtype=np.int64) * wider.shape[1]
+            self.words, self.flat, self.at, self.first = wider, wider.reshape(-1), self.at - self.first + first, first
 
     def bit(self, lane: np.ndarray, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        part = self.width[lane] >> _U(12)
-        self.put(lane, part * np.where(bits, 0, p).astype(_U), part * np.where(bits, p, 4096 - p).astype(_U))
+        width = self.width.take(lane)
+        edge = (width >> _U(12)) * p.astype(_U)
+        self.low[lane] += np.where(bits, _U(0), edge)
+        self.width[lane] = np.where(bits, edge, width - edge)
         return bits
 
-    def take(self, lane: np.ndarray, first: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        part = self.width[lane] // total.astype(_U)
-        self.put(lane, part * first.astype(_U), part * freq.astype(_U))
-
-    def put(self, lane: np.ndarray, more: np.ndarray, part: np.ndarray) -> None:
-        x = self.low[lane] + more
-        over = x >> _U(48)
-        if over.any():  # a carry goes into the words before
-            for k in lane[over > 0]:
-                j = self.at[k] - 1
-                while self.words[k, j] == 0xFFFF:
-                    self.words[k, j] = 0
-                    j -= 1
-                self.words[k, j] += 1
-            x &= _U((1 << 48) - 1)
-        out = np.flatnonzero(part < _U(1 << 32))
-        if len(out):
-            o = lane[out]
-            if self.at[o].max() + 8 >= self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[o, self.at[o]] = (x[out] >> _U(32)).astype(np.uint16)
-            self.at[o] += 1
-            x[out] = (x[out] & _U((1 << 32) - 1)) << _U(16)
-            part[out] <<= _U(16)
-        self.low[lane], self.width[lane] = x, part
-
-    def ended(self, lane: int) -> np.ndarray:
-        """The words of a lane: two of its state, a bit above the low end, are enough."""
-        value = int(self.low[lane]) + min(int(self.width[lane]) - 1, (1 << 32) - 1)
-        words = self.words[lane, : self.at[lane]].copy()
-        if value >> 48:
-            j = len(words) - 1
-            while words[j] == 0xFFFF:
-                words[j] = 0
-                j -= 1
-            words[j] += 1
-        return np.concatenate([words, np.array([value >> 32 & 0xFFFF], np.uint16)])
+    def take(self, lane: np.ndarray, part: np.ndarray, first: np.ndarray, freq: np.ndarray) -> None:
+        self.low[lane] += part * first.astype(_U)
+        self.width[lane] = part * freq.astype(_U)
+
+    def even(self, n: int) -> None:
+        self._carry(np.flatnonzero(self.low[:n] > _LOW))
+        out = np.flatnonzero(self.width[:n] < _U(1 << 32))
+        while len(out):
+            at, low, width = self.at.take(out), self.low.take(out), self.width.take(out) << _U(16)
+            self.flat[at], self.at[out] = low >> _U(32), at + 1
+            self.low[out], self.width[out] = (low << _U(16)) & _LOW, width
+            out = out[width < _U(1 << 32)]
+
+    def _carry(self, lane: np.ndarray) -> None:
+        if len(lane):
+            self.flat[self.at.take(lane) - 1] += np.uint32(1)
+            self.low[lane] &= _LOW
+
+    def ended(self) -> list[np.ndarray]:
+        """The words of all lanes: one of the state, a bit above the low end, is enough."""
+        self.grow()
+        self.low += np.minimum(self.width - _U(1), _U((1 << 32) - 1))
+        self._carry(np.flatnonzero(self.low > _LOW))
+        self.flat[self.at] = self.low >> _U(32)
+        while len(over := np.flatnonzero(self.flat > 0xFFFF)):
+            self.flat[over] &= np.uint32(0xFFFF)
+            self.flat[over - 1] += np.uint32(1)
+        return [self.flat[a : e + 1].astype(np.uint16) for a, e in zip(self.first.tolist(), self.at.tolist())]
 
 
 class Reader:
     def __init__(self, codes: list[np.ndarray]):
-        lanes = len(codes)
-        self.words = np.zeros((lanes, max(map(len, codes), default=0) + 8), np.uint16)
+        lanes, room = len(codes), max(map(len, codes), default=0) + 8
+        words = np.zeros((lanes, room), np.uint16)
         for k, c in enumerate(codes):
-            self.words[k, : len(c)] = c
-        self.x = (self.words[:, 0].astype(_U) << _U(32)) | (self.words[:, 1].astype(_U) << _U(16)) | self.words[:, 2].astype(_U)
-        self.width, self.at = np.full(lanes, (1 << 48) - 1, _U), np.full(lanes, 3)
+            words[k, : len(c)] = c
+        self.x = (words[:, 0].astype(_U) << _U(32)) | (words[:, 1].astype(_U) << _U(16)) | words[:, 2].astype(_U)
+        self.width, self.at, self.flat = np.full(lanes, (1 << 48) - 1, _U), np.arange(lanes, dtype=np.int64) * room + 3, words.reshape(-1)
+
+    def grow(self) -> None:
+        pass
 
     def bit(self, lane: np.ndarray, p: np.ndarray, _: None) -> np.ndarray:
-        part, x = self.width[lane] >> _U(12), self.x[lane]
-        edge = part * p.astype(_U)
+        width, x = self.width.take(lane), self.x.take(lane)
+        edge = (width >> _U(12)) * p.astype(_U)
         bits = x < edge
-        self.keep(lane, np.where(bits, x, x - edge), np.where(bits, edge, part * (4096 - p).astype(_U)))
+        self.x[lane], self.width[lane] = np.where(bits, x, x - edge), np.where(bits, edge, width - edge)
         return bits
 
-    def target(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
-        total = total.astype(_U)
-        return np.minimum(self.x[lane] // (self.width[lane] // total), total - _U(1)).astype(np.int64)
+    def target(self, lane: np.ndarray, total: np.ndarray | None, part: np.ndarray | None = None) -> np.ndarray:
+        """Which of total parts (of `SHARES` if a part is given) the state lies in."""
+        if part is None:
+            return np.minimum(self.x.take(lane) // (self.width.take(lane) // total.astype(_U)), (total - 1).astype(_U)).astype(np.int64)
+        return np.minimum(self.x.take(lane) // part, _U(SHARES - 1)).astype(np.int64)
 
-    def take(self, lane: np.ndarray, first: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        part = self.width[lane] // total.astype(_U)
-        self.keep(lane, self.x[lane] - part * first.astype(_U), part * freq.astype(_U))
+    def take(self, lane: np.ndarray, part: np.ndarray, first: np.ndarray, freq: np.ndarray) -> None:
+        self.x[lane] -= part * first.astype(_U)
+        self.width[lane] = part * freq.astype(_U)
 
-    def keep(self, lane: np.ndarray, x: np.ndarray, part: np.ndarray) -> None:
-        out = np.flatnonzero(part < _U(1 << 32))
-        if len(out):
-            o = lane[out]
-            x[out] = (x[out] << _U(16)) | self.words[o, np.minimum(self.at[o], self.words.shape[1] - 1)]
-            self.at[o] += 1
-            part[out] <<= _U(16)
-        self.x[lane], self.width[lane] = x, part
+    def even(self, n: int) -> None:
+        out = np.flatnonzero(self.width[:n] < _U(1 << 32))
+        while len(out):
+            at, width = self.at.take(out), self.width.take(out) << _U(16)
+            self.x[out], self.at[out], self.width[out] = (self.x.take(out) << _U(16)) | self.flat.take(at, mode="clip"), at + 1, width
+            out = out[width < _U(1 << 32)]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """16-bit code words of each block, of `BLOCK` ids at most."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    """16-bit code words of each block, of `BLOCK` ids at most: the number of different ids, those, and the ranks."""
+    order = sorted((i for i in range(len(blocks)) if len(blocks[i])), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
-    longest = int(sizes[0]) if blocks else 0
-    ids, ranks = np.zeros((longest, len(blocks)), np.uint16), np.zeros((longest, len(blocks)), np.int16)
+    longest = int(sizes[0]) if order else 0
+    ranks, own = np.zeros((len(order), longest), np.uint16), []
+    first_of, rank_of, places = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.uint16), np.arange(longest, dtype=np.uint16)
     for lane, i in enumerate(order):
-        if len(blocks[i]):
-            _, first, back = np.unique(blocks[i], return_index=True, return_inverse=True)
-            rank = np.empty(len(first), np.int16)
-            rank[np.argsort(first)] = np.arange(len(first))
-            ids[: len(blocks[i]), lane], ranks[: len(blocks[i]), lane] = blocks[i], rank[back]
-    io = Writer(len(blocks), longest // 2 + longest // 8 + 16)
-    _coded(io, sizes, ids, ranks)
+        block, n = blocks[i], len(blocks[i])
+        first_of[block[::-1]] = places[:n][::-1]
+        found = block[np.flatnonzero(first_of.take(block) == places[:n])]
+        rank_of[found] = places[: len(found)]
+        ranks[lane, :n] = rank_of.take(block)
+        own.append(found)
+    distinct = np.array(list(map(len, own)), np.int64)
+    ids = np.zeros((int(distinct.max(initial=0)), len(order)), np.int64)
+    for lane, found in enumerate(own):
+        ids[: len(found), lane] = found
+    io = Writer(len(order), longest // 2 + longest // 8 + 512)
+    _ids_of(io, distinct, ids)
+    _coded(io, sizes, distinct, np.ascontiguousarray(ranks.T))
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
-    for lane, i in enumerate(order):
-        if sizes[lane]:
-            out[i] = io.ended(lane)
+    for i, n, words in zip(order, distinct, io.ended()):
+        out[i] = np.concatenate([np.array([n], np.uint16), words])
     return out
 
 
 def decode_blocks(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(codes)), key=lambda i: -lengths[i])
-    ids = _coded(Reader([codes[i] for i in order]), np.array([lengths[i] for i in order], np.int64), None, None)
+    order = sorted((i for i in range(len(codes)) if lengths[i]), key=lambda i: -lengths[i])
+    sizes = np.array([lengths[i] for i in order], np.int64)
+    # in a damaged block the number may be any; no other block may suffer
+    distinct = np.array([min(max(1, int(codes[i][0])), lengths[i], BLOCK) if len(codes[i]) else 1 for i in order], np.int64)
+    io = Reader([codes[i][1:] for i in order])
+    ids = np.ascontiguousarray(_ids_of(io, distinct, None).T.astype(np.uint16))
+    ranks = np.ascontiguousarray(_coded(io, sizes, distinct, None).T)
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(codes)
     for lane, i in enumerate(order):
-        out[i] = ids[: lengths[i], lane].copy()
+        out[i] = ids[lane].take(ranks[lane, : lengths[i]])
     return out
 
 
@@ -305,7 +504,7 @@ def packed(frames: list[np.ndarray]) -> list[bytes]:
         n = -(-len(f) // BLOCK)
         own = range(at, at + n)
         head = b"".join(struct.pack("<III", len(blocks[i]), len(codes[i]), crc(blocks[i])) for i in own)
-        out.append(b"CMR1" + struct.pack("<I", n) + head + b"".join(codes[i].astype("<u2").tobytes() for i in own))
+        out.append(b"CMR2" + struct.pack("<I", n) + head + b"".join(codes[i].astype("<u2").tobytes() for i in own))
         at += n
     return out
 
@@ -314,7 +513,7 @@ def unpacked(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of each payload; raises ValueError if a block's sum is wrong."""
     codes, lengths, sums, counts = [], [], [], []
     for p in payloads:
-        if p[:4] != b"CMR1":
+        if p[:4] != b"CMR2":
             raise ValueError("not a frame of token ids")
         (n,) = struct.unpack_from("<I", p, 4)
         head = np.frombuffer(p, "<u4", 3 * n, 8).reshape(n, 3)
@@ -333,6 +532,15 @@ def unpacked(payloads: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(blocks[a:e]) if e > a else np.zeros(0, np.uint16) for a, e in zip(ends, ends[1:])]
 
 
+def by_size(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have so many bytes at most, or one row."""
+    ends, at = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 FRAMES = "part int, seq int, doc_ids array<bigint>, sizes array<bigint>, payload binary"
 
 
@@ -340,7 +548,7 @@ def framed(docs: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
     """Frames of the ids of docs by ascending doc_id; (part, seq) is their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = kept_tokens(tokenizer)
         part, seq = 0, 0
         frames: list[list] = []
         held = 0
@@ -354,10 +562,9 @@ def framed(docs: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["part", "seq", "doc_ids", "sizes", "payload"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                rows = b.slice(i, 256)
+            for rows in by_size(b, 2, SLICE):
                 part = rows.column(0)[0].as_py()
-                for d, ids in zip(rows.column(1).to_pylist(), tokens.encode(rows.column(2).to_pylist())):
+                for d, ids in zip(rows.column(1).to_pylist(), tokens.encode(rows.column(2))):
                     if not frames or frames[-1][2] >= FRAME:
                         if held >= LANES * BLOCK - FRAME:
                             yield out()
@@ -393,6 +600,7 @@ def read_back(frames: DataFrame) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
+        released()
         rows, held = [], 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):

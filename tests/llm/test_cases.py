@@ -7,7 +7,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from colonnade.llm import common, decontam, langid, maxent, minhash, pieces, sharding, simhash, toxicity
+from colonnade.llm import common, decontam, langid, maxent, minhash, pieces, sharding, simhash, tokenfiles, toxicity
 
 DATA = "/root/testdata/sf0.001"
 #: Names that operators might use for columns of their own.
@@ -365,3 +365,53 @@ def test_language_looks_each_word_up_once():
         s = sum(g) / math.sqrt(len(g))
         s = s - s.max()
         assert np.allclose(row, np.maximum(s - np.log(np.exp(s).sum()), -12.0))
+
+
+def test_words_are_encoded_once_and_as_in_whole_texts(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path(tokenfiles.FILE)
+    memory, library = tokenfiles.Tokens(path), tokenfiles.Tokens(path).tokenizer
+    whole = lambda texts: [[*e.ids, tokenfiles.END_ID] for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokenfiles, "KEPT_WORDS", 20_000, raising=False)
+    # any character may stand before, between and after spaces
+    signs = [chr(c) for c in (*range(0x3100), *range(0xFE00, 0x10000), *range(0x1F300, 0x1F400))]
+    texts = [t for c in signs for t in (f"{c} a{c} {c}b 's{c}", f"a {c} ")] + ["", " ", "x<|endoftext|> y", "x <|endo ftext|> <|endoftext|>"]
+    for i in range(0, len(texts), 1000):
+        assert [x.tolist() for x in memory.encode(texts[i : i + 1000])] == whole(texts[i : i + 1000])
+
+    class Spy:
+        chars = 0
+
+        def encode_batch_fast(self, texts, **how):
+            Spy.chars += sum(map(len, texts))
+            return library.encode_batch_fast(texts, **how)
+
+    memory.tokenizer = Spy()
+    texts = [" ".join(f"Wort{(i * k) % 97}," for k in range(300)) for i in range(50)]
+    assert [x.tolist() for x in memory.encode(texts)] == whole(texts)
+    assert Spy.chars < 0.1 * sum(map(len, texts))
+
+
+def test_coder_asks_once_an_id(monkeypatch):
+    rng, asked = np.random.default_rng(3), []
+    for kind in (tokenfiles.Writer, tokenfiles.Reader):
+        monkeypatch.setattr(kind, "bit", lambda self, *args, own=kind.bit: asked.append(1) or own(self, *args))
+    block = rng.zipf(1.5, 3000).clip(0, 60).astype(np.uint16)
+    (code,) = tokenfiles.encode_blocks([block])
+    assert len(asked) <= len(block) and np.array_equal(tokenfiles.decode_blocks([code], [len(block)])[0], block) and len(asked) <= 2 * len(block)
+
+
+def test_damaged_blocks_harm_no_other():
+    rng = np.random.default_rng(4)
+    blocks = [rng.permutation(65536)[:4096].astype(np.uint16), rng.integers(0, 65536, 4096).astype(np.uint16), np.repeat(np.arange(64, dtype=np.uint16), 64), rng.zipf(1.3, 4096).clip(0, 65535).astype(np.uint16), np.full(4096, 7, np.uint16)]
+    codes, lengths = tokenfiles.encode_blocks(blocks), list(map(len, blocks))
+    # alone or with others, each block has the same words
+    assert all(np.array_equal(c, tokenfiles.encode_blocks([b])[0]) for b, c in zip(blocks, codes))
+    for _ in range(12):
+        k = int(rng.integers(len(codes)))
+        damaged = [c.copy() for c in codes]
+        at = int(rng.integers(2)) and int(rng.integers(len(damaged[k])))
+        damaged[k][at:] = rng.integers(0, 65536, len(damaged[k]) - at)
+        back = tokenfiles.decode_blocks(damaged, lengths)
+        assert all(np.array_equal(blocks[i], back[i]) for i in range(len(blocks)) if i != k) and len(back[k]) == lengths[k]
