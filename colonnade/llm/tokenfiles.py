@@ -44,22 +44,25 @@ from colonnade.llm.common import lasting, released, tables, written
 
 BLOCK, FRAME, LANES = 4096, 1 << 20, 2048  # tokens of a block, of a frame (at least), blocks in step
 CONTEXTS = 1 << 12
-SHARE_BITS, WEIGHT, NEW = 13, 1 << 18, 0xFFFF
+SHARE_BITS, WEIGHT = 13, 1 << 18
 SHARES = 1 << SHARE_BITS
 SURE = np.uint16(2 << 12)  # a guess that was right before is asked
 #: The places of a block at which the shares of order 0 are made anew, and its end.
 RENEWED = [*range(0, 64, 16), *range(64, 512, 64), *range(512, BLOCK + 1, 128)]
 FILE, END_ID = "byte_bpe_50k.json", 0
 KEPT_WORDS = 600_000  # words whose ids a worker keeps
+MARKS = ".,;:!?$&%*#"  # cut from the ends of words
 SLICE = 1 << 22  # bytes of text whose words are looked up at a time
 _U = np.uint64
 
 class Tokens:
     """The tokenizers library; strings of special tokens in a text are those tokens, as the library has it, unless `plain`.
 
-    A byte-level tokenizer ends a piece before every space that a visible character follows, so such texts are
-    split at spaces, the library encodes each distinct word (with its space) once, and the ids of words
-    are kept. Texts with other spaces or with strings of added tokens, and all texts of other tokenizers, go to the library whole.
+    A byte-level tokenizer ends a piece before every space that a visible character follows, and before the first of several
+    white characters, so such texts are split at spaces and line ends, the library encodes each distinct word (with its space, or
+    its line end) once, and the ids of words are kept. It also ends a piece between a letter and marks: a word that ends in marks is put together
+    from the word without them and those. Texts with other spaces, with several line ends where that does not hold or with strings of added tokens, and all
+    texts of other tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str, plain: bool = False):
@@ -74,7 +77,7 @@ class Tokens:
         self.by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not rules.get("normalizer")
         self.added = [t["content"] for t in rules.get("added_tokens", [])]
         self.spaced = np.zeros(1 << 16, bool)
-        self.spaced[[i for word, i in rules["model"]["vocab"].items() if word[0] == "\u0120"]] = True
+        self.spaced[[i for word, i in rules["model"]["vocab"].items() if word[0] in "\u0120\u010a"]] = True
         # the places of words in the lists below, -1 for those that cannot stand alone; place 0 is an end, those of first words have no space
         self.places: dict[str, int] = {}
         self.firsts: dict[str, int] = {}
@@ -89,13 +92,15 @@ class Tokens:
         words = {w: p for w, p in self.places.items() if kept[p] and p > 0}
         if len(words) > KEPT_WORDS // 2 or sum(map(len, words)) > 8 * KEPT_WORDS:
             words = {}
-        places = np.fromiter(words.values(), np.int64, len(words))
-        starts, lengths = self.starts.take(places), self.lengths.take(places)
-        ends = np.cumsum(lengths)
-        ids = self.ids.take(np.repeat(starts - ends + lengths, lengths) + np.arange(lengths.sum()))
+        ids, lengths = self.gathered(np.fromiter(words.values(), np.int64, len(words)))
         self.places, self.chars, self.n, self.n_ids = {}, 0, 1, 1
         self.keep(self.places, list(words), ids, lengths)
 
+    def gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        lengths = self.lengths.take(places)
+        return self.ids.take(np.repeat(self.starts.take(places) - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())), lengths
+
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -116,26 +121,40 @@ class Tokens:
         known = self.firsts if first else self.places
         out = np.fromiter(map(known.get, words, repeat(-2)), np.int64, len(words))
         at = np.flatnonzero(out == -2)
-        if not first:
-            if alone := [i for i in at.tolist() if not words[i] or words[i][0].isspace()]:
-                out[alone] = -1
-                known.update((words[i], -1) for i in alone)
-                at = np.flatnonzero(out == -2)
-        if len(at):
-            new = [words[i] for i in at.tolist()]
-            out[at] = np.arange(self.n, self.n + len(new))
-            if first:
-                own = self.library(new)
-            else:  # strings of many words are faster than those of one or of all
-                ids = np.concatenate(self.library([" " + " ".join(new[i : i + 256]) for i in range(0, len(new), 256)]))
-                starts = np.flatnonzero(self.spaced[ids])
-                if len(starts) == len(new):
-                    self.keep(known, new, ids, np.diff(starts, append=len(ids)))
-                    return out
-                own = self.library([" " + w for w in new])
-            self.keep(known, new, np.concatenate(own), np.array(list(map(len, own))))
+        if odd := [i for i in at.tolist() if _odd(words[i], first)]:
+            out[odd] = -1
+            known.update((words[i], -1) for i in odd)
+            at = np.flatnonzero(out == -2)
+        bare = [words[i] if first else words[i].rstrip(MARKS) for i in at.tolist()]
+        marked = np.array([len(b) < len(words[i]) and b[-1:].isalpha() and b[-1] < "\u0250" for i, b in zip(at.tolist(), bare)], bool)
+        if len(plain := at[~marked]):
+            new = [words[i] for i in plain.tolist()]
+            ids, lengths = self.encoded(new, first)
+            out[plain] = np.arange(self.n, self.n + len(new))
+            self.keep(known, new, ids, lengths)
+        if marked.any():
+            new, bare = [words[i] for i in at[marked].tolist()], [bare[k] for k in np.flatnonzero(marked).tolist()]
+            both = [(bare, False), ([w[len(b) :] for w, b in zip(new, bare)], True)]
+            places = np.empty((len(new), 2), np.int64)
+            for k, (texts, alone) in enumerate(both):
+                different = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+                places[:, k] = self.looked_up(list(different), alone).take(np.fromiter(map(different.get, texts), np.int64, len(texts)))
+            ids, lengths = self.gathered(places.reshape(-1))
+            out[at[marked]] = np.arange(self.n, self.n + len(new))
+            self.keep(known, new, ids, lengths.reshape(-1, 2).sum(axis=1))
         return out
 
+    def encoded(self, words: list[str], first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words one after the other, and how many each has."""
+        texts = words if first else [w if w[0] == "\n" else " " + w for w in words]
+        if not first:  # strings of many words are faster than those of one or of all
+            ids = np.concatenate(self.library(["".join(texts[i : i + 256]) for i in range(0, len(texts), 256)]))
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(words):
+                return ids, np.diff(starts, append=len(ids))
+        own = self.library(texts)
+        return np.concatenate(own), np.array(list(map(len, own)))
+
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, with the end."""
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
@@ -144,7 +163,7 @@ class Tokens:
             whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
         if len(rows := np.flatnonzero(~whole)):
-            parts = pc.split_pattern(texts.take(pa.array(rows)) if whole.any() else texts, " ")
+            parts = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rows)) if whole.any() else texts, "\n", " \n"), " ")
             ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
             heads = np.concatenate([[0], ends[:-1]])
             words = parts.flatten().dictionary_encode()
@@ -154,16 +173,17 @@ class Tokens:
             places = self.looked_up(distinct.tolist(), False)
             self.met[places[places > 0]] += 1
             place = places.take(words.indices.to_numpy())
+            # three white characters or more, or two at the end
+            ends_line = words.indices.to_numpy() == pc.index(words.dictionary, "\n").as_py()
+            place[1:][ends_line[1:] & ends_line[:-1]] = -1
             different, back = np.unique(heads_of, return_inverse=True)
             place[heads] = self.looked_up(distinct[different].tolist(), True)[back]
             whole[rows] = np.minimum.reduceat(place, heads) < 0
             # an end behind the words of each text
             with_ends = np.zeros(len(place) + len(rows), np.int64)
             with_ends[np.arange(len(place)) + np.repeat(np.arange(len(rows)), ends - heads)] = np.maximum(place, 0)
-            n = self.lengths.take(with_ends)
-            behind = np.cumsum(n)
-            ids = self.ids.take(np.repeat(self.starts.take(with_ends) - behind + n, n) + np.arange(behind[-1]))
-            cuts = behind[ends + np.arange(len(rows))]
+            ids, n = self.gathered(with_ends)
+            cuts = np.cumsum(n)[ends + np.arange(len(rows))]
             for row, a, e in zip(rows.tolist(), [0, *cuts.tolist()], cuts.tolist()):
                 out[row] = ids[a:e]
         if len(rows := np.flatnonzero(whole)):
@@ -172,6 +192,13 @@ class Tokens:
         return out
 
 
+def _odd(word: str, first: bool) -> bool:
+    """Whether a word, which begins a text or follows a space if it has no line end before it, can't be encoded by itself."""
+    if first:
+        return word[-1:].isspace()
+    return not word or word != "\n" and (word[-1].isspace() or word[0].isspace() and (word[0] != "\n" or word[1].isspace()))
+
+
 def kept_tokens(path: str) -> Tokens:
     """What a worker keeps from task to task: the words it has met need not be encoded again."""
     if not lasting or lasting[0][0] != ("tokens", path):
@@ -245,15 +272,17 @@ class Zero:
     The ids that may yet be new until the next time have one each, for when they come again; what is left is for new ids.
     """
 
-    def __init__(self, distinct: np.ndarray, decodes: bool):
+    def __init__(self, distinct: np.ndarray):
         lanes, self.wide = len(distinct), int(distinct.max(initial=0))
-        self.distinct, self.decodes = distinct, decodes
+        self.distinct = distinct
         every = np.arange(lanes, dtype=np.int64)
         self.counts, self.count_rows = np.zeros((lanes, self.wide), np.uint16), every * self.wide
-        self.starts, self.rows = np.zeros((lanes, self.wide + 2), np.uint16), every * (self.wide + 2)
+        # rows of a power of two, whose ends are above any share, are searched by halves; a cache line more, as equal places of all would meet in a few sets
+        row = (1 << (self.wide + 1).bit_length()) + 32
+        self.starts, self.rows = np.full((lanes, row), 0xFFFF, np.uint16), every * row
+        self.starts[:, 0] = 0
         self.counts_flat, self.starts_flat = self.counts.reshape(-1), self.starts.reshape(-1)
         self.seen, self.before, self.rate = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, SHARES * 3 // 4, np.int64)
-        self.slot_rows = every * SHARES
 
     def renew(self, gap: int, ahead: int) -> None:
         """gap, ahead: places since the last time and until the next."""
@@ -271,14 +300,16 @@ class Zero:
         sums += np.arange(1, top + 1, dtype=np.uint32)
         self.starts[:, 1 : top + 1] = sums
         self.new_at = self.starts_flat.take(self.rows + end)
-        if self.decodes:  # the rank of each share, or `NEW`
-            sizes = np.empty((len(end), top + 1), np.uint16)
-            np.subtract(self.starts[:, 1 : top + 1], self.starts[:, :top], out=sizes[:, :top])
-            sizes[:, :top][np.arange(top) >= end[:, None]] = 0
-            sizes[:, top] = SHARES - self.new_at
-            ranks = np.arange(top + 1, dtype=np.uint16)
-            ranks[top] = NEW
-            self.slots = np.repeat(np.tile(ranks, len(end)), sizes.reshape(-1))
+        self.halves = [1 << k for k in reversed(range(top.bit_length()))]
+
+    def rank(self, lane: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The rank that has a share."""
+        row = self.rows.take(lane)
+        at = row
+        for half in self.halves:
+            further = at + half
+            at = np.where(self.starts_flat.take(further) <= share, further, at)
+        return at - row
 
 
 def _ids_of(io: Writer | Reader, distinct: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
@@ -314,7 +345,7 @@ def _coded(io: Writer | Reader, sizes: np.ndarray, distinct: np.ndarray, ranks:
     """
     lanes, longest = len(sizes), int(sizes[0]) if len(sizes) else 0
     out = np.zeros((longest, lanes), np.uint16) if ranks is None else None
-    guesses, mixer, zero = Guesses(lanes, int(distinct.max(initial=0))), Mixer(lanes), Zero(distinct, ranks is None)
+    guesses, mixer, zero = Guesses(lanes, int(distinct.max(initial=0))), Mixer(lanes), Zero(distinct)
     longer = np.searchsorted(-sizes, -np.arange(longest)).tolist()
     turn = 0
     for t, n in enumerate(longer):  # lanes longer than t
@@ -341,9 +372,9 @@ def _coded(io: Writer | Reader, sizes: np.ndarray, distinct: np.ndarray, ranks:
         if len(lane):  # order 0
             seen, first_new, part = zero.seen.take(lane), zero.new_at.take(lane), io.width.take(lane) >> _U(SHARE_BITS)
             if ranks is None:
-                rank = zero.slots.take(zero.slot_rows.take(lane) + io.target(lane, None, part))
-                new = rank == NEW
-                rank = np.where(new, np.minimum(seen, distinct.take(lane) - 1), rank)
+                share = io.target(lane, None, part).astype(np.uint16)
+                new = share >= first_new
+                rank = np.where(new, np.minimum(seen, distinct.take(lane) - 1), zero.rank(lane, share))
                 now[lane] = rank
             else:
                 rank = now.take(lane)

@@ -415,3 +415,43 @@ def test_damaged_blocks_harm_no_other():
         damaged[k][at:] = rng.integers(0, 65536, len(damaged[k]) - at)
         back = tokenfiles.decode_blocks(damaged, lengths)
         assert all(np.array_equal(blocks[i], back[i]) for i in range(len(blocks)) if i != k) and len(back[k]) == lengths[k]
+
+
+def test_line_ends_and_marks_make_no_new_words(monkeypatch):
+    """Words that end lines or have marks behind them are put together from what is known, and all ids are the library's."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(tokenfiles.FILE)
+    memory, library = tokenfiles.Tokens(path), tokenfiles.Tokens(path).tokenizer
+    whole = lambda texts: [[*e.ids, tokenfiles.END_ID] for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    signs = ["a", "a.", "é,", "1.", "e\u0301.", "it's.", "\n", "\n\n", " ", "  ", "\t", "\x85", "'", "!", "\u6f22."]
+    for i in signs:
+        texts = [i + j + k + m for j in signs for k in signs for m in signs]
+        assert [x.tolist() for x in memory.encode(texts)] == whole(texts)
+    words = [f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    memory.encode([" ".join(words), "\n".join(words)])
+    seen = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    memory.tokenizer = Spy()
+    texts = [" ".join(f"{a}{m}\n{b}{m}" for a, b in zip(words, words[k:] + words[:k])) for k, m in ((3, "."), (7, ",!"), (11, ""))]
+    assert [x.tolist() for x in memory.encode(texts)] == whole(texts)
+    assert sum(map(len, seen)) < 100
+
+
+def test_decoding_holds_no_table_of_shares():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 50, 300).astype(np.uint16) for _ in range(512)]
+    codes = tokenfiles.encode_blocks(blocks)
+    tracemalloc.start()
+    back = tokenfiles.decode_blocks(codes, [300] * 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(map(np.array_equal, blocks, back))
+    assert peak < 2 * len(blocks) * tokenfiles.SHARES
