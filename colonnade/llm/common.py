@@ -78,10 +78,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def place(df: DataFrame | None) -> str | None:
+    """Where `written` made df. A column of that name is no place."""
+    return vars(df).get("written_to") if df is not None else None
+
+
 def removed(*dfs: DataFrame | None) -> None:
     """Deletes tables that `written` made and nothing reads any more."""
     for df in dfs:
-        if path := getattr(df, "written_to", None):
+        if path := place(df):
             _delete(df.sparkSession, path)
 
 

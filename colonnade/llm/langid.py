@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import parts, released, tables
+from colonnade.llm.common import parts, released, small_batches, tables, written
 
 #: Expected number of training texts of each language, n-grams kept of each, longest n-gram.
 SAMPLE, KEPT, LONGEST = 400, 20_000, 4
@@ -227,7 +227,7 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without the documents of no language, and those of which no language holds `least` of the letters."""
+    """docs without the documents of no language, and those of which no language holds `least` of the letters. Written."""
     model, at = fit(docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,8 @@ def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             found = [labeller.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    with small_batches(docs.sparkSession):
+        return written(docs.mapInArrow(run, docs.schema), "identified")
 
 
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colonnade.llm.common import parts, released, tables
+from colonnade.llm.common import parts, released, small_batches, tables, written
 
 #: Most training texts; fewest documents of a word; most words of the model.
 SAMPLE, FEWEST, MOST = 4500, 4, 3000
@@ -173,7 +173,7 @@ def offending(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score 0.5 or more; all columns stay."""
+    """docs without those that score 0.5 or more; all columns stay. Written."""
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,8 @@ def cleaned(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in parts(batches):
             yield b.filter(pa.array([scorer.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    with small_batches(docs.sparkSession):
+        return written(docs.mapInArrow(run, docs.schema), "cleaned")
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:

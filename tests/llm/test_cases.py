@@ -1,11 +1,13 @@
 """Nulls, repeated rows, clashing names, empty tables, ties, settings and bounds of the training-data operators."""
 
 import math
+import os
 import random
 import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colonnade.llm import common, decontam, langid, maxent, minhash, pieces, sharding, simhash, tokenfiles, toxicity
 
@@ -346,6 +348,37 @@ def test_workers_hold_little_of_what_they_split_and_kept():
     assert [b.column(0).to_pylist() for b in common.parts([batch, batch.slice(0, 0)])] == [list(range(i, min(600, i + 256))) for i in (0, 256, 512)]
 
 
+def test_stages_of_the_pipeline_send_few_texts_to_python_at_a_time(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    data = [(i, f"the cat sat on the mat of house {i}" if i % 2 else f"le chat dort dans la maison {i}", "en" if i % 2 else "fr", None) for i in range(2500)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, written_to string").coalesce(1)
+    docs.select("doc_id", F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    seen, kind = str(tmp_path / "seen"), type(docs)
+
+    def watched(df, f, schema, *more, sent=kind.mapInArrow, **named):
+        def noted(batches):
+            for b in batches:
+                with open(seen, "a") as to:
+                    to.write(f"{b.num_rows}\n")
+                yield b
+
+        return sent(df, lambda batches: f(noted(batches)), schema, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    before = spark.conf.get(key)
+    for stage in (corpus_pipeline.language, corpus_pipeline.toxic):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 2500
+        with open(seen) as f:
+            sizes = [int(x) for x in f]
+        os.remove(seen)
+        assert sum(sizes) == 2500 and max(sizes) <= 1000  # of the default settings one batch of 2,500
+        assert spark.conf.get(key) == before
+        common.removed(docs, out)
+
+
 def test_language_looks_each_word_up_once():
     class Counted(dict):
         asked = 0
