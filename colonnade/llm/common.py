@@ -47,8 +47,11 @@ def setting(spark: SparkSession, **values: object) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
-    """Whole texts go to Python by so many rows and bytes at most, meanwhile: a batch is held on both sides, several times over."""
+def small_batches(spark: SparkSession, rows: int = 250, size: str = "8m"):
+    """Whole texts go to Python by so many rows and bytes at most, meanwhile: a batch is held on both sides, several times over.
+
+    An executor keeps room of the size of the largest batches, outside its heap and in each of many threads.
+    """
     return setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__execution__arrow__maxBytesPerBatch=size)
 
 

@@ -455,19 +455,21 @@ def encoded(docs: DataFrame, v: dict, to: str = "token_ids", chunk: int = CHUNK,
     size, big_text = F.coalesce(F.char_length(text), F.lit(0)), docs.where(F.char_length(text) > chunk).select(F.md5(text.cast("binary")).alias("digest"), "text")
     giants = None if big_text.isEmpty() else _giants(big_text, v, chunk)
     kept = [F.col(f"`{c}`") for c in keep]
-    small = docs.where(size <= chunk).select(*kept, text.alias(of))
-    schema = T.StructType([*small.schema.fields[:-1], T.StructField(to, T.ArrayType(T.IntegerType()))])
+    # a text that stays is sent once
+    at = next((i for i, c in enumerate(keep) if c.lower() == "text"), len(keep))
+    small = docs.where(size <= chunk).select(*kept, *([text.alias(of)] if at == len(keep) else []))
+    schema = T.StructType([*small.schema.fields[: len(keep)], T.StructField(to, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = loaded(v)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(p.encoded(b.column(b.num_columns - 1).to_pylist()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], _lists(p.encoded(b.column(at).to_pylist()))], names=schema.names)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(b.column(b.num_columns - 1).to_pylist())], names=schema.names)
 
-    with small_batches(spark):
+    with small_batches(spark, 500):
         out = small.mapInArrow(run, schema)
         if giants is not None:
             big = docs.where(size > chunk).withColumn(digest, F.md5(text.cast("binary"))).join(giants.toDF(digest, giant), digest)
