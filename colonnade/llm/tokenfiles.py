@@ -2,21 +2,20 @@
 
 Texts are tokenised, an end id is appended to each, and the ids of ascending doc_ids are
 written as frames: rows of a Parquet table in the shared folder, each with whole
-documents, whose payload can be decoded by itself. A payload is `CMR2`, the number of
-blocks, and for each block its tokens, its 16-bit code words and the CRC-32 of its ids,
+documents, whose payload can be decoded by itself. A payload is `CMR3`, the number of
+blocks, and for each block its tokens, its 16-bit words and the CRC-32 of its ids,
 all little-endian unsigned 32-bit, then the words of all blocks. Every block starts from
 the same state (it is reset), so a damaged block harms no other; reading checks each sum.
 
-The code words of a block begin with the number of its different ids; the coder then has those in order of
-appearance, each by its number of bits and those, and then the block as their numbers.
+The words of a block begin with its head: its different ids (ascending; their low bits, and their high parts as gaps between ones)
+and the classes of their counts in the block, powers of two. The ids are then numbered by descending class, and the range coder has the block as these ranks.
 The model's order 2 guesses the id last seen after the two ids before, its order 1 the
-one last seen after the id before, each with a confidence. Where a guess has been right before (that of order 2
-goes first), whether it is right now is a yes-or-no question, whose probability is mixed from three: estimates by
-the confidences of order 2 and of order 1, and the share that order 0 gives the guessed id; weights of the
-mix are learned as blocks go on. If there is no such guess or it is wrong, order 0 codes the id by
-counts of the ids seen in the block (recent ones weigh more), or as the next new one; its shares are made
-anew at fixed places of a block. All arithmetic is in integers, so any machine reads what
-another wrote. All blocks of a task are coded in step, a block to a lane of numpy arrays.
+one last seen after the id before, each with how often in a row it was right. That of order 2 is asked if it was right before, else that
+of order 1. Whether it is right is a yes-or-no question, whose probability is mixed from three: estimates of
+order 2 and of order 1, and the share that order 0 gives the guessed id; estimates and the weights of the
+mix are learned at fixed places of a block, from what was asked since the last. If the guess is wrong, order 0 codes the id by
+its class, in the same step. All arithmetic gives the same on any machine: it is in integers, or in divisions of floats whose
+whole parts are exact. All blocks of a task are coded in step, a block to a lane of numpy arrays.
 
 Ids are below 65,536. A null text is as an empty one; null doc_ids come first. Equal
 doc_ids follow each other by their texts, and lie in one range of the table, so a table
@@ -43,17 +42,19 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from colonnade.llm.common import lasting, released, tables, written
 
 BLOCK, FRAME, LANES = 4096, 1 << 20, 2048  # tokens of a block, of a frame (at least), blocks in step
-CONTEXTS = 1 << 12
-SHARE_BITS, WEIGHT = 13, 1 << 18
-SHARES = 1 << SHARE_BITS
-SURE = np.uint16(2 << 12)  # a guess that was right before is asked
-#: The places of a block at which the shares of order 0 are made anew, and its end.
-RENEWED = [*range(0, 64, 16), *range(64, 512, 64), *range(512, BLOCK + 1, 128)]
+CONTEXTS = 1 << 10
+SHARES, WEIGHT = 1 << 13, 1 << 18
+#: The places of a block at which the model of guesses learns, and its end.
+LEARNED = [*range(0, 64, 16), *range(64, 512, 64), *range(512, BLOCK + 1, 128)]
+RATE = 13  # of the weights, as a power of two that divides
+#: How often guesses of order 1 and of order 2 are right at first, of 2, in 256ths: by whether both are the same, by runs.
+PRIOR = np.array([[[20, 100, 160, 200], [60, 200, 300, 360]], [[20, 160, 240, 300], [60, 240, 340, 400]]], np.int64)
 FILE, END_ID = "byte_bpe_50k.json", 0
 KEPT_WORDS = 600_000  # words whose ids a worker keeps
 MARKS = ".,;:!?$&%*#"  # cut from the ends of words
-SLICE = 1 << 22  # bytes of text whose words are looked up at a time
-_U = np.uint64
+SLICE = 1 << 23  # bytes of text whose words are looked up at a time
+_DESCENDING = np.uint8(16)
+_NONE, _ONE, _TWO, _RUN, _FOUR, _RANK = map(np.uint16, (0, 1, 2, 3, 4, 16))
 
 class Tokens:
     """The tokenizers library; strings of special tokens in a text are those tokens, as the library has it, unless `plain`.
@@ -209,17 +210,18 @@ def kept_tokens(path: str) -> Tokens:
 
 def _squash_table() -> np.ndarray:
     """12-bit probabilities of logits from -2047 to 2047 in 256ths. Exact halves are rounded the same everywhere."""
-    return np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+    return np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 
 
 SQUASH = _squash_table()
-#: The first logit at which `SQUASH` reaches a share of order 0, in `SHARES`.
-STRETCH = (np.searchsorted(SQUASH, np.minimum(np.arange(SHARES + 1) * 4096 // SHARES, 4095)) - 2047).clip(-2047, 2047).astype(np.int32)
-_CONTENT, _LOW = np.uint16(4095), _U((1 << 48) - 1)
+#: The first logit at which `SQUASH` reaches a share, in `SHARES`.
+STRETCH = (np.searchsorted(SQUASH, np.minimum(np.arange(SHARES + 1) * 4096 // SHARES, 4095)) - 2047).clip(-2047, 2047).astype(np.int64)
+#: The class of a count: the power of two that is nearest by ratio.
+CLASSES = np.array([(n * n).bit_length() // 2 for n in range(BLOCK + 1)], np.uint8)
 
 
 class Guesses:
-    """The id last seen after each context of order 1 and of order 2, a rank, and above its 12 bits how sure it is."""
+    """The id last seen after each context of order 1 and of order 2: a rank, and in the 4 bits below it how often it was right in a row, 3 at most."""
 
     def __init__(self, lanes: int, wide: int):
         every = np.arange(lanes, dtype=np.int64)
@@ -232,163 +234,222 @@ class Guesses:
         return self.cells.take(self.keys[:, :n])
 
     def learn(self, n: int, cells: np.ndarray, now: np.ndarray) -> None:
-        surer = cells + ((cells < np.uint16(0x3000)).astype(np.uint16) << np.uint16(12))
-        less = np.where(cells < np.uint16(0x2000), now | np.uint16(0x1000), cells - np.uint16(0x1000))
-        self.cells[self.keys[:, :n]] = np.where(((cells & _CONTENT) == now) & (cells >= np.uint16(0x1000)), surer, less)
-        x = now.astype(np.int64)
-        np.add(self.one[:n], x, out=self.keys[0, :n])
-        x *= 2531
-        np.add(self.two[:n], (x + self.last[:n]) & (CONTEXTS - 1), out=self.keys[1, :n])
-        self.last[:n] = x * 29 >> 3
+        """now: ranks, as int64."""
+        found = now.astype(np.uint16) << _FOUR
+        runs = cells ^ found  # below 16 where the guess was right
+        self.cells[self.keys[:, :n]] = found + (np.minimum(runs, _TWO) + _ONE) * (runs < _RANK)
+        np.add(self.one[:n], now, out=self.keys[0, :n])
+        np.add(self.two[:n], (now * 309 + self.last[:n]) & (CONTEXTS - 1), out=self.keys[1, :n])
+        self.last[:n] = now
 
 
-class Mixer:
-    """The probability that a guess is right in all lanes: estimates of order 2 and of order 1 and the share of order 0, mixed by learned weights. All in integers."""
+def guessed(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states of both orders, one of 32, and the rank that is guessed: that of order 2 if it was right before."""
+    one, two = cells[..., 0, :], cells[..., 1, :]
+    sure = two & _RUN
+    states = (((one ^ two) < _RANK).astype(np.uint16) << _TWO | sure) << _TWO | one & _RUN
+    return states, np.where(sure > _NONE, two, one) >> _FOUR
+
 
-    def __init__(self, lanes: int):
-        # logits by how sure each order is and whether both guess the same
-        self.logits = np.zeros(2 * lanes * 8, np.int32)
-        self.states = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 8
-        self.weights = np.full((3, lanes), 22_000, np.int32)
+class Mixer:
+    """The probability that a guess is right in all lanes: estimates of order 2 and of order 1 and the share of order 0, mixed by learned weights. All in integers.
 
-    def ask(self, lane: np.ndarray, cells: np.ndarray, zero: np.ndarray) -> np.ndarray:
-        same = (cells[0] ^ cells[1]) & _CONTENT == 0
-        self.lane, self.at = lane, self.states.take(lane, axis=1) + ((cells >> np.uint16(11)) & np.uint16(6) | same)
-        self.x, self.w = np.empty((3, len(lane)), np.int32), self.weights.take(lane, axis=1)
-        self.x[:2], self.x[2] = self.logits.take(self.at), zero
-        mixed = (self.w * self.x).sum(axis=0, dtype=np.int32) >> 16
-        self.p = SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
-        return self.p
+    What a stretch of the block has shown is learned at its end.
+    """
 
-    def learn(self, bits: np.ndarray) -> None:
-        error = (bits.astype(np.int32) << 12) - self.p
-        self.logits[self.at] = np.minimum(np.maximum(self.x[:2] + (error * 12 >> 10), -2047), 2047)
-        self.weights[:, self.lane] = np.minimum(np.maximum(self.w + (self.x * error >> 10), -WEIGHT), WEIGHT)
+    def __init__(self, zero: Zero):
+        lanes = len(zero.total)
+        # of order 1 and order 2, by run and by whether both guess the same: how often asked and right
+        self.asked = np.full((2, lanes, 2, 4), 2, np.int64)
+        self.right = np.broadcast_to(PRIOR[:, None], self.asked.shape).copy()
+        self.weights = np.full((3, lanes), 22_000, np.int64)
+        self.rows, self.class_rows = np.arange(lanes, dtype=np.int64) * 32, np.arange(lanes, dtype=np.int64) * 16
+        self.zero = STRETCH.take((SHARES << np.arange(16)) // zero.total[:, None], mode="clip")
+        self.renew()
+
+    def renew(self) -> None:
+        self.logits = STRETCH.take(self.right * (SHARES // 256) // self.asked)
+        one, two = self.logits * self.weights[:2, :, None, None]
+        self.sums = ((one[:, :, None, :] + two[:, :, :, None]) >> 16).reshape(-1).astype(np.int32)
+        self.zeros = ((self.zero * self.weights[2, :, None] >> 16) + 2047).reshape(-1).astype(np.int32)
+
+    def ask(self, states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """states, kinds (classes of the guesses): of the first lanes, in one place or in several."""
+        n = states.shape[-1]
+        return SQUASH.take(self.sums.take(self.rows[:n] + states) + self.zeros.take(self.class_rows[:n] + kinds), mode="clip")
+
+    def learn(self, states: np.ndarray, kinds: np.ndarray, p: np.ndarray, right: np.ndarray, there: np.ndarray | None) -> None:
+        """What was asked at the places of a stretch (places, lanes). there: if some lanes have ended, those that have not."""
+        n = states.shape[1]
+        told = (right.astype(np.int64) << 28) + (1 << 20) + p
+        error = (right.astype(np.int64) << 12) - p
+        if there is not None:
+            told, error = told * there, error * there
+        told = np.bincount((self.rows[:n] + states).reshape(-1), told.reshape(-1), 32 * n).astype(np.int64).reshape(n, 2, 4, 4)
+        told = np.stack([told.sum(axis=2), told.sum(axis=3)])
+        asked, found = (told >> 20) & 255, told >> 28
+        self.asked[:, :n] += asked
+        self.right[:, :n] += found << 8
+        errors = (found << 12) - (told & ((1 << 20) - 1))
+        self.weights[:2, :n] += (self.logits[:, :n] * errors).sum(axis=(2, 3)) >> RATE
+        self.weights[2, :n] += (self.zero.take(self.class_rows[:n] + kinds) * error).sum(axis=0) >> RATE
+        np.clip(self.weights, -WEIGHT, WEIGHT, out=self.weights)
+        self.renew()
 
 
 class Zero:
-    """Order 0 in all lanes: the shares of `SHARES` that ids have by their counts, made anew at the places of `RENEWED`.
+    """Order 0 in all lanes: ids have shares by the classes of their counts in the block, which are powers of two.
 
-    The ids that may yet be new until the next time have one each, for when they come again; what is left is for new ids.
+    Ranks go by descending class, so each share begins at a multiple of its width. Those of 2 and of 1 begin at multiples of 8, so that
+    any 8 shares from such a one on are of one width or of one rank: a table of these leads to the rank of a share.
     """
 
-    def __init__(self, distinct: np.ndarray):
-        lanes, self.wide = len(distinct), int(distinct.max(initial=0))
-        self.distinct = distinct
-        every = np.arange(lanes, dtype=np.int64)
-        self.counts, self.count_rows = np.zeros((lanes, self.wide), np.uint16), every * self.wide
-        # rows of a power of two, whose ends are above any share, are searched by halves; a cache line more, as equal places of all would meet in a few sets
-        row = (1 << (self.wide + 1).bit_length()) + 32
-        self.starts, self.rows = np.full((lanes, row), 0xFFFF, np.uint16), every * row
-        self.starts[:, 0] = 0
-        self.counts_flat, self.starts_flat = self.counts.reshape(-1), self.starts.reshape(-1)
-        self.seen, self.before, self.rate = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, SHARES * 3 // 4, np.int64)
-
-    def renew(self, gap: int, ahead: int) -> None:
-        """gap, ahead: places since the last time and until the next."""
-        left = self.distinct - self.seen
-        if gap:
-            self.rate = (self.rate + SHARES * (self.seen - self.before) // gap) >> 1
-        self.before = self.seen.copy()
-        end = self.seen + np.minimum(ahead, left)
-        new = np.where(left > 0, np.minimum(np.maximum(self.rate, 8), (SHARES - end) * 7 >> 3), 0)
-        top = int(end.max())
-        # a share each, and the others by counts; sums of counts stay below 36,000
-        sums = np.cumsum(self.counts[:, :top], axis=1, dtype=np.uint32)
-        sums *= (((SHARES - end - new) << 16) // np.maximum(1, sums[:, -1])).astype(np.uint32)[:, None]
-        sums >>= np.uint32(16)
-        sums += np.arange(1, top + 1, dtype=np.uint32)
-        self.starts[:, 1 : top + 1] = sums
-        self.new_at = self.starts_flat.take(self.rows + end)
-        self.halves = [1 << k for k in reversed(range(top.bit_length()))]
-
-    def rank(self, lane: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """The rank that has a share."""
-        row = self.rows.take(lane)
-        at = row
-        for half in self.halves:
-            further = at + half
-            at = np.where(self.starts_flat.take(further) <= share, further, at)
-        return at - row
-
-
-def _ids_of(io: Writer | Reader, distinct: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Codes the ids of each lane in order of appearance (places, lanes), or decodes them: how many bits one has, then those."""
-    out = np.zeros((int(distinct.max(initial=0)), len(distinct)), np.int64) if ids is None else ids
-    sizes_of = np.ones((len(distinct), 17), np.int64)
-    for j in range(len(out)):
-        lane = np.flatnonzero(distinct > j)
-        at, sums = np.arange(len(lane)), np.cumsum(sizes_of.take(lane, axis=0), axis=1)
-        whole = sums[:, -1]
-        if ids is None:
-            size = (sums <= io.target(lane, whole)[:, None]).sum(axis=1)
-        else:
-            size = np.frexp((out[j, lane] + 1).astype(np.float64))[1] - 1
-        freq = sizes_of[lane, size]
-        io.take(lane, io.width.take(lane) // whole.astype(_U), sums[at, size] - freq, freq)
-        sizes_of[lane, size] += 1
-        span = np.int64(1) << size
-        part = io.width.take(lane) >> size.astype(_U)
-        if ids is None:
-            out[j, lane] = np.minimum(io.x.take(lane) // part, (span - 1).astype(_U)).astype(np.int64) + span - 1
-        io.take(lane, part, out[j, lane] + 1 - span, np.ones(len(lane), np.int64))
-        io.even(len(distinct))
-        if not j & 63:
-            io.grow()
+    def __init__(self, classes: np.ndarray, distinct: np.ndarray, search: bool):
+        """classes: (lanes, ranks), descending; of ranks that a lane does not have, any."""
+        lanes, self.wide = classes.shape
+        row = self.wide + 33
+        # a cache line more, as equal places of all would meet in a few sets
+        self.rows, self.table_rows = np.arange(lanes, dtype=np.int64) * row, np.arange(lanes, dtype=np.int64) * (SHARES // 8 + 32)
+        kinds, firsts = np.zeros((lanes, row), np.uint8), np.zeros((0 if search else lanes, row), np.uint16)
+        table, self.total = np.zeros((lanes if search else 0, SHARES // 8 + 32), np.uint16), np.zeros(lanes, np.int64)
+        for i in range(0, lanes, 64):
+            there = np.arange(self.wide) < distinct[i : i + 64, None]
+            own = classes[i : i + 64].astype(np.int64)
+            sums = (there << own).sum(axis=1)
+            own *= (sums <= SHARES - 16)[:, None]  # else the block is damaged
+            sums = (there << own).sum(axis=1)
+            own += np.frexp((SHARES - 16) / sums)[1].astype(np.int64)[:, None] - 1
+            widths = there << own
+            ends = np.cumsum(widths, axis=1)
+            for kind in (1, 0):
+                before = (widths * (own > kind)).sum(axis=1) if kind else (ends * there).max(axis=1) - (widths * (own == 0)).sum(axis=1)
+                ends += (-before & 7)[:, None] * (own <= kind)
+            starts = ends - widths
+            kinds[i : i + 64, : self.wide], self.total[i : i + 64] = own, (ends * there).max(axis=1)
+            if search:
+                lane, rank = np.nonzero(there[:, 1:])
+                n = SHARES // 8 + 1
+                begun = np.bincount(lane * n + ((starts[lane, rank + 1] + 7) >> 3), minlength=len(sums) * n).reshape(-1, n)
+                ranks = np.cumsum(begun[:, :-1], axis=1)
+                table[i : i + 64, : n - 1] = ranks << 4 | np.take_along_axis(own, ranks, axis=1)
+            else:
+                firsts[i : i + 64, : self.wide] = starts
+        self.kinds, self.firsts, self.table = kinds.reshape(-1), firsts.reshape(-1), table.reshape(-1)
+        self.part = (1 << 29) // self.total  # shares are parts of a width by a product, not by a division
+
+    def kind(self, ranks: np.ndarray) -> np.ndarray:
+        return self.kinds.take(self.rows[: ranks.shape[-1]] + ranks)
+
+
+def _low_bits(distinct: np.ndarray, top: np.ndarray) -> np.ndarray:
+    return np.maximum(np.frexp((top + 1) // distinct)[1].astype(np.int64) - 1, 0)
+
+
+def _heads(ids: list[np.ndarray], classes: list[np.ndarray]) -> list[np.ndarray]:
+    """The words before the code words of each block: how many ids, the last of them, the bits of the classes; then the low bits of ids, their high parts and the classes, both as gaps between ones."""
+    if not ids:
+        return []
+    distinct = np.array(list(map(len, ids)), np.int64)
+    starts = np.cumsum(distinct) - distinct
+    every, kinds = np.concatenate(ids).astype(np.int64), np.concatenate(classes).astype(np.int64) + 1
+    top, own = every[starts + distinct - 1], np.arange(len(every)) - np.repeat(starts, distinct)
+    low, unary = _low_bits(distinct, top), np.add.reduceat(kinds, starts)
+    words = (distinct * (low + 1) + (top >> low) + unary + 15) // 16
+    at = 16 * (np.cumsum(words) - words)
+    bits = np.zeros(16 * words.sum(), np.uint8)
+    lows, ats = np.repeat(low, distinct), np.repeat(at, distinct) + own * np.repeat(low, distinct)
+    for b in range(int(low.max())):
+        some = lows > b
+        bits[ats[some] + b] = every[some] >> b & 1
+    high = at + distinct * low
+    bits[np.repeat(high, distinct) + (every >> lows) + own] = 1
+    sums = np.cumsum(kinds)
+    bits[sums - 1 + np.repeat(high + distinct + (top >> low) - (sums[starts] - kinds[starts]), distinct)] = 1
+    packed = np.packbits(bits, bitorder="little").view("<u2")
+    at //= 16
+    return [np.concatenate([np.array([d, t, u], np.uint16), packed[a : a + n]]) for d, t, u, a, n in zip(distinct.tolist(), top.tolist(), unary.tolist(), at.tolist(), words.tolist())]
+
+
+def _ones(bits: np.ndarray, at: np.ndarray, length: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """The places of so many ones of each lane in its bits, of that length from at on."""
+    begin = np.cumsum(length) - length
+    found = np.flatnonzero(bits.take(np.repeat(at - begin, length) + np.arange(length.sum())))
+    lane = np.searchsorted(begin, found, side="right") - 1
+    n = np.bincount(lane, minlength=len(at))
+    rank = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
+    some = rank < distinct[lane]
+    out = np.zeros((len(at), int(distinct.max(initial=0))), np.int64)
+    out[lane[some], rank[some]] = (found - begin[lane])[some]
     return out
 
 
-def _coded(io: Writer | Reader, sizes: np.ndarray, distinct: np.ndarray, ranks: np.ndarray | None) -> np.ndarray | None:
+def _headed(codes: list[np.ndarray], distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids and classes (lanes, ranks) by the heads of blocks, and where their code words begin. In a damaged block they may be any."""
+    top, unary = (np.array([int(c[k]) if len(c) > k else 0 for c in codes], np.int64) for k in (1, 2))
+    low = _low_bits(distinct, top)
+    words = (distinct * (low + 1) + (top >> low) + unary + 15) // 16
+    at = np.cumsum(words) - words
+    every = np.zeros(words.sum(), "<u2")
+    for c, a, n in zip(codes, at.tolist(), words.tolist()):
+        own = c[3 : 3 + n]
+        every[a : a + len(own)] = own
+    bits, at = np.unpackbits(every.view(np.uint8), bitorder="little"), at * 16
+    own = np.arange(int(distinct.max(initial=0)))
+    ids = np.zeros((len(codes), len(own)), np.int64)
+    for b in range(int(low.max(initial=0))):
+        lane = np.flatnonzero(low > b)
+        ids[lane] |= bits.take((at + b)[lane, None] + low[lane, None] * own, mode="clip").astype(np.int64) << b
+    high = at + distinct * low
+    ids |= (_ones(bits, high, distinct + (top >> low), distinct) - own).clip(0) << low[:, None]
+    classes = np.diff(_ones(bits, high + distinct + (top >> low), unary, distinct), axis=1, prepend=-1) - 1
+    return ids.astype(np.uint16), classes.clip(0, 12), 3 + words
+
+
+def _coded(io: Writer | Reader, sizes: np.ndarray, zero: Zero, ranks: np.ndarray | None) -> np.ndarray | None:
     """Codes the ranks of all lanes (places, lanes), or decodes them if there are none. sizes: of the lanes, in descending order.
 
-    The rank of an id is its number in order of appearance in its block.
+    The rank of an id is its place among the ids of its block.
     """
     lanes, longest = len(sizes), int(sizes[0]) if len(sizes) else 0
     out = np.zeros((longest, lanes), np.uint16) if ranks is None else None
-    guesses, mixer, zero = Guesses(lanes, int(distinct.max(initial=0))), Mixer(lanes), Zero(distinct)
+    guesses, mixer = Guesses(lanes, zero.wide), Mixer(zero)
     longer = np.searchsorted(-sizes, -np.arange(longest)).tolist()
-    turn = 0
-    for t, n in enumerate(longer):  # lanes longer than t
-        if t == RENEWED[turn]:
-            turn += 1
-            zero.renew(t - RENEWED[turn - 2] if t else 0, RENEWED[turn] - t)
-            io.grow()
-        cells = guesses.look(n)
-        now = np.empty(n, np.uint16) if ranks is None else ranks[t, :n]
-        missed = np.ones(n, bool)
-        lane = np.flatnonzero(np.maximum(cells[0], cells[1]) >= SURE)
-        if len(lane):
-            own = cells.take(lane, axis=1)
-            guess = np.where(own[1] >= SURE, own[1], own[0]) & _CONTENT
-            at = zero.rows.take(lane) + guess
-            share = zero.starts_flat.take(at + 1) - zero.starts_flat.take(at)
-            p = mixer.ask(lane, own, STRETCH.take(share, mode="clip"))
-            found = io.bit(lane, p, None if ranks is None else now.take(lane) == guess)
-            mixer.learn(found)
-            missed[lane] = ~found
-            if ranks is None:
-                now[lane] = guess
-        lane = np.flatnonzero(missed)
-        if len(lane):  # order 0
-            seen, first_new, part = zero.seen.take(lane), zero.new_at.take(lane), io.width.take(lane) >> _U(SHARE_BITS)
-            if ranks is None:
-                share = io.target(lane, None, part).astype(np.uint16)
-                new = share >= first_new
-                rank = np.where(new, np.minimum(seen, distinct.take(lane) - 1), zero.rank(lane, share))
-                now[lane] = rank
-            else:
-                rank = now.take(lane)
-                new = rank == seen
-            at = zero.rows.take(lane) + rank
-            first = np.where(new, first_new, zero.starts_flat.take(at))
-            io.take(lane, part, first, np.where(new, np.uint16(SHARES), zero.starts_flat.take(at + 1)) - first)
-            zero.seen[lane] = seen + new
-        io.even(n)
-        at = zero.count_rows[:n] + now
-        zero.counts_flat[at] = zero.counts_flat.take(at) + np.uint16(1 + t // 256)
-        guesses.learn(n, cells, now)
+    for begin, end in zip(LEARNED, LEARNED[1:]):
+        end = min(end, longest)
+        if begin >= end:
+            break
+        io.grow()
+        n = longer[begin]
         if ranks is None:
-            out[t, :n] = now
+            states, kinds = np.zeros((end - begin, n), np.uint16), np.zeros((end - begin, n), np.uint8)
+            p, right = np.zeros((end - begin, n), np.int16), np.zeros((end - begin, n), bool)
+            for t in range(begin, end):
+                n = longer[t]
+                cells = guesses.look(n)
+                state, guess = guessed(cells)
+                kind = zero.kind(guess)
+                sure = mixer.ask(state, kind)
+                now, found = io.bit(sure, guess, zero)
+                guesses.learn(n, cells, now)
+                k = t - begin
+                states[k, :n], kinds[k, :n], p[k, :n], right[k, :n], out[t, :n] = state, kind, sure, found, now
+        else:
+            cells = np.zeros((end - begin, 2, n), np.uint16)
+            for t in range(begin, end):
+                n = longer[t]
+                cells[t - begin, :, :n] = own = guesses.look(n)
+                guesses.learn(n, own, ranks[t, :n].astype(np.int64))
+            n = longer[begin]
+            states, guess = guessed(cells)
+            kinds, own = zero.kind(guess), ranks[begin:end, :n]
+            p, right = mixer.ask(states, kinds), own == guess
+            first, kind = zero.firsts.take(zero.rows[:n] + own).astype(np.int64), zero.kind(own).astype(np.int64)
+            for t in range(begin, end):
+                k, n = t - begin, longer[t]
+                io.bit(p[k, :n], right[k, :n], first[k, :n], kind[k, :n], zero)
+        n = longer[begin]
+        if end < longest:
+            mixer.learn(states, kinds, p, right, np.arange(begin, end)[:, None] < sizes[:n] if longer[end - 1] < n else None)
     return out
 
 
@@ -396,52 +457,48 @@ class Writer:
     """A range coder of many lanes: 48-bit states, 16-bit code words. Carries wait in the words until the end."""
 
     def __init__(self, lanes: int, room: int):
-        self.low, self.width = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
+        self.low, self.width = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
         self.words, self.first = np.zeros((lanes, room), np.uint32), np.arange(lanes, dtype=np.int64) * room
         self.at, self.flat = self.first.copy(), self.words.reshape(-1)
 
     def grow(self) -> None:
         """Room for the words of 128 places more, of 48 bits at most each."""
-        if len(self.at) and int((self.at - self.first).max()) + 512 > self.words.shape[1]:
-            wider = np.zeros((len(self.at), 2 * self.words.shape[1] + 512), np.uint32)
-            wider[:, : self.words.shape[1]] = self.words
+        if len(self.at) and int((self.at - self.first).max()) + 512 > (room := self.words.shape[1]):
+            wider = np.zeros((len(self.at), 2 * room + 512), np.uint32)
+            wider[:, :room] = self.words
             first = np.arange(len(self.at), dtype=np.int64) * wider.shape[1]
             self.words, self.flat, self.at, self.first = wider, wider.reshape(-1), self.at - self.first + first, first
 
-    def bit(self, lane: np.ndarray, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        width = self.width.take(lane)
-        edge = (width >> _U(12)) * p.astype(_U)
-        self.low[lane] += np.where(bits, _U(0), edge)
-        self.width[lane] = np.where(bits, edge, width - edge)
-        return bits
-
-    def take(self, lane: np.ndarray, part: np.ndarray, first: np.ndarray, freq: np.ndarray) -> None:
-        self.low[lane] += part * first.astype(_U)
-        self.width[lane] = part * freq.astype(_U)
-
-    def even(self, n: int) -> None:
-        self._carry(np.flatnonzero(self.low[:n] > _LOW))
-        out = np.flatnonzero(self.width[:n] < _U(1 << 32))
-        while len(out):
-            at, low, width = self.at.take(out), self.low.take(out), self.width.take(out) << _U(16)
-            self.flat[at], self.at[out] = low >> _U(32), at + 1
-            self.low[out], self.width[out] = (low << _U(16)) & _LOW, width
-            out = out[width < _U(1 << 32)]
-
-    def _carry(self, lane: np.ndarray) -> None:
-        if len(lane):
-            self.flat[self.at.take(lane) - 1] += np.uint32(1)
-            self.low[lane] &= _LOW
+    def bit(self, p: np.ndarray, right: np.ndarray, first: np.ndarray, kind: np.ndarray, zero: Zero) -> None:
+        """Whether a guess is right, and if not, a share."""
+        n = len(p)
+        width, low, at = self.width[:n], self.low[:n], self.at[:n]
+        edge = (width >> 12) * p
+        part = (width - edge >> 6) * zero.part[:n] >> 23
+        low += np.where(right, 0, edge + part * first)
+        width = np.where(right, edge, part << kind)
+        # the word that is next is written anyway, with its carry, and stands if the width is short
+        short = width < 1 << 32
+        self.flat[at] = (low >> 32).astype(np.uint32)
+        at += short
+        low[:] = np.where(short, (low & 0xFFFFFFFF) << 16, low)
+        self.width[:n] = width = np.where(short, width << 16, width)
+        while len(out := np.flatnonzero(width < 1 << 32)):
+            self.flat[at[out]] = low[out] >> 32
+            at[out] += 1
+            low[out] = (low[out] & 0xFFFFFFFF) << 16
+            self.width[out] = width[out] << 16
+            width = self.width[:n]
 
     def ended(self) -> list[np.ndarray]:
         """The words of all lanes: one of the state, a bit above the low end, is enough."""
         self.grow()
-        self.low += np.minimum(self.width - _U(1), _U((1 << 32) - 1))
-        self._carry(np.flatnonzero(self.low > _LOW))
-        self.flat[self.at] = self.low >> _U(32)
+        self.low += np.minimum(self.width - 1, (1 << 32) - 1)
+        self.flat[self.at] = self.low >> 32
         while len(over := np.flatnonzero(self.flat > 0xFFFF)):
+            carry = self.flat[over] >> np.uint32(16)
             self.flat[over] &= np.uint32(0xFFFF)
-            self.flat[over - 1] += np.uint32(1)
+            self.flat[over - 1] += carry
         return [self.flat[a : e + 1].astype(np.uint16) for a, e in zip(self.first.tolist(), self.at.tolist())]
 
 
@@ -451,61 +508,59 @@ class Reader:
         words = np.zeros((lanes, room), np.uint16)
         for k, c in enumerate(codes):
             words[k, : len(c)] = c
-        self.x = (words[:, 0].astype(_U) << _U(32)) | (words[:, 1].astype(_U) << _U(16)) | words[:, 2].astype(_U)
-        self.width, self.at, self.flat = np.full(lanes, (1 << 48) - 1, _U), np.arange(lanes, dtype=np.int64) * room + 3, words.reshape(-1)
+        self.x = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2].astype(np.int64)
+        self.width, self.at, self.flat = np.full(lanes, (1 << 48) - 1, np.int64), np.arange(lanes, dtype=np.int64) * room + 3, words.reshape(-1)
 
     def grow(self) -> None:
         pass
 
-    def bit(self, lane: np.ndarray, p: np.ndarray, _: None) -> np.ndarray:
-        width, x = self.width.take(lane), self.x.take(lane)
-        edge = (width >> _U(12)) * p.astype(_U)
-        bits = x < edge
-        self.x[lane], self.width[lane] = np.where(bits, x, x - edge), np.where(bits, edge, width - edge)
-        return bits
-
-    def target(self, lane: np.ndarray, total: np.ndarray | None, part: np.ndarray | None = None) -> np.ndarray:
-        """Which of total parts (of `SHARES` if a part is given) the state lies in."""
-        if part is None:
-            return np.minimum(self.x.take(lane) // (self.width.take(lane) // total.astype(_U)), (total - 1).astype(_U)).astype(np.int64)
-        return np.minimum(self.x.take(lane) // part, _U(SHARES - 1)).astype(np.int64)
-
-    def take(self, lane: np.ndarray, part: np.ndarray, first: np.ndarray, freq: np.ndarray) -> None:
-        self.x[lane] -= part * first.astype(_U)
-        self.width[lane] = part * freq.astype(_U)
-
-    def even(self, n: int) -> None:
-        out = np.flatnonzero(self.width[:n] < _U(1 << 32))
-        while len(out):
-            at, width = self.at.take(out), self.width.take(out) << _U(16)
-            self.x[out], self.at[out], self.width[out] = (self.x.take(out) << _U(16)) | self.flat.take(at, mode="clip"), at + 1, width
-            out = out[width < _U(1 << 32)]
+    def bit(self, p: np.ndarray, guess: np.ndarray, zero: Zero) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks, and whether they are those guessed."""
+        n = len(p)
+        width, x = self.width[:n], self.x[:n]
+        edge = (width >> 12) * p
+        right = x < edge
+        part, x = (width - edge >> 6) * zero.part[:n] >> 23, x - edge
+        # exact: numbers are below 2 ** 48, and what is short of a whole share is so by 2 ** -36 at least
+        share = np.minimum((x / part).astype(np.int64), SHARES - 1)
+        cell = zero.table.take(zero.table_rows[:n] + (share >> 3), mode="clip").astype(np.int64)
+        kind = cell & 15
+        width, x = np.where(right, edge, part << kind), np.where(right, x + edge, x - part * (share >> kind << kind))
+        short = width < 1 << 32
+        at = self.at[:n]
+        self.x[:n] = np.where(short, x << 16 | self.flat.take(at, mode="clip"), x)
+        at += short
+        self.width[:n] = width = np.where(short, width << 16, width)
+        while len(out := np.flatnonzero(width < 1 << 32)):
+            self.x[out] = self.x[out] << 16 | self.flat.take(at[out], mode="clip")
+            at[out] += 1
+            self.width[out] = width[out] << 16
+            width = self.width[:n]
+        return np.where(right, guess, (cell >> 4) + ((share & 7) >> kind)), right
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """16-bit code words of each block, of `BLOCK` ids at most: the number of different ids, those, and the ranks."""
+    """16-bit words of each block, of `BLOCK` ids at most: its head, and the code words of its ranks."""
     order = sorted((i for i in range(len(blocks)) if len(blocks[i])), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
     longest = int(sizes[0]) if order else 0
-    ranks, own = np.zeros((len(order), longest), np.uint16), []
-    first_of, rank_of, places = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.uint16), np.arange(longest, dtype=np.uint16)
+    ranks, ids, kinds, rank_of = np.zeros((len(order), longest), np.uint16), [], [], np.zeros(1 << 16, np.uint16)
     for lane, i in enumerate(order):
-        block, n = blocks[i], len(blocks[i])
-        first_of[block[::-1]] = places[:n][::-1]
-        found = block[np.flatnonzero(first_of.take(block) == places[:n])]
-        rank_of[found] = places[: len(found)]
-        ranks[lane, :n] = rank_of.take(block)
-        own.append(found)
-    distinct = np.array(list(map(len, own)), np.int64)
-    ids = np.zeros((int(distinct.max(initial=0)), len(order)), np.int64)
-    for lane, found in enumerate(own):
-        ids[: len(found), lane] = found
+        own = np.sort(blocks[i], kind="stable")
+        at = np.flatnonzero(own[1:] != own[:-1]) + 1
+        ids.append(own[np.concatenate([[0], at])])
+        kinds.append(CLASSES[np.diff(at, prepend=0, append=len(own))])
+        rank_of[ids[-1][np.argsort(_DESCENDING - kinds[-1], kind="stable")]] = np.arange(len(at) + 1)
+        ranks[lane, : len(own)] = rank_of.take(blocks[i])
+    distinct = np.array(list(map(len, ids)), np.int64)
+    classes = np.zeros((len(order), int(distinct.max(initial=0))), np.uint8)
+    for lane, own in enumerate(kinds):
+        classes[lane, : len(own)] = np.sort(own)[::-1]
     io = Writer(len(order), longest // 2 + longest // 8 + 512)
-    _ids_of(io, distinct, ids)
-    _coded(io, sizes, distinct, np.ascontiguousarray(ranks.T))
+    _coded(io, sizes, Zero(classes, distinct, False), np.ascontiguousarray(ranks.T))
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
-    for i, n, words in zip(order, distinct, io.ended()):
-        out[i] = np.concatenate([np.array([n], np.uint16), words])
+    for i, head, words in zip(order, _heads(ids, kinds), io.ended()):
+        out[i] = np.concatenate([head, words])
     return out
 
 
@@ -514,12 +569,14 @@ def decode_blocks(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarra
     sizes = np.array([lengths[i] for i in order], np.int64)
     # in a damaged block the number may be any; no other block may suffer
     distinct = np.array([min(max(1, int(codes[i][0])), lengths[i], BLOCK) if len(codes[i]) else 1 for i in order], np.int64)
-    io = Reader([codes[i][1:] for i in order])
-    ids = np.ascontiguousarray(_ids_of(io, distinct, None).T.astype(np.uint16))
-    ranks = np.ascontiguousarray(_coded(io, sizes, distinct, None).T)
+    ids, classes, at = _headed([codes[i] for i in order], distinct)
+    by_class = np.argsort(np.where(np.arange(ids.shape[1]) < distinct[:, None], _DESCENDING - classes, 255).astype(np.uint8), axis=1, kind="stable")
+    ids, classes = np.take_along_axis(ids, by_class, axis=1), np.take_along_axis(classes, by_class, axis=1)
+    io = Reader([codes[i][a:] for i, a in zip(order, at.tolist())])
+    ranks = np.ascontiguousarray(_coded(io, sizes, Zero(classes, distinct, True), None).T)
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(codes)
     for lane, i in enumerate(order):
-        out[i] = ids[lane].take(ranks[lane, : lengths[i]])
+        out[i] = ids[lane].take(ranks[lane, : lengths[i]], mode="clip")
     return out
 
 
@@ -535,7 +592,7 @@ def packed(frames: list[np.ndarray]) -> list[bytes]:
         n = -(-len(f) // BLOCK)
         own = range(at, at + n)
         head = b"".join(struct.pack("<III", len(blocks[i]), len(codes[i]), crc(blocks[i])) for i in own)
-        out.append(b"CMR2" + struct.pack("<I", n) + head + b"".join(codes[i].astype("<u2").tobytes() for i in own))
+        out.append(b"CMR3" + struct.pack("<I", n) + head + b"".join(codes[i].astype("<u2").tobytes() for i in own))
         at += n
     return out
 
@@ -544,7 +601,7 @@ def unpacked(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of each payload; raises ValueError if a block's sum is wrong."""
     codes, lengths, sums, counts = [], [], [], []
     for p in payloads:
-        if p[:4] != b"CMR2":
+        if p[:4] != b"CMR3":
             raise ValueError("not a frame of token ids")
         (n,) = struct.unpack_from("<I", p, 4)
         head = np.frombuffer(p, "<u4", 3 * n, 8).reshape(n, 3)
