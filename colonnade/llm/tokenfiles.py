@@ -68,7 +68,7 @@ class Tokens:
 
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
@@ -76,6 +76,11 @@ class Tokens:
             rules = json.load(f)
         before = rules.get("pre_tokenizer") or {}
         self.by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not rules.get("normalizer")
+        # for words of ASCII letters behind spaces, cut there without the rules; each comes once, so nothing is kept inside
+        self.letters = Tokenizer.from_file(path) if self.by_words else self.tokenizer
+        if self.by_words:
+            self.letters.pre_tokenizer = pre_tokenizers.Metaspace(replacement="\u0120", prepend_scheme="never", split=True)
+            self.letters.model._resize_cache(0)
         self.added = [t["content"] for t in rules.get("added_tokens", [])]
         self.spaced = np.zeros(1 << 16, bool)
         self.spaced[[i for word, i in rules["model"]["vocab"].items() if word[0] in "\u0120\u010a"]] = True
@@ -102,8 +107,8 @@ class Tokens:
         lengths = self.lengths.take(places)
         return self.ids.take(np.repeat(self.starts.take(places) - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())), lengths
 
-    def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, texts: list[str], letters: bool = False) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in (self.letters if letters else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def keep(self, places: dict[str, int], words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         def room(a: np.ndarray, n: int) -> np.ndarray:
@@ -128,11 +133,14 @@ class Tokens:
             at = np.flatnonzero(out == -2)
         bare = [words[i] if first else words[i].rstrip(MARKS) for i in at.tolist()]
         marked = np.array([len(b) < len(words[i]) and b[-1:].isalpha() and b[-1] < "\u0250" for i, b in zip(at.tolist(), bare)], bool)
-        if len(plain := at[~marked]):
-            new = [words[i] for i in plain.tolist()]
-            ids, lengths = self.encoded(new, first)
-            out[plain] = np.arange(self.n, self.n + len(new))
-            self.keep(known, new, ids, lengths)
+        plain = at[~marked]
+        letters = np.array([not first and words[i].isascii() and words[i].isalpha() for i in plain.tolist()], bool)
+        for own, cut in ((plain[letters], True), (plain[~letters], False)):
+            if len(own):
+                new = [words[i] for i in own.tolist()]
+                ids, lengths = self.encoded(new, first, cut)
+                out[own] = np.arange(self.n, self.n + len(new))
+                self.keep(known, new, ids, lengths)
         if marked.any():
             new, bare = [words[i] for i in at[marked].tolist()], [bare[k] for k in np.flatnonzero(marked).tolist()]
             both = [(bare, False), ([w[len(b) :] for w, b in zip(new, bare)], True)]
@@ -145,15 +153,15 @@ class Tokens:
             self.keep(known, new, ids, lengths.reshape(-1, 2).sum(axis=1))
         return out
 
-    def encoded(self, words: list[str], first: bool) -> tuple[np.ndarray, np.ndarray]:
+    def encoded(self, words: list[str], first: bool, letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of words one after the other, and how many each has."""
         texts = words if first else [w if w[0] == "\n" else " " + w for w in words]
         if not first:  # strings of many words are faster than those of one or of all
-            ids = np.concatenate(self.library(["".join(texts[i : i + 256]) for i in range(0, len(texts), 256)]))
+            ids = np.concatenate(self.library(["".join(texts[i : i + 256]) for i in range(0, len(texts), 256)], letters))
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(words):
                 return ids, np.diff(starts, append=len(ids))
-        own = self.library(texts)
+        own = self.library(texts, letters)
         return np.concatenate(own), np.array(list(map(len, own)))
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:

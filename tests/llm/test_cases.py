@@ -526,3 +526,20 @@ def test_shares_are_powers_of_two_and_found_again():
         for share in (first, first + (1 << kind) - 1):
             cell = read.table[share >> 3].astype(np.int64)
             assert np.array_equal((cell >> 4) + ((share & 7) >> (cell & 15)), np.arange(len(own))) and np.array_equal(cell & 15, kind)
+
+
+def test_words_of_letters_are_cut_without_the_rules():
+    import public_tokenizers
+
+    memory = tokenfiles.Tokens(public_tokenizers.path(tokenfiles.FILE))
+    library, seen = memory.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    memory.tokenizer = Spy()
+    texts = ["x " + " ".join(f"{a}{b}{c}" for b in "aEté" for c in ("on", "ing", "Ġ", "ß", "'s", "1", "S")) for a in ("th", "Wort", "Q", "lys")]
+    assert [x.tolist() for x in memory.encode(texts)] == [[*e.ids, 0] for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert not any(f" {w}" in s for s in seen for w in ("thaon ", "WortEing ", "QtS "))
